@@ -188,14 +188,14 @@ def node_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int
 def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
     """Edges (u, v), u > v, that join the ``rep`` of all fingerprints within ``budget`` bits. fps: distinct fp, rep.
 
-    The counts of the upper trie, at most 4,096 rows, go to the driver; nodes hold about 32 * sqrt(n) fingerprints each,
+    The counts of the upper trie, at most 4,096 rows, go to the driver; nodes hold about 80 * sqrt(n) fingerprints each,
     so both the rows a group holds and the copies a row needs grow less than the table.
     """
     spark = fps.sparkSession
     top = F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int")
     counts = {r["top"]: r["n"] for r in fps.groupBy(top.alias("top")).agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
-    nodes = upper_nodes(counts, max(2048, int(32 * math.sqrt(total))))
+    nodes = upper_nodes(counts, max(2048, int(80 * math.sqrt(total))))
     pairs = node_pairs(nodes, budget)
     partners: dict[int, list[tuple[int, int, int]]] = {k: [] for k in range(len(nodes))}
     for k, (x, y) in enumerate(pairs):
