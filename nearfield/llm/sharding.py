@@ -78,8 +78,8 @@ def rebalance(current: DataFrame, loads: DataFrame, shards: int, tolerance: floa
     sums = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: F.aggregate(F.filter("kept", lambda x: x["shard"] == k), F.lit(0).cast("long"), lambda s, x: s + x["bytes"]))
     moved = one.select("loose", sums.alias("loads")).select(F.explode(_dealt(F.col("loose"), F.col("loads"))).alias("x")).select("x.vslot", "x.shard")
     both = held.where("keeps").select("vslot", "shard").union(moved)
-    version = current.agg((F.coalesce(F.max("version"), F.lit(-1)) + 1).alias("version"))
-    return both.join(F.broadcast(version)).select("version", "vslot", "shard") if False else both.select(F.lit(version.first()["version"]).alias("version"), "vslot", "shard")
+    latest = current.agg(F.coalesce(F.max("version"), F.lit(-1)).alias("v")).first()["v"]
+    return both.select(F.lit(latest + 1).alias("version"), "vslot", "shard")
 
 
 def write_map(entries: DataFrame, path: str) -> None:
