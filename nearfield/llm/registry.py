@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import bpe, decontaminate, near_dedup, quality, sharding
 
 QUERIES = {
+    "op5_bpe": bpe.op5_bpe,
+    "op7_winnowing": decontaminate.op7_winnowing,
     "op8_simhash": near_dedup.op8_simhash,
+    "op9_quality": quality.op9_quality,
+    "op10_slots": sharding.op10_slots,
 }
 ORACLES: dict[str, str] = {}
