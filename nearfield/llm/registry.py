@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, near_dedup, quality, sharding
+from . import bpe, decontaminate, html_text, langid, near_dedup, quality, sharding, url_filter
 
 QUERIES = {
+    "op1_urls": url_filter.op1_urls,
+    "op3_html": html_text.op3_html,
     "op5_bpe": bpe.op5_bpe,
+    "op6_langid": langid.op6_langid,
     "op7_winnowing": decontaminate.op7_winnowing,
     "op8_simhash": near_dedup.op8_simhash,
     "op9_quality": quality.op9_quality,
