@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, langid, near_dedup, quality, sharding, url_filter
+from . import bpe, decontaminate, html_text, langid, lm_score, near_dedup, pii, quality, sharding, url_filter
 
 QUERIES = {
     "op1_urls": url_filter.op1_urls,
+    "op2_pii": pii.op2_pii,
     "op3_html": html_text.op3_html,
+    "op4_lm": lm_score.op4_lm,
     "op5_bpe": bpe.op5_bpe,
     "op6_langid": langid.op6_langid,
     "op7_winnowing": decontaminate.op7_winnowing,
