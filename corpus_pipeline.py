@@ -1,11 +1,20 @@
-"""The corpus pipeline: each stage reads what its predecessor kept."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, PII surrogates, BPE.
+
+Each stage reads what its predecessor kept, and its decisions take effect: rejected, repeated and contaminated rows go,
+personal data is replaced, and the last stage encodes what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import near_dedup
-from nearfield.llm.common import documents, settle
+from nearfield.llm import bpe, decontaminate, near_dedup, pii, quality
+from nearfield.llm.common import documents, settle, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,11 +22,30 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return near_dedup.keep_one(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of the benchmark occurs go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets get surrogates; n_chars follows the new text."""
+    return pii.replace_in_documents(docs, pii.KEY)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document's ids and decoded text."""
+    return bpe.encode_documents(docs, bpe.default_vocabulary())
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
     ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii_surrogates", pii_surrogates),
+    ("bpe_encoding", bpe_encoding),
 ]
 
-#: Fingerprints are not SQL-expressible.
+#: Fingerprints, surrogates and encoding are not SQL-expressible.
 ORACLE_SQL = None
 
 

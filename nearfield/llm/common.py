@@ -54,3 +54,12 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
     if spark.conf.get(key, default) == default:
         spark.conf.set(key, str(rows))
+
+
+#: Greatest number of keys that are broadcast, under 100 bytes each; beyond it both sides of the join are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A broadcast of a settled table of keys if it was counted to be small; else as it is, for a shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys

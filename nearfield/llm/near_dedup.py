@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, settle, small_batches
+from .common import bounded, documents, settle, small_batches
 
 #: Deepest cut of the upper trie: its counts, at most 2 ** TOP_BITS rows, go to the driver.
 TOP_BITS = 12
@@ -255,8 +255,8 @@ def link_documents(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFr
 
 def keep_one(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
     """``docs`` without the documents that link to one of smaller doc_id; of repeated rows all stay together."""
-    gone = link_documents(docs, shingle, budget).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = settle(link_documents(docs, shingle, budget).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, documents, settle
+from .common import BLANK, bounded, documents, settle
 
 #: Base rules: fewest words, and the greatest share of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -32,7 +32,7 @@ CHI2_H, CHI2_MEDIAN, CONSISTENCY = 6.6257, 4.3515, 0.75 / 0.5308
 #: Squared Mahalanobis distance beyond which a document goes: chi-squared with 5 degrees of freedom at 1 - 1e-9, about.
 CUT = 50.0
 #: Transformed statistics and the least standard deviation that each is taken to have.
-FEATURES = {"ln_words": 0.5, "ln_word_length": 0.06, "symbol_rate": 0.05, "dup_line_rate": 0.07, "repeat_rate": 0.07}
+FEATURES = {"ln_words": 0.5, "ln_word_length": 0.06, "symbol_rate": 0.05, "dup_line_rate": 0.12, "repeat_rate": 0.12}
 #: At most so many distinct repeated windows are looked up one by one; texts with more are sorted instead.
 LOOKUPS = 24
 
@@ -53,11 +53,12 @@ def _repeated_positions(words: Column, grams: Column, ordered: Column) -> Column
     return F.get(bound, F.lit(0))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """Counts of each text beside doc_id, lang and source; one pass, no shuffle."""
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Counts of each text beside doc_id, lang and source, or with ``carry`` beside the whole row too; no shuffle."""
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, BLANK), lambda w: w != "")
-    out = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), text.alias("text"), words.alias("words"))
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    out = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), text.alias("text"), words.alias("words"), *whole)
     grams = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(WINDOW)])))
     out = out.withColumn("grams", F.coalesce(grams, F.expr("cast(array() as array<bigint>)"))).withColumn("ordered", F.sort_array("grams"))
     out = out.withColumn("lines", _lines_with_words(F.col("text")))
@@ -74,6 +75,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("grams") > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
+        *(["row"] if carry else []),
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -161,30 +163,44 @@ def mcd(rows: DataFrame) -> DataFrame:
     return est.groupBy("grp").agg(F.min_by(F.struct(*[c for c in est.columns if c not in ("grp", "start")]), F.struct("ln_det", "start")).alias("e")).select("grp", "e.*")
 
 
-def verdicts(stats: DataFrame) -> DataFrame:
-    """``stats`` with distance2 (null if no estimate applies) and kept."""
+def _group() -> Column:
+    """Language and source as one key; null is a value like others."""
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    own = F.concat_ws("\t", named("lang"), named("source"))
-    rows = transformed(stats).withColumn("own", own)
-    sizes = settle(rows.where(~F.col("base_failed")).groupBy("own", named("lang").alias("of_lang")).agg(F.count("*").alias("n")), "sizes")
+    return F.concat_ws("\t", named("lang"), named("source"))
+
+
+def estimates(stats: DataFrame) -> DataFrame:
+    """An estimate for each group (``own``) of settled statistics that has enough rows, alone or with others."""
+    rows = transformed(stats.where(~F.col("base_failed"))).withColumn("own", _group())
+    sizes = settle(rows.groupBy("own", F.split("own", "\t")[0].alias("of_lang")).agg(F.count("*").alias("n")), "sizes")
     groups = sizes.select("own", F.when(F.col("n") >= MIN_ROWS, F.col("own")).otherwise(F.concat(F.lit("other\t"), F.col("of_lang"))).alias("grp"), "n")
     enough = groups.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ROWS)
     groups = settle(groups.select("own", "grp").join(enough.select("grp"), "grp"), "groups")
-    few = groups.count() <= BROADCAST_GROUPS
-    fit = _with_estimates(rows.where(~F.col("base_failed")), groups, ["own"], few)
-    est = settle(groups.join(mcd(fit), "grp").drop("grp"), "estimates")
-    judged = rows.join(F.broadcast(est) if few else est, "own", "left").withColumn("distance2", _distance())
+    fit = rows.join(bounded(groups, BROADCAST_GROUPS), ["own"])
+    return settle(groups.join(mcd(fit), "grp").drop("grp"), "estimates")
+
+
+def verdicts(stats: DataFrame, est: DataFrame) -> DataFrame:
+    """``stats`` with distance2 (null if no estimate applies) and kept."""
+    judged = transformed(stats).withColumn("own", _group()).join(bounded(est, BROADCAST_GROUPS), "own", "left").withColumn("distance2", _distance())
     return judged.select(*stats.columns, "distance2", (~F.col("base_failed") & ~F.coalesce(F.col("distance2") > CUT, F.lit(False))).alias("kept"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Counts, base_failed, distance2 and kept of every document."""
-    return verdicts(settle(statistics(docs), "statistics"))
+    stats = settle(statistics(docs), "statistics")
+    return verdicts(stats, estimates(stats))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that the rules reject; rows that share a doc_id go if one of them is rejected."""
-    return docs.join(judge(docs).where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows that the rules reject.
+
+    The counts are worked out twice, once for the estimates and once beside the row: texts are never shuffled.
+    """
+    est = estimates(settle(statistics(docs), "statistics"))
+    judged = verdicts(statistics(docs, carry=True), est)
+    # an explode and no filter: a filter would be pushed down, and with it a second copy of all that it rests on
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
