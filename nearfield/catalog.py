@@ -1,6 +1,9 @@
-"""Name -> query and name -> DuckDB SQL for the analytics operators."""
+"""Name -> query and name -> DuckDB SQL for the analytics operators, gathered from the plans."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import neighbour_plans
+
+_PLANS = (neighbour_plans,)
+QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
