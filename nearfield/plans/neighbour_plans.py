@@ -10,9 +10,9 @@ from ..operators import fidelity as fd
 from ..operators import neighbours as nb
 from ..operators import sampling as sm
 from ..operators.points import points
+from .register import registry
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES, query = registry()
 
 #: DuckDB: points, distances and ranks in both spaces.
 P = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS hd, (embedding::DOUBLE[])[1:2] AS ld, label FROM embeddings)"
@@ -25,23 +25,6 @@ def _avg_rank(value: str) -> str:
     return f"(rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2.0)"
 
 
-def query(name: str, sql: str | None):
-    """Registers a query under a name; doubles are rounded to 6 digits on both sides."""
-
-    def add(f):
-        def run(spark, sf_dir: str) -> DataFrame:
-            df = f(spark, sf_dir)
-            return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-        run.__doc__ = f.__doc__
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 def _both(spark, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     pts = points(spark, sf_dir)
     return pts, nb.knn(pts, k, "hd"), nb.knn(pts, k, "ld")
