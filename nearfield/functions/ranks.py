@@ -46,8 +46,12 @@ def ordinal_percentile(df: DataFrame, value: str, tie: str, name: str) -> DataFr
     return out.join(F.broadcast(total)).withColumn(name, (F.col("before") + F.col("_k")) / F.col("_n")).drop("before", "_k", "_n")
 
 
+def pearson(a: str, b: str) -> Column:
+    """Pearson's correlation as an aggregate; null where a column does not vary, which ``corr`` takes for an error."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(df: DataFrame, a: str, b: str, name: str, undefined: float = 0.0) -> DataFrame:
     """One row: the correlation of the average ranks of two columns, ``undefined`` where it has no value."""
     ranked = average_rank(average_rank(df.select(a, b), a, "_ra"), b, "_rb")
-    r = F.corr("_ra", "_rb")
-    return ranked.agg(F.when(r.isNull() | F.isnan(r), F.lit(float(undefined))).otherwise(r).alias(name))
+    return ranked.agg(F.coalesce(pearson("_ra", "_rb"), F.lit(float(undefined))).alias(name))

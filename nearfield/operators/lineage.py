@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranks import pearson
+
 
 def lineage_edges(cells: DataFrame) -> DataFrame:
     """Distinct (from, to) without missing nodes (the text nan) and loops."""
@@ -51,7 +53,7 @@ def fate_recovery(cells: DataFrame, probs: DataFrame, terminals: DataFrame) -> D
     scale = far.agg(F.percentile("d", 0.5).alias("scale"))
     weight = far.join(F.broadcast(scale)).withColumn("w", F.exp(-F.col("d") / F.greatest("scale", F.lit(1e-12))))
     share = weight.withColumn("q", F.col("w") / F.sum("w").over(Window.partitionBy("id"))).select("id", "terminal", "q")
-    each = share.join(probs, ["id", "terminal"]).groupBy("terminal").agg(F.corr("p", "q").alias("r"), F.count("*").alias("n"), F.stddev_pop("p").alias("sp"), F.stddev_pop("q").alias("sq"))
+    each = share.join(probs, ["id", "terminal"]).groupBy("terminal").agg(pearson("p", "q").alias("r"), F.count("*").alias("n"), F.stddev_pop("p").alias("sp"), F.stddev_pop("q").alias("sq"))
     return each.where("n > 10 and sp > 0 and sq > 0").agg(F.avg("r").alias("fate_corr"))
 
 
@@ -74,7 +76,7 @@ def branch_monotonicity(cells: DataFrame, branch: str, least: int = 20) -> DataF
         return F.rank().over(own) + (F.count("*").over(tie) - 1) / 2.0
 
     ranked = placed.select(branch, "n", rank("time").alias("rt"), rank("place").alias("rp"))
-    each = ranked.groupBy(branch).agg(F.abs(F.corr("rt", "rp")).alias("r"), F.first("n").alias("n")).where("r is not null and not isnan(r)")
+    each = ranked.groupBy(branch).agg(F.abs(pearson("rt", "rp")).alias("r"), F.first("n").alias("n")).where("r is not null and not isnan(r)")
     return each.agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("branch_monotonicity"))
 
 
