@@ -26,8 +26,8 @@ from .common import documents, small_batches
 
 #: Rows that training takes at most, and characters of each that it reads; predictions read whole texts.
 SAMPLE, TRAIN_CHARS = 4000, 4000
-#: Buckets (a power of two), lengths of subwords, width of embeddings, passes, rows of a step and its rate.
-BUCKETS, LENGTHS, WIDTH, EPOCHS, BATCH, RATE = 1 << 14, (1, 2, 3), 16, 8, 64, 2.0
+#: Buckets (a power of two), lengths of subwords, width of embeddings, steps, rows of a step and its first rate.
+BUCKETS, LENGTHS, WIDTH, STEPS, BATCH, RATE = 1 << 14, (1, 2, 3), 16, 800, 64, 2.0
 #: Share of right answers that the rejection threshold may lose; rows kept apart to calibrate, one in so many.
 REJECT, APART = 0.01, 5
 #: Characters of a text that are turned into subwords at a time.
@@ -96,23 +96,22 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     out = (rng.standard_normal((WIDTH, len(names))) * 0.1).astype(np.float32)
     apart = np.arange(len(rows)) % APART == 0 if len(rows) >= 10 * APART else np.zeros(len(rows), bool)
     fit = np.flatnonzero(~apart)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        for at in range(0, len(fit), BATCH):
-            ids = rng.permutation(fit)[:BATCH] if at == 0 and len(fit) <= BATCH else fit[rng.integers(0, len(fit), BATCH)]
-            mean = np.stack([weight[i] @ emb[used[i]] for i in ids])
-            z = mean @ out
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(ids)), y[ids]] -= 1
-            back = p @ out.T * (rate / len(ids))
-            out -= rate / len(ids) * mean.T @ p
-            for i, g in zip(ids, back):
-                emb[used[i]] -= 40 * weight[i][:, None] * g  # a mean spreads a step thin over its subwords
+    for step in range(STEPS if len(fit) else 0):
+        rate = RATE * (1 - step / STEPS)
+        ids = fit[rng.integers(0, len(fit), BATCH)]
+        mean = np.stack([weight[i] @ emb[used[i]] for i in ids])
+        z = mean @ out
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(ids)), y[ids]] -= 1
+        back = p @ out.T * (rate / len(ids))
+        out -= rate / len(ids) * mean.T @ p
+        for i, g in zip(ids, back):
+            emb[used[i]] -= 40 * weight[i][:, None] * g  # a mean spreads a step thin over its subwords
     scores = (emb @ out).astype(np.float32)
     held = np.flatnonzero(apart) if apart.any() else np.arange(len(rows))
     z = np.stack([weight[i] @ scores[used[i]] for i in held])
-    best = min(np.geomspace(0.02, 5, 40), key=lambda t: _loss(z / t, y[held]))
+    best = min(np.geomspace(0.5, 5, 40), key=lambda t: _loss(z / t, y[held]))
     p = _softmax(z / best)
     right = p.argmax(1) == y[held]
     return Model(scores, names, float(best), float(np.quantile(p.max(1)[right], REJECT)) if right.any() else 0.0)

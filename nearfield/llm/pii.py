@@ -227,11 +227,14 @@ def attempts(docs: DataFrame, key: str) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with replaced texts, and n_entities, the number of mentions replaced."""
+    """(row, n_entities): each row of ``docs`` as a struct with its text replaced, and the mentions replaced in it.
+
+    The row is a struct, so that no column of it can clash with those made here.
+    """
     again = settle(attempts(docs, key), "attempts")
     n = again.count()
-    kept = docs.columns
-    base = docs.withColumn("_found", mentions("text"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    base = base.withColumn("_found", mentions("text"))
     base = base.withColumn("_found", F.transform("_found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
     base = base.withColumn("_found", F.transform("_found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), canonical(x["kind"], x["m"]).alias("canon"))))
     none = F.expr("cast(map() as map<string,int>)")
@@ -253,13 +256,15 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     woven = F.concat(F.array_join(F.zip_with(F.slice(F.split("text", ENTITY), 1, F.size("_new")), F.col("_new"), lambda a, b: F.concat(a, b)), ""), F.element_at(F.split("text", ENTITY), -1))
     text = F.when(F.size("_found") > 0, woven).otherwise(F.col("text"))
     count = F.size(F.filter("_found", lambda x: is_entity(x["kind"], x["m"])))
-    return base.select(*[text.alias(c) if c == "text" else F.col(c) for c in kept], count.alias("n_entities"))
+    return base.select(F.col("row").withField("text", text).alias("row"), count.alias("n_entities"))
 
 
 def replace_in_documents(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with replaced texts and the same columns; n_chars, where it is one, follows the new text."""
-    out = replace(docs, key).drop("n_entities")
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
+    out = replace(docs, key).select("row.*")
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 #: The key of the registered query and of the pipeline; a real run gives its own, and keeps it secret.
@@ -268,4 +273,4 @@ KEY = "nearfield-example-key"
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     """doc_id, text with surrogates and n_entities of every document."""
-    return replace(documents(spark, sf_dir).select("doc_id", "text"), KEY)
+    return replace(documents(spark, sf_dir).select("doc_id", "text"), KEY).select("row.doc_id", "row.text", "n_entities")
