@@ -14,7 +14,7 @@ os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 def spark():
     from nearfield.session import build_session
 
-    session = build_session("tests", "8", 8)
+    session = build_session("tests", "4", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
