@@ -16,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, documents, table
+from .common import LOWER, UPPER, bounded, documents, settle, table
 
 #: What separates words, once A-Z are lower case.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window, and of a hashed gram.
 SPAN, K = 10, 5
+W = SPAN - K + 1
 #: Greatest number of benchmark fingerprints that are broadcast, about 400 bytes each; beyond it both sides are shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -34,27 +35,36 @@ def words_of(text: Column | str) -> Column:
 
 def _grams(words: Column, k: int) -> Column:
     """A hash for each k words in a row."""
-    return F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+    return F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.slice(words, i, k)))
 
 
-def _context(words: Column, i: Column) -> Column:
-    """The gram at i with SPAN - K words on both sides, empty strings beyond the ends."""
-    return F.transform(F.sequence(F.lit(K - SPAN), F.lit(SPAN - 1)), lambda j: F.coalesce(F.when(i + j >= 0, F.get(words, i + j)), F.lit("")))
+def _padded(words: Column) -> Column:
+    """The words between SPAN - K empty strings on both sides, so that each gram's context is one slice."""
+    side = F.array_repeat(F.lit(""), SPAN - K)
+    return F.concat(side, words, side)
+
+
+def _least(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, the gram hashes ``g`` and their window minima ``m`` of ``words``; texts of under SPAN words have none.
+
+    Short texts get empty arrays and no filter, which would be pushed down and split each text a second time.
+    """
+    none = F.expr("cast(array() as array<bigint>)")
+    long = df.select(*keep, F.when(F.size("words") >= SPAN, _grams(F.col("words"), K)).otherwise(none).alias("g"))
+    least = F.transform(F.sequence(F.lit(1), F.size("g") - W + 1), lambda j: F.array_min(F.slice("g", j, W)))
+    return long.withColumn("m", F.when(F.size("g") >= W, least).otherwise(none))
 
 
 def _winnowed(df: DataFrame, ids: list[str]) -> DataFrame:
-    """ids, fp, pos and context of each fingerprint of ``words``; texts of under SPAN words have none."""
-    long = df.where(F.size("words") >= SPAN).select(*ids, "words", _grams(F.col("words"), K).alias("g"))
-    w = SPAN - K + 1
-    least = F.transform(F.sequence(F.lit(1), F.size("g") - w + 1), lambda j: F.array_min(F.slice("g", j, w)))
-    long = long.withColumn("m", least)
+    """ids, fp, pos and context of each fingerprint of ``words``."""
+    long = _least(df.select(*ids, "words", _padded(F.col("words")).alias("padded")), [*ids, "padded"])
 
     def chosen(i: Column) -> Column:
-        from_ = F.greatest(i - w + 1, F.lit(0))
-        return F.array_contains(F.slice("m", from_ + 1, w), F.get("g", i))
+        from_ = F.greatest(i - W + 1, F.lit(0))
+        return F.array_contains(F.slice("m", from_ + 1, W), F.get("g", i))
 
-    at = F.filter(F.sequence(F.lit(0), F.size("g") - 1), chosen)
-    found = F.transform(at, lambda i: F.struct(F.get("g", i).alias("fp"), i.alias("pos"), _context(F.col("words"), i).alias("ctx")))
+    at = F.when(F.size("m") > 0, F.filter(F.sequence(F.lit(0), F.size("m") + (W - 2)), chosen))
+    found = F.transform(at, lambda i: F.struct(F.get("g", i).alias("fp"), i.alias("pos"), F.slice("padded", i + 1, 2 * SPAN - K).alias("ctx")))
     return long.select(*ids, F.explode(found).alias("x")).select(*ids, "x.fp", "x.pos", "x.ctx")
 
 
@@ -76,7 +86,7 @@ def _short_hits(docs: DataFrame, short: DataFrame, ids: list[str]) -> DataFrame
     lengths = sorted(r["n"] for r in short.select(F.size("words").alias("n")).distinct().collect())
     out = None
     for n in lengths:
-        items = short.where(F.size("words") == n).select("item_id", F.xxhash64(*[F.get("words", F.lit(j)) for j in range(n)]).alias("fp"), F.col("words").alias("item_words"))
+        items = short.where(F.size("words") == n).select("item_id", F.xxhash64("words").alias("fp"), F.col("words").alias("item_words"))
         grams = docs.where(F.size("words") >= n).select(
             *ids, F.explode(F.transform(_grams(F.col("words"), n), lambda g, i: F.struct(g.alias("fp"), i.alias("pos"), F.slice(F.col("words"), i + 1, n).alias("ctx")))).alias("x")
         ).select(*ids, "x.fp", "x.pos", "x.ctx")
@@ -90,35 +100,57 @@ def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text hash, item_id and the first and last hit word (from 0) of each extended hit."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of("text").alias("words"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+
+
+def marks(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_words and whether a fingerprint is shared, of each distinct row; slim rows, one pass.
+
+    Only values of fingerprints take part here; positions and contexts are worked out for the rows that share one. One
+    more row, with a key of its own, carries each text's number of words.
+    """
+    d = _keyed(docs)
+    few = _sized(prints.select("fp").distinct())
+    long = _least(d.select("doc_id", "text_hash", "words", F.size("words").alias("n")), ["doc_id", "text_hash", "n"])
+    rows = F.concat(F.array(F.struct(F.xxhash64("doc_id", "text_hash", F.lit("n")).alias("fp"), F.col("n").alias("n"))), F.transform(F.array_distinct("m"), lambda x: F.struct(x.alias("fp"), F.lit(None).cast("int").alias("n"))))
+    each = long.select("doc_id", "text_hash", F.explode(rows).alias("x")).select("doc_id", "text_hash", "x.fp", "x.n")
+    flagged = each.join(few.withColumn("shared", F.lit(True)), "fp", "left").where("n is not null or shared")
+    return settle(flagged.groupBy("doc_id", "text_hash").agg(F.max("n").cast("long").alias("n_words"), F.coalesce(F.bool_or("shared"), F.lit(False)).alias("shared")), "marks")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The marks of all rows, and doc_id, text_hash, item_id and first and last hit word (from 0) of each extended hit."""
     ids = ["doc_id", "text_hash"]
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of("text").alias("words"))
     b = benchmark.select("item_id", words_of("text").alias("words")).where(F.size("words") > 0)
-    prints = _winnowed(b, ["item_id"]).groupBy("fp", "ctx").agg(F.collect_set("item_id").alias("items"))
-    few = _sized(prints)
-    if few is prints:  # too many to broadcast: only documents that share a fingerprint carry contexts through a shuffle
-        slim = _winnowed(d, ids).select(*ids, "fp").join(prints.select("fp").distinct(), "fp", "left_semi").select(*ids).distinct()
-        d = d.join(slim, ids, "left_semi")
+    prints = settle(_winnowed(b, ["item_id"]).groupBy("fp", "ctx").agg(F.collect_set("item_id").alias("items")), "prints")
+    marked = marks(docs, prints)
+    some = bounded(marked.where("shared").select(*ids))
+    raw = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    d = raw.join(some, _same(raw, some), "left_semi").select("doc_id", "text_hash", words_of("text").alias("words"))
     left, right = _extended(F.col("ctx"), F.col("item_ctx"))
-    joined = _winnowed(d, ids).join(few.withColumnRenamed("ctx", "item_ctx"), "fp").withColumns({"left": left, "right": right})
+    joined = _winnowed(d, ids).join(_sized(prints.withColumnRenamed("ctx", "item_ctx")), "fp").withColumns({"left": left, "right": right})
     same = F.slice("ctx", SPAN - K + 1, K) == F.slice("item_ctx", SPAN - K + 1, K)
     found = joined.where(same & (F.col("left") + F.col("right") + K >= SPAN)).select(*ids, F.explode("items").alias("item_id"), (F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + K - 1 + F.col("right")).alias("hi"))
-    short = _short_hits(d, b.where(F.size("words") < SPAN), ids)
-    return found if short is None else found.union(short)
+    short = _short_hits(_keyed(docs), b.where(F.size("words") < SPAN), ids)
+    return marked, found if short is None else found.union(short)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document: n_words, n_hit, the hit words' positions, n_items, items_sha256 and contaminated."""
-    per_doc = hits(docs, benchmark).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"), F.collect_set("item_id").alias("items"))
+    marked, found = hits(docs, benchmark)
+    per_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"), F.collect_set("item_id").alias("items"))
     at = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["lo"], s["hi"]))))
-    per_doc = per_doc.select("doc_id", "text_hash", at.alias("hit_words"), "items")
-    every = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words_of("text")).cast("long").alias("n_words"))
+    per_doc = settle(per_doc.select("doc_id", "text_hash", at.alias("hit_words"), "items"), "hits")
+    judged = marked.join(per_doc, _same(marked, per_doc), "left").select(marked["doc_id"], marked["text_hash"], "n_words", "hit_words", "items")
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    keys = every["doc_id"].eqNullSafe(per_doc["doc_id"]) & (every["text_hash"] == per_doc["text_hash"])
-    return every.join(per_doc, keys, "left").select(
-        every["doc_id"],
-        every["text_hash"],
+    judged = judged.select(
+        "doc_id",
+        "text_hash",
         "n_words",
         F.coalesce(F.size("hit_words"), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -126,14 +158,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("hit_words").isNotNull().alias("contaminated"),
         "hit_words",
     )
+    every = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    return every.join(judged, _same(every, judged)).select(judged["doc_id"], judged["text_hash"], *judged.columns[2:])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in which a window of the benchmark occurs."""
-    bad = hits(docs, benchmark).select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    keys = keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_text_hash"] == bad["text_hash"])
-    return keyed.join(bad, keys, "left_anti").select(docs.columns)
+    bad = bounded(settle(hits(docs, benchmark)[1].select("doc_id", "text_hash").distinct(), "contaminated"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    return keyed.join(bad, _same(keyed, bad), "left_anti").select("row.*")
 
 
 def op7_winnowing(spark, sf_dir: str) -> DataFrame:
