@@ -130,3 +130,37 @@ def symmetric_mean(edges: DataFrame) -> DataFrame:
 def union_adjacency(edges: DataFrame) -> DataFrame:
     """(src, dst) of each edge in both directions, once."""
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+
+
+def distance_sums(pts: DataFrame, a: str, b: str) -> DataFrame:
+    """(id, sa, sb, ab, aa, bb): for each point, sums over all points of its distances in both spaces and of their products."""
+    names = [F.col("id"), F.col(a).alias("v"), F.col(b).alias("w")]
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"id": [], "sa": [], "sb": [], "ab": [], "aa": [], "bb": []}).astype({"id": "int64"})
+        x, y = _distances(_matrix(q["v"]), _matrix(r["v"])), _distances(_matrix(q["w"]), _matrix(r["w"]))
+        return pd.DataFrame({"id": q["id"], "sa": x.sum(1), "sb": y.sum(1), "ab": (x * y).sum(1), "aa": (x * x).sum(1), "bb": (y * y).sum(1)})
+
+    parts = _in_blocks(pts.select(*names), pts.select(*names), run, "id long, sa double, sb double, ab double, aa double, bb double")
+    return parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("sa", "sb", "ab", "aa", "bb")])
+
+
+def vote(pts: DataFrame, k: int, column: str, label: str, fold: str) -> DataFrame:
+    """(id, predicted): the commonest label of the k nearest points of other folds, ties to the least label."""
+    names = [F.col("id"), F.col(column).alias("v"), F.col(fold).alias("fold")]
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"src": [], "dst": [], "dist": []}).astype({"src": "int64", "dst": "int64"})
+        r = r.sort_values("id")
+        d = _distances(_matrix(q["v"]), _matrix(r["v"]))
+        d[q["fold"].to_numpy()[:, None] == r["fold"].to_numpy()[None, :]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"src": np.repeat(q["id"].to_numpy(), order.shape[1]), "dst": r["id"].to_numpy()[order].ravel(), "dist": np.take_along_axis(d, order, 1).ravel()})
+        return out[np.isfinite(out["dist"])]
+
+    best = _in_blocks(pts.select(*names), pts.select(*names), run, "src long, dst long, dist double")
+    near = best.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("_r") <= k)
+    votes = near.join(pts.select(F.col("id").alias("dst"), F.col(label).alias("said")), "dst").groupBy("src", "said").agg(F.count("*").alias("n"))
+    return votes.groupBy(F.col("src").alias("id")).agg(F.max_by("said", F.struct("n", -F.col("said"))).alias("predicted"))
