@@ -48,3 +48,13 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert got and all(want[k] == v for k, v in got.items())
     last = max(s for _, s in want)
     assert all((last - s).days <= 3 for k in set(want) - set(got) for s in [k[1]])
+
+
+def test_config_scan_and_toy_cloud(spark, tmp_path):
+    from nearfield.sources import configs, toy
+
+    (tmp_path / "a.yaml").write_text("x:\n  y: 1\n  z: [2, 3]\n")
+    got = {(r["key"], r["value"]) for r in configs.scan(spark, str(tmp_path / "*.yaml")).collect()}
+    assert got == {("x.y", "1"), ("x.z[0]", "2"), ("x.z[1]", "3")}
+    cloud = toy.branches(spark, 90, 12).collect()
+    assert len(cloud) == 90 and all(len(r["features"]) == 12 and len(r["latent"]) == 3 for r in cloud)
