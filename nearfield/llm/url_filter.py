@@ -173,7 +173,7 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return rule, verdict
 
 
-def judge(pages: DataFrame, model: LogisticRegressionModel, rules: list[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, model: LogisticRegressionModel, rules: list[tuple[str, str, str]] = RULES, threshold: float = 0.4) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's probability of block, of each row."""
     urls = pages.select("page_id", F.col("url").cast("string").alias("url"))
     scored = model.transform(_features(urls)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
