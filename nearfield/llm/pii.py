@@ -180,6 +180,10 @@ def _person(canon: Column, digest: Column) -> Column:
     return out
 
 
+#: From this attempt on, six digits are added: a format whose values are all but used up gives way to distinctness.
+LONGER = 12
+
+
 def surrogate(key: str, kind: Column, canon: Column, m: Column, attempt: Column) -> Column:
     """The replacement of a mention ``m`` of an entity."""
     digest = _keyed(key, kind, canon, attempt.cast("string"))
@@ -189,7 +193,9 @@ def surrogate(key: str, kind: Column, canon: Column, m: Column, attempt: Column)
     secret = F.when(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex_swap(m, digest)).when(m.startswith("AKIA"), _swap(m, digest, 4)).when(m.startswith("sk-"), _swap(m, digest, 3)).otherwise(_swap(m, digest, 4))
     title = F.regexp_extract(m, rf"^({_TITLE}\.?[  ])", 1)
     number = _into_format(m, surrogate_digits(kind, F.regexp_replace(m, "[^0-9]", ""), digest))
-    return F.when(kind == "email", mail).when(kind == "ip", _address(digest)).when(kind.isin("phone", "card"), number).when(kind == "secret", secret).otherwise(F.concat(title, _person(canon, digest)))
+    same = F.when(kind == "email", mail).when(kind == "ip", _address(digest)).when(kind.isin("phone", "card"), number).when(kind == "secret", secret).otherwise(F.concat(title, _person(canon, digest)))
+    more = F.lpad((F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % 1000000).cast("string"), 6, "0")
+    return F.when(attempt < LONGER, same).when(kind == "email", F.concat(more, same)).otherwise(F.concat(same, F.lit("-"), more))
 
 
 def _canonical_surrogate(kind: Column, canon: Column, m: Column) -> Column:
