@@ -109,9 +109,10 @@ class Model(NamedTuple):
 
 def models(summed: DataFrame) -> tuple[float, Model, Model]:
     """The background's scale, target and background from the summed counts; a row for each entry goes to the driver."""
-    got = summed.toPandas()
     every = np.zeros((2, (1 << PAIR_BITS) + (1 << WORD_BITS)), np.float32)
-    every[0, got["entry"]], every[1, got["entry"]] = got["target"], got["background"]
+    for part in summed.toArrow().to_batches():  # columns of numbers: rows as objects would take ten times the memory
+        entry = part.column("entry").to_numpy()
+        every[0, entry], every[1, entry] = part.column("target").to_numpy(), part.column("background").to_numpy()
     totals = every[:, 1 << PAIR_BITS :].sum(axis=1, dtype=np.float64)
     if not totals[0]:
         every[0], totals[0] = every[1], totals[1]
