@@ -84,17 +84,20 @@ def bucket_counts(text: str | None) -> np.ndarray | None:
 
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     """Stochastic gradient descent on a bounded sample; None if there is nothing to learn from."""
-    rows = [(c, lang) for text, lang in zip(texts, langs) if (c := bucket_counts(text[:TRAIN_CHARS])) is not None]
-    names = sorted({lang for _, lang in rows})
+    used, weight, said = [], [], []
+    for text, lang in zip(texts, langs):
+        if (c := bucket_counts(text[:TRAIN_CHARS])) is not None:
+            used.append(np.flatnonzero(c).astype(np.int32))
+            weight.append((c[used[-1]] / c.sum()).astype(np.float32))
+            said.append(lang)
+    names = sorted(set(said))
     if not names:
         return None
-    y = np.array([names.index(lang) for _, lang in rows])
-    used = [np.flatnonzero(c) for c, _ in rows]
-    weight = [(c[u] / c.sum()).astype(np.float32) for (c, _), u in zip(rows, used)]
+    y = np.array([names.index(lang) for lang in said])
     rng = np.random.default_rng(seed)
     emb = (rng.standard_normal((BUCKETS, WIDTH)) * 0.1).astype(np.float32)
     out = (rng.standard_normal((WIDTH, len(names))) * 0.1).astype(np.float32)
-    apart = np.arange(len(rows)) % APART == 0 if len(rows) >= 10 * APART else np.zeros(len(rows), bool)
+    apart = np.arange(len(said)) % APART == 0 if len(said) >= 10 * APART else np.zeros(len(said), bool)
     fit = np.flatnonzero(~apart)
     for step in range(STEPS if len(fit) else 0):
         rate = RATE * (1 - step / STEPS)
@@ -109,7 +112,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
         for i, g in zip(ids, back):
             emb[used[i]] -= 40 * weight[i][:, None] * g  # a mean spreads a step thin over its subwords
     scores = (emb @ out).astype(np.float32)
-    held = np.flatnonzero(apart) if apart.any() else np.arange(len(rows))
+    held = np.flatnonzero(apart) if apart.any() else np.arange(len(said))
     z = np.stack([weight[i] @ scores[used[i]] for i in held])
     best = min(np.geomspace(0.5, 5, 40), key=lambda t: _loss(z / t, y[held]))
     p = _softmax(z / best)
@@ -132,10 +135,16 @@ def fold(doc_id: Column | str) -> Column:
 
 
 def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """At most SAMPLE labelled rows outside the held-out fold, those of least hash, cut to TRAIN_CHARS."""
+    """At most SAMPLE labelled rows outside the held-out fold, those of least hash, cut to TRAIN_CHARS.
+
+    The SAMPLE-th least hash is found first, from hashes alone: no task sends more texts than the sample holds.
+    """
     rows = docs.where((F.coalesce(fold("doc_id"), F.lit(0)) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    cut = rows.select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang")
-    got = cut.orderBy("h", "lang").limit(SAMPLE).collect()
+    hashed = rows.select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang")
+    last = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return [], []
+    got = sorted(hashed.where(F.col("h") <= last).limit(SAMPLE).collect(), key=lambda r: (r["h"], r["lang"]))
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
