@@ -17,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -34,8 +36,8 @@ from .common import documents, small_batches
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: What Python's split() takes for white space and the pattern does not.
 _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
-#: Words, parts and their ids that a worker remembers.
-REMEMBER = 300_000
+#: Words, parts and their ids that a worker remembers; of words, as many from before the last clearing too.
+REMEMBER = 250_000
 #: Beyond so many symbols a part's merges are found with a heap.
 LONG = 64
 
@@ -85,6 +87,7 @@ class Codec:
         self.inner = inner_pairs(vocabulary)
         self.tokens = {k: t for t, k in vocabulary.ids.items()} | {k: t for t, k in vocabulary.special.items()}
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.parts: dict[tuple[str, bool], list[int]] = {}
         self.find = regex.compile(vocabulary.pattern.replace(r"\s", _SPACE)).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
@@ -143,21 +146,30 @@ class Codec:
     def word_ids(self, word: str) -> list[int]:
         """The ids of a stretch without white space, which may hold several runs."""
         out: list[int] = []
-        for run in self.find(word):
-            line = "".join([self.symbols[b] for b in run.encode("utf-8", "surrogatepass")])
+        plain = word.isascii() and word.isprintable()  # then bytes are their own symbols
+        for run in [word] if plain and word.isalpha() else self.find(word):
+            line = run if plain else "".join([self.symbols[b] for b in run.encode("utf-8", "surrogatepass")])
             at = 0
-            for k, pair in enumerate(zip(line, line[1:]), 1):
-                if pair not in self.inner:
-                    out += self.part_ids(line[at:k], False)
-                    at = k
-            out += self.part_ids(line[at:], True)
+            if not self.inner.issuperset(zip(line, line[1:])):
+                for k, pair in enumerate(zip(line, line[1:]), 1):
+                    if pair not in self.inner:
+                        out += self.part_ids(line[at:k], False)
+                        at = k
+            out += self.part_ids(line[at:] if at else line, True)
         return out
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        ids = self.word_ids(word)
-        got = np.array(ids, "<u4").tobytes(), " ".join([self.tokens[k] for k in ids])
+        """Ids and decoded text of a word, from what was remembered before the last clearing or worked out now."""
+        got = self.older.get(word)
+        if got is None:
+            ids = self.word_ids(word)
+            packed = array("I", ids)
+            if sys.byteorder == "big":
+                packed.byteswap()
+            got = packed.tobytes(), " ".join([self.tokens[k] for k in ids])
         if len(word) <= LONG:
             if len(self.words) >= REMEMBER:
+                self.older = dict(self.words)
                 self.words.clear()
             self.words[word] = got
         return got
@@ -188,15 +200,28 @@ class Codec:
         return " ".join([self.tokens[k] for k in ids])
 
 
+#: The codec of this Python worker, which outlives a task; what it remembers is only ever a shortcut.
+_CODEC: dict[str, Codec] = {}
+
+
+def _codec(key: str, vocabulary: Vocabulary) -> Codec:
+    if key not in _CODEC:
+        _CODEC.clear()
+        _CODEC[key] = Codec(vocabulary)
+    return _CODEC[key]
+
+
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256; with ``keep_ids`` the ids and the decoded text too."""
     spark = docs.sparkSession
     small_batches(spark)
-    vocabulary = spark.sparkContext.broadcast(load_vocabulary(path))
+    loaded = load_vocabulary(path)
+    key = hashlib.sha256(repr((len(loaded.ids), sorted(loaded.ids.items())[:1000], path)).encode()).hexdigest()
+    vocabulary = spark.sparkContext.broadcast(loaded)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(vocabulary.value)
+        codec = _codec(key, vocabulary.value)
         for b in batches:
             rows = []
             for text in b["text"]:
