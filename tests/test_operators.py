@@ -157,3 +157,13 @@ def test_prep_edges(spark):
         prep.zip_rows(df.withColumn("pos", F.lit(0)), df.limit(1).withColumn("pos", F.lit(0)))
     with pytest.raises(Exception, match="finite"):
         prep.require_finite(spark.createDataFrame([(1, [float("nan")])], "id int, features array<double>"), "features").collect()
+
+
+def test_svc_tells_apart_two_clouds(spark):
+    from nearfield.operators import classify
+
+    rng = np.random.default_rng(1)
+    rows = [(k, (rng.standard_normal(2) * 0.2 + (0 if k % 2 else 5)).tolist(), k % 2) for k in range(24)] + [(99, [0.0, 0.0], 7)]
+    df = spark.createDataFrame(rows, "id long, ld array<double>, label int")
+    assert classify.svc_accuracy(df, "ld", "label", 2, steps=5).first()[0] == 1.0
+    assert math.isnan(classify.svc_accuracy(df.where("label <> 1"), "ld", "label").first()[0])
