@@ -122,7 +122,7 @@ def _keyed(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", F.lit(key), *parts).cast("binary"), 512)
 
 
-def _swap(text: Column, digest: Column, keep: int = 0) -> Column:
+def _swap(text: Column, digest: Column, keep: Column | int = 0) -> Column:
     """Each ASCII letter and digit after the first ``keep`` signs becomes another of its kind."""
 
     def one(c: Column, i: Column) -> Column:
@@ -186,16 +186,23 @@ LONGER = 12
 
 def surrogate(key: str, kind: Column, canon: Column, m: Column, attempt: Column) -> Column:
     """The replacement of a mention ``m`` of an entity."""
-    digest = _keyed(key, kind, canon, attempt.cast("string"))
-    domain = F.regexp_extract(canon, "@(.*)$", 1)
-    label = _swap(F.regexp_extract(m, r"^[^@]*@(.*)\.[^.]*$", 1), _keyed(key, F.lit("domain"), domain))
-    mail = F.concat(_swap(F.regexp_extract(m, "^([^@]*)@", 1), digest), F.lit("@"), label, F.regexp_extract(m, r"(\.[^.]*)$", 1))
-    secret = F.when(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex_swap(m, digest)).when(m.startswith("AKIA"), _swap(m, digest, 4)).when(m.startswith("sk-"), _swap(m, digest, 3)).otherwise(_swap(m, digest, 4))
-    title = F.regexp_extract(m, rf"^({_TITLE}\.?[  ])", 1)
-    number = _into_format(m, surrogate_digits(kind, F.regexp_replace(m, "[^0-9]", ""), digest))
-    same = F.when(kind == "email", mail).when(kind == "ip", _address(digest)).when(kind.isin("phone", "card"), number).when(kind == "secret", secret).otherwise(F.concat(title, _person(canon, digest)))
-    more = F.lpad((F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % 1000000).cast("string"), 6, "0")
-    return F.when(attempt < LONGER, same).when(kind == "email", F.concat(more, same)).otherwise(F.concat(same, F.lit("-"), more))
+    keys = F.struct(_keyed(key, kind, canon, attempt.cast("string")).alias("own"), _keyed(key, F.lit("domain"), F.regexp_extract(canon, "@(.*)$", 1)).alias("domain"))
+
+    def made(z: Column) -> Column:
+        digest = z["own"]
+        label = _swap(F.regexp_extract(m, r"^[^@]*@(.*)\.[^.]*$", 1), z["domain"])
+        mail = F.concat(_swap(F.regexp_extract(m, "^([^@]*)@", 1), digest), F.lit("@"), label, F.regexp_extract(m, r"(\.[^.]*)$", 1))
+        secret = F.when(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex_swap(m, digest)).otherwise(_swap(m, digest, F.when(m.startswith("sk-"), 3).otherwise(4)))
+        title = F.regexp_extract(m, rf"^({_TITLE}\.?[  ])", 1)
+        number = _into_format(m, surrogate_digits(kind, F.regexp_replace(m, "[^0-9]", ""), digest))
+        same = F.when(kind == "email", mail).when(kind == "ip", _address(digest)).when(kind.isin("phone", "card"), number).when(kind == "secret", secret).otherwise(F.concat(title, _person(canon, digest)))
+        more = F.lpad((F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % 1000000).cast("string"), 6, "0")
+        before = F.when((attempt >= LONGER) & (kind == "email"), more).otherwise("")
+        after = F.when((attempt >= LONGER) & (kind != "email"), F.concat(F.lit("-"), more)).otherwise("")
+        return F.concat(before, same, after)
+
+    # the keys are bound once: named in each part, they would be hashed for each sign and make the plan large
+    return F.get(F.transform(F.array(keys), made), F.lit(0))
 
 
 def _canonical_surrogate(kind: Column, canon: Column, m: Column) -> Column:
