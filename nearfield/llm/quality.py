@@ -98,26 +98,26 @@ _PAIRS = [(a, b) for a in range(len(X)) for b in range(a + 1)]
 
 
 def _factor(df: DataFrame, keep: list[str]) -> DataFrame:
-    """From means m0.. and covariances c_a_b to the Cholesky factor l_a_b and the log-determinant."""
+    """From means m0.. and covariances c_a_b to i_a_b, the inverse of the Cholesky factor, and the log-determinant."""
     for a, b in _PAIRS:
         rest = F.col(f"c_{a}_{b}")
         for k in range(b):
             rest = rest - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
         least = FEATURES[X[a]] ** 2
         df = df.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(least))) if a == b else rest / F.col(f"l_{b}_{b}"))
+    for a in range(len(X)):
+        for b in range(a + 1):
+            below = sum((F.col(f"l_{a}_{k}") * F.col(f"i_{k}_{b}") for k in range(b, a)), F.lit(0.0))
+            df = df.withColumn(f"i_{a}_{b}", (F.lit(1.0) if a == b else -below) / F.col(f"l_{a}_{a}"))
     det = sum((F.log(F.col(f"l_{a}_{a}")) for a in range(len(X))), F.lit(0.0))
-    return df.select(*keep, *[f"m{a}" for a in range(len(X))], *[f"l_{a}_{b}" for a, b in _PAIRS], det.alias("ln_det"))
+    return df.select(*keep, *[f"m{a}" for a in range(len(X))], *[f"i_{a}_{b}" for a, b in _PAIRS], det.alias("ln_det"))
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance of a row to the estimate beside it, by forward substitution."""
-    z: list[Column] = []
-    for a, x in enumerate(X):
-        rest = F.col(x) - F.col(f"m{a}")
-        for b in range(a):
-            rest = rest - F.col(f"l_{a}_{b}") * z[b]
-        z.append(rest / F.col(f"l_{a}_{a}"))
-    return sum((v * v for v in z[1:]), z[0] * z[0])
+    """Squared Mahalanobis distance of a row to the estimate beside it: a sum of squares of few terms each."""
+    off = [F.col(x) - F.col(f"m{a}") for a, x in enumerate(X)]
+    z = [sum((F.col(f"i_{a}_{b}") * off[b] for b in range(a)), F.col(f"i_{a}_{a}") * off[a]) for a in range(len(X))]
+    return sum((F.pow(v, F.lit(2.0)) for v in z[1:]), F.pow(z[0], F.lit(2.0)))
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
