@@ -1,9 +1,13 @@
-"""Cross-entropy difference: matched target and background bigram models that share one hashed vocabulary.
+"""Cross-entropy difference: matched target and background bigram models that share one vocabulary, that of the corpus.
 
 The target is the documents labelled as good, the background all documents. Both models have the same order, smoothing
-and vocabulary: words are hashed into 2 ** WORD_BITS entries and pairs of words into 2 ** PAIR_BITS. Every document is
-counted: tasks count their own rows with numpy, and Spark adds the counts up by entry with partial sums. The summed
-table has one row for each entry, a size that the parameters bound; it goes to the driver and out to the scoring tasks.
+and vocabulary: every distinct word, and every distinct pair of neighbours, has counts of its own, however many there are.
+Keys of 62 bits stand for them: of a thousand million distinct pairs, fewer than one pair are expected to share a key.
+
+Documents are dealt into chunks of bounded size by hash. Each chunk answers with its distinct entries and their counts;
+Spark adds these up by entry into a settled table, which also lists the chunks that hold an entry. For the scores, the
+entries of more than one chunk go back to their chunks (what only one chunk holds, it has counted itself). No table of
+counts goes to the driver or to all tasks, and no entry has more rows than there are chunks.
 A document's score is the mean over its words of target loss minus background loss, in nats: the lower, the nearer to
 the target.
 
@@ -14,7 +18,6 @@ says so; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,20 +25,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, documents, small_batches, table
+from .common import bounded, documents, settle, table
 
-#: Entries of the vocabulary and of the table of pairs, as powers of two.
-WORD_BITS, PAIR_BITS = 18, 20
+#: Bits of the key of a word and of a pair.
+WORD_BITS, PAIR_BITS = 62, 62
 #: Weight of the pair model, and the count that each entry has beforehand.
 PAIR_WEIGHT, PRIOR = 0.6, 0.5
+#: Bytes of text in a chunk, about.
+CHUNK_BYTES = 1 << 21
 
-_POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit values with each bit spread over all."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _factors(n: int) -> np.ndarray:
+    """An odd factor for each place in a word."""
+    return _mixed((np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+_FACTORS = _factors(64)
+
+
 def word_ids(text: str | None) -> np.ndarray:
-    """The vocabulary entries of a text's words in order; lower case, split at white space."""
+    """The keys of a text's words in order; lower case, split at white space."""
     raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
     ink = ~_BLANK[raw]
     if not ink.any():
@@ -45,17 +64,17 @@ def word_ids(text: str | None) -> np.ndarray:
     first = starts[0]
     raw, ink, starts, ends = raw[first:], ink[first:], starts - first, ends - first
     at = np.arange(len(raw)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(raw)]))))
-    signed = (raw.astype(np.uint64) + np.uint64(1)) * _POWERS[at & 63] * ink
+    longest = int(at.max()) + 1
+    factors = _FACTORS if longest <= len(_FACTORS) else _factors(longest)
+    signed = (raw.astype(np.uint64) + np.uint64(1)) * factors[at] * ink
     h = np.add.reduceat(signed, starts) ^ (ends - starts).astype(np.uint64)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    return (_mixed(h) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
 def pair_ids(words: np.ndarray) -> np.ndarray:
-    """The entries of each word with the one before it."""
-    h = (words[:-1].astype(np.uint64) << np.uint64(WORD_BITS)) + words[1:].astype(np.uint64)
-    h = (h + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    """The keys of each word with the one before it."""
+    h = words[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (_mixed(h) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -64,96 +83,99 @@ def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(bounded(good), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
 
 
+def in_chunks(flagged: DataFrame, n: int) -> DataFrame:
+    """doc_id, text, good and the chunk, one of ``n``, by hash of doc_id and text."""
+    return flagged.select("doc_id", "text", "good", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"))
+
+
+class Chunk:
+    """The entries of a chunk's texts in order, words before pairs, as places in its distinct entries."""
+
+    def __init__(self, texts: pd.Series, good: pd.Series):
+        each = [word_ids(t) for t in texts]
+        self.good = good.to_numpy(bool).astype(np.int64)
+        self.n = np.array([len(w) for w in each], np.int64)
+        words = np.concatenate(each) if each else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(len(each)), self.n)
+        self.second = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1  # places of the words that have one before them
+        entries = np.concatenate((words + (1 << PAIR_BITS), pair_ids(words)[self.second - 1]))
+        self.of = np.concatenate((self.doc, self.doc[self.second]))
+        self.entries, self.at = np.unique(entries, return_inverse=True)
+        self.background = np.bincount(self.at, minlength=len(self.entries))
+        self.target = np.bincount(self.at, self.good[self.of], len(self.entries)).astype(np.int64)
+
+    def own(self) -> np.ndarray:
+        """How often each entry of a text occurs in it."""
+        _, back, n = np.unique(self.of * len(self.entries) + self.at, return_inverse=True, return_counts=True)
+        return n[back]
+
+    def losses(self, counts: np.ndarray, total: float, vocabulary: int, own: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Each text's mean loss of a word in nats, after ``share`` of its own counts is taken out; the first word has no pair."""
+        left = np.maximum(counts[self.at] - own * share[self.of], 0.0)
+        seen, both = left[: len(self.doc)], left[len(self.doc) :]
+        p = (seen + PRIOR) / (np.maximum(total - self.n * share, 0.0) + PRIOR * vocabulary)[self.doc]
+        before = np.maximum(seen[self.second - 1], both)
+        alone = p[self.second]
+        p[self.second] = np.where(before > 0, PAIR_WEIGHT * both / np.maximum(before, 1e-9) + (1 - PAIR_WEIGHT) * alone, alone)
+        return np.bincount(self.doc, -np.log(p), len(self.n)) / np.maximum(self.n, 1)
+
+
 def counts(flagged: DataFrame) -> DataFrame:
-    """entry, target and background counts over all rows; entries of pairs come first, then those of words."""
-    small_batches(flagged.sparkSession)
-    pairs, every = 1 << PAIR_BITS, (1 << PAIR_BITS) + (1 << WORD_BITS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, every), np.int64)
-        for b in batches:
-            for text, good in zip(b["text"], b["good"]):
-                w = word_ids(text)
-                for ids in (w + pairs, pair_ids(w)):
-                    np.add.at(sums[1], ids, 1)
-                    if good:
-                        np.add.at(sums[0], ids, 1)
-        entry = np.flatnonzero(sums[1])
-        for at in range(0, len(entry), 1 << 16):
-            part = entry[at : at + (1 << 16)]
-            yield pd.DataFrame({"entry": part.astype(np.int32), "target": sums[0, part], "background": sums[1, part]})
-
-    rows = flagged.select("text", "good").mapInPandas(run, "entry int, target long, background long")
-    return rows.groupBy("entry").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-class Model(NamedTuple):
-    """Counts of pairs and words of one model, as float32, and the number of words."""
-
-    pairs: np.ndarray
-    words: np.ndarray
-    total: float
-
-    def losses(self, words: np.ndarray, pairs: np.ndarray, own_words: np.ndarray, own_pairs: np.ndarray, n: int) -> float:
-        """The summed loss of a text's words in nats, after its own counts are taken out; the first word has no pair.
-
-        ``own_words`` and ``own_pairs``: what the text itself added to each of its entries, and ``n`` its words in all.
-        """
-        seen = np.maximum(self.words[words] - own_words, 0.0)
-        p = (seen + PRIOR) / (max(self.total - n, 0.0) + PRIOR * len(self.words))
-        both = np.maximum(self.pairs[pairs] - own_pairs, 0.0)
-        before = np.maximum(seen[:-1], both)
-        p[1:] = np.where(before > 0, PAIR_WEIGHT * both / np.maximum(before, 1e-9) + (1 - PAIR_WEIGHT) * p[1:], p[1:])
-        return float(-np.log(p).sum())
-
-
-def models(summed: DataFrame) -> tuple[float, Model, Model]:
-    """The background's scale, target and background from the summed counts; a row for each entry goes to the driver."""
-    every = np.zeros((2, (1 << PAIR_BITS) + (1 << WORD_BITS)), np.float32)
-    for part in summed.toArrow().to_batches():  # columns of numbers: rows as objects would take ten times the memory
-        entry = part.column("entry").to_numpy()
-        every[0, entry], every[1, entry] = part.column("target").to_numpy(), part.column("background").to_numpy()
-    totals = every[:, 1 << PAIR_BITS :].sum(axis=1, dtype=np.float64)
-    if not totals[0]:
-        every[0], totals[0] = every[1], totals[1]
-    scale = float(totals[0] / totals[1]) if totals[1] else 1.0
-    every[1] *= np.float32(scale)  # matched: smoothing then weighs as much in both
-    return scale, *(Model(x[: 1 << PAIR_BITS].copy(), x[1 << PAIR_BITS :].copy(), float(x[1 << PAIR_BITS :].sum(dtype=np.float64))) for x in every)
-
-
-def _own(ids: np.ndarray) -> np.ndarray:
-    """How often each entry of a text occurs in it."""
-    _, back, n = np.unique(ids, return_inverse=True, return_counts=True)
-    return n[back].astype(np.float64)
-
-
-def score(flagged: DataFrame, fitted: tuple[float, Model, Model]) -> DataFrame:
+    """entry, target and background counts over all rows, the chunks that hold the entry, and how many there are.
+
+    Entries of pairs come first, then those of words.
+    """
+    size = flagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // CHUNK_BYTES))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = Chunk(pdf["text"], pdf["good"])
+        return pd.DataFrame({"entry": c.entries, "chunk": np.full(len(c.entries), pdf["chunk"].iloc[0], np.int32), "target": c.target, "background": c.background})
+
+    rows = in_chunks(flagged, n).groupBy("chunk").applyInPandas(run, "entry long, chunk int, target long, background long")
+    sums = [F.sum("target").alias("target"), F.sum("background").alias("background"), F.collect_list("chunk").alias("chunks")]
+    return rows.repartition("entry").groupBy("entry").agg(*sums).withColumn("n_chunks", F.lit(n))
+
+
+class Models(NamedTuple):
+    """Settled counts by entry, words of target and background, distinct words, and the number of chunks."""
+
+    table: DataFrame
+    target: int
+    background: int
+    vocabulary: int
+    n_chunks: int
+
+
+def models(summed: DataFrame) -> Models:
+    """Target and background from the summed counts; one row of sums goes to the driver."""
+    summed = settle(summed, "counts")
+    words = summed.where(F.col("entry") >= 1 << PAIR_BITS)
+    row = words.agg(F.sum("target"), F.sum("background"), F.count("*"), F.max("n_chunks")).first()
+    return Models(summed, row[0] or 0, row[1] or 0, row[2], row[3] or 1)
+
+
+def score(flagged: DataFrame, fitted: Models) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss and score (their difference), each a mean over words.
 
     A text's own counts are taken out of the models that hold them, so that its being counted doesn't draw its score.
     """
-    small_batches(flagged.sparkSession)
-    sent = flagged.sparkSession.sparkContext.broadcast(fitted)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scale, target, background = sent.value
-        for b in batches:
-            rows = []
-            for text, good in zip(b["text"], b["good"]):
-                w = word_ids(text)
-                n = len(w)
-                if not n:
-                    rows.append((0, 0.0, 0.0))
-                    continue
-                p = pair_ids(w)
-                own_w, own_p, of_target = _own(w), _own(p), float(good)
-                t = target.losses(w, p, own_w * of_target, own_p * of_target, n * good)
-                rows.append((n, t / n, background.losses(w, p, own_w * scale, own_p * scale, n * scale) / n))
-            out = pd.DataFrame(rows, columns=["n_words", "target_loss", "background_loss"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out.assign(score=out["target_loss"] - out["background_loss"])
-
-    return flagged.select("doc_id", "text", "good").mapInPandas(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    _, of_target, of_all, vocabulary, n = fitted
+    # matched: smoothing then weighs as much in both
+    scale = of_target / of_all if of_target else 1.0
+
+    def run(docs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        c = Chunk(docs["text"], docs["good"])
+        at = np.searchsorted(c.entries, shared["entry"].to_numpy())
+        c.target[at], c.background[at] = shared["target"].to_numpy(), shared["background"].to_numpy()
+        own = c.own()
+        t = c.losses(c.target if of_target else c.background, of_target or of_all, vocabulary, own, c.good.astype(float))
+        b = c.losses(c.background * scale, of_all * scale, vocabulary, own, np.full(len(docs), scale))
+        return pd.DataFrame({"doc_id": docs["doc_id"], "n_words": c.n, "target_loss": t, "background_loss": b, "score": t - b})
+
+    shared = fitted.table.where(F.size("chunks") > 1).select(F.explode("chunks").alias("chunk"), "entry", "target", "background")
+    schema = "doc_id long, n_words long, target_loss double, background_loss double, score double"
+    return in_chunks(flagged, n).groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(run, schema)
 
 
 def op4_lm(spark, sf_dir: str) -> DataFrame:

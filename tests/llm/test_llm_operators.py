@@ -151,6 +151,41 @@ def test_lm_prefers_the_target(spark):
     assert out[out.doc_id % 2 == 1].score.max() < out[out.doc_id % 2 == 0].score.min()
 
 
+def test_lm_counts_and_losses_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 20_000)
+    rows = [(k, " ".join(f"w{(k * 997 + j * j * 31 + j) % 150_000}" for j in range(600))) for k in range(500)] + [(None, "w1 w2 w1"), (None, "w1 w2 w1"), (900, " "), (901, "ab" + "x" * 62 + "c"), (902, "cb" + "x" * 62 + "a")]
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 500, 3)], "doc_id long, quality int")
+    flagged = lm_score.with_target(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    words, pairs = (Counter(), Counter()), (Counter(), Counter())
+    for i, t in rows:
+        w = t.split()
+        for m in (0, 1) if i is not None and i < 500 and i % 3 == 0 else (1,):
+            words[m].update(w)
+            pairs[m].update(zip(w, w[1:]))
+    fitted = lm_score.models(lm_score.counts(flagged))
+    sums = fitted.table.toPandas()
+    assert fitted.n_chunks > 20 and len(sums) == len(words[1]) + len(pairs[1])
+    assert Counter(sums.background) == Counter(words[1].values()) + Counter(pairs[1].values())
+    totals = [w.total() for w in words]
+    scale = totals[0] / totals[1]
+
+    def loss(w, m, share):
+        own, both, k, out = Counter(w), Counter(zip(w, w[1:])), scale if m else 1.0, []
+        seen = lambda x: max(words[m][x] * k - own[x] * share, 0.0)
+        for j, x in enumerate(w):
+            p = (seen(x) + lm_score.PRIOR) / (totals[m] * k - len(w) * share + lm_score.PRIOR * len(words[1]))
+            if j:
+                c = max(pairs[m][w[j - 1], x] * k - both[w[j - 1], x] * share, 0.0)
+                before = max(seen(w[j - 1]), c)
+                p = lm_score.PAIR_WEIGHT * c / before + (1 - lm_score.PAIR_WEIGHT) * p if before > 1e-9 else p
+            out.append(-np.log(p))
+        return sum(out) / max(1, len(w))
+
+    want = sorted((-1 if i is None else i, loss(t.split(), 0, float(i is not None and i < 500 and i % 3 == 0)), loss(t.split(), 1, scale)) for i, t in rows)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["target_loss"], r["background_loss"]) for r in lm_score.score(flagged, fitted).collect())
+    assert np.allclose(got, want, rtol=1e-6)
+
+
 # ---------------------------------------------------------------- 5
 def test_bpe_like_the_library(spark, docs, texts, sf_dir):
     from tokenizers import Tokenizer
