@@ -37,6 +37,23 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(ranks, df[value] == ranks["_v"]).drop("_v")
 
 
+def average_rank_within(df: DataFrame, key: str, value: str, name: str, ranges: int = RANGES) -> DataFrame:
+    """``df`` with the rank of a value among the rows of its key, from 1; equal values share their mean rank.
+
+    Each key's values are dealt into ranges of their own. Rows without a key or a value are left out.
+    """
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = df.groupBy(F.col(key).alias("_key")).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
+    each = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    each = each.join(cuts, "_key").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    prior = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key at most
+    shift = each.groupBy("_key", "_range").agg(F.sum("_c").alias("_size")).select("_key", "_range", F.coalesce(F.sum("_size").over(prior), F.lit(0)).alias("_shift"))
+    own = Window.partitionBy("_key", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    local = each.withColumn("_local", F.coalesce(F.sum("_c").over(own), F.lit(0))).join(shift, ["_key", "_range"])
+    ranks = local.select("_key", "_v", (F.col("_shift") + F.col("_local") + (F.col("_c") + 1) / 2.0).alias(name))
+    return df.join(ranks, (df[key] == ranks["_key"]) & (df[value] == ranks["_v"])).drop("_key", "_v")
+
+
 def ordinal_percentile(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     """``df`` with the share of rows that come before it in order of value, then of ``tie``."""
     ranks = value_ranks(df, value).select(F.col(value).alias("_v"), "before")

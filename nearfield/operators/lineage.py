@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranks import pearson
+from ..functions.ranks import average_rank_within, pearson
+from . import neighbours as nb
 
 
 def lineage_edges(cells: DataFrame) -> DataFrame:
@@ -71,11 +72,7 @@ def branch_monotonicity(cells: DataFrame, branch: str, least: int = 20) -> DataF
     axis = sums.where((F.col("n") >= least) & (F.col("times") > 1)).select(branch, "mx", "my", "n", ax.alias("ax"), ay.alias("ay"))
     placed = cells.join(F.broadcast(axis), branch).withColumn("place", F.round(((F.col("x") - F.col("mx")) * F.col("ax") + (F.col("y") - F.col("my")) * F.col("ay")) / F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2), 9))
 
-    def rank(c: str):
-        own, tie = Window.partitionBy(branch).orderBy(c), Window.partitionBy(branch, c)
-        return F.rank().over(own) + (F.count("*").over(tie) - 1) / 2.0
-
-    ranked = placed.select(branch, "n", rank("time").alias("rt"), rank("place").alias("rp"))
+    ranked = average_rank_within(average_rank_within(placed.select(branch, "n", "time", "place"), branch, "time", "rt"), branch, "place", "rp")
     each = ranked.groupBy(branch).agg(F.abs(pearson("rt", "rp")).alias("r"), F.first("n").alias("n")).where("r is not null and not isnan(r)")
     return each.agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("branch_monotonicity"))
 
@@ -137,26 +134,29 @@ def _ring(pts: list[tuple]) -> list[tuple]:
     return chain(pts) + chain(pts[::-1])
 
 
-def mean_pairwise(df: DataFrame, group: str, column: str, cap: int = 1000) -> DataFrame:
-    """(group, spread): mean Euclidean distance of all pairs of a seeded sample of at most ``cap`` rows of each group.
+def mean_pairwise(df: DataFrame, group: str, column: str) -> DataFrame:
+    """(group, spread): mean Euclidean distance of all pairs of rows of each group, 0 for a single row.
 
-    The cap is the operator's own parameter; sampled rows of one group are compared in one task.
+    A group's rows are dealt into blocks by hash of their id; each pair of blocks answers with its sum of distances.
     """
-    import numpy as np
-
-    from .sampling import hash_key
-
-    w = Window.partitionBy(group).orderBy(hash_key(0, "id"), "id")
-    some = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).select(group, F.col(column).alias("v"))
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    rows = df.select(group, "id", F.col(column).alias("v")).join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    rows = rows.withColumn("_blocks", F.ceil(F.col("_n") / nb.BLOCK).cast("int"))
+    rows = rows.select(group, "v", "_blocks", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("_k"))
+    own = lambda: (F.col(group).alias(group), F.col("v").alias("v"))  # noqa: E731  # columns of each side's own
+    left = rows.select(*own(), F.col("_k").alias("_q"), F.explode(F.sequence("_k", F.col("_blocks") - 1)).alias("_r"))
+    right = rows.select(*own(), F.explode(F.sequence(F.lit(0), "_k")).alias("_q"), F.col("_k").alias("_r"))
     kind = dict(df.dtypes)[group]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy())
-        total = sum(float(np.sqrt(((x[k + 1 :] - x[k]) ** 2).sum(axis=1)).sum()) for k in range(len(x)))
-        pairs = len(x) * (len(x) - 1) / 2
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "spread": [total / pairs if pairs else 0.0]})
+    def run(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        total = nb.distances(q["v"], r["v"]).sum() if len(q) and len(r) else 0.0
+        return pd.DataFrame({group: (q if len(q) else r)[group].iloc[:1].to_numpy(), "total": [total if key[1] == key[2] else 2 * total]})
 
-    return some.groupBy(group).applyInPandas(run, f"`{group}` {kind}, spread double")
+    keys = [group, "_q", "_r"]
+    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"`{group}` {kind}, total double")
+    sums = sums.groupBy(group).agg(F.sum("total").alias("_total"))
+    pairs = F.col("_n") * (F.col("_n") - 1)
+    return sums.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).select(group, F.when(pairs > 0, F.col("_total") / pairs).otherwise(0.0).alias("spread"))
 
 
 def class_spread_recovery(pts: DataFrame, label: str, least_rows: int = 20, least_classes: int = 8) -> DataFrame:

@@ -37,6 +37,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def distances(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Euclidean distances of all pairs of two series of arrays."""
+    return _distances(_matrix(a), _matrix(b))
+
+
 def _in_blocks(queries: DataFrame, refs: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Runs ``run`` on each pair of blocks. Both sides have ``id`` and ``v``; queries may have more."""
     nq, nr = _blocks(queries.count()), _blocks(refs.count())

@@ -167,3 +167,25 @@ def test_svc_tells_apart_two_clouds(spark):
     df = spark.createDataFrame(rows, "id long, ld array<double>, label int")
     assert classify.svc_accuracy(df, "ld", "label", 2, steps=5).first()[0] == 1.0
     assert math.isnan(classify.svc_accuracy(df.where("label <> 1"), "ld", "label").first()[0])
+
+
+def test_mean_pairwise_takes_every_pair(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1303, 2)) * np.linspace(0.1, 5, 1303)[:, None]
+    rows = [(i, r.tolist(), 0 if i < 1300 else None if i < 1302 else 2) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, ld array<double>, label int")
+    got = {r["label"]: r["spread"] for r in lineage.mean_pairwise(df, "label", "ld").collect()}
+    d = np.sqrt(((x[:1300, None] - x[None, :1300]) ** 2).sum(-1))
+    assert got == {0: pytest.approx(d.sum() / (1300 * 1299)), None: pytest.approx(float(np.linalg.norm(x[1300] - x[1301]))), 2: 0.0}
+
+
+def test_ranks_within_a_key(spark):
+    from nearfield.functions.ranks import average_rank_within
+
+    rng = np.random.default_rng(9)
+    rows = [(str(k % 2), float(v)) for k, v in enumerate(rng.integers(0, 90, 400) * (1 + np.arange(400) % 2 * 50))]
+    got = average_rank_within(spark.createDataFrame(rows, "b string, v double"), "b", "v", "k").collect()
+    assert len(got) == 400
+    for r in got:
+        own = [v for b, v in rows if b == r["b"]]
+        assert r["k"] == sum(v < r["v"] for v in own) + (sum(v == r["v"] for v in own) + 1) / 2
