@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,15 +13,18 @@ from ..functions.ranks import spearman
 from ..functions.tables import settle
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 200) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(source, node, dist) of all nodes that a source reaches.
 
-    Each round relaxes the edges of the rows that improved in the last one; it ends when none did. A zero weight counts
-    as no edge. Every round is a table in the shared folder.
+    Each round relaxes the edges of the rows that improved in the last one; it ends when none did, as
+    weights are positive. A zero weight counts as no edge. Every round is a table in the shared folder. With
+    ``most_rounds``, paths that are not settled by then are an error.
     """
     edges = settle(edges.where("w > 0").select("src", "dst", "w"), "edges")
     best = settle(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")), "paths")
-    for _ in range(most_rounds):
+    for done in itertools.count():
+        if done == most_rounds:
+            raise RuntimeError(f"paths still get shorter after {most_rounds} rounds")
         step = best.where("fresh").join(edges, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         merged = best.select("source", "node", "dist").join(step, ["source", "node"], "full")
         fresh = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))

@@ -189,3 +189,14 @@ def test_ranks_within_a_key(spark):
     for r in got:
         own = [v for b, v in rows if b == r["b"]]
         assert r["k"] == sum(v < r["v"] for v in own) + (sum(v == r["v"] for v in own) + 1) / 2
+
+
+def test_shortest_paths_are_never_cut(spark):
+    import inspect
+
+    edges = spark.createDataFrame([(k, k + 1, 1.0) for k in range(6)], "src long, dst long, w double")
+    start = spark.createDataFrame([(0,)], "node long")
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(edges, start, most_rounds=3)
+    assert inspect.signature(graph.shortest_paths).parameters["most_rounds"].default is None
+    assert {r["node"]: r["dist"] for r in graph.shortest_paths(edges, start).collect()} == {k: float(k) for k in range(7)}
