@@ -8,7 +8,8 @@ the start whose covariance has the lesser determinant wins. A document beyond th
 All sums are aggregates by group with partial sums before the shuffle; what is kept by group is one row of a mean and a
 Cholesky factor. A floor under each spread keeps a statistic that is constant in most rows (say, no repeated line) from
 making every small deviation an outlier. A group of under MIN_ROWS rows is judged by the estimate of its language's
-small groups together, and those, if still too few, by the base rules alone.
+small groups together; if those are still too few, by that of the whole language, and then by that of all rows, however
+few. So every document that passes the base rules has a distance.
 
 Defined cases: a null text has no words and fails the base rules; null language and source are groups like others;
 repeated rows are judged alike and all count in the estimates; an empty table gives an empty result; further columns
@@ -170,18 +171,23 @@ def _group() -> Column:
 
 
 def estimates(stats: DataFrame) -> DataFrame:
-    """An estimate for each group (``own``) of settled statistics that has enough rows, alone or with others."""
+    """An estimate for each group (``own``) of settled statistics: its own, or that of the least larger set with enough rows."""
     rows = transformed(stats.where(~F.col("base_failed"))).withColumn("own", _group())
     sizes = settle(rows.groupBy("own", F.split("own", "\t")[0].alias("of_lang")).agg(F.count("*").alias("n")), "sizes")
-    groups = sizes.select("own", F.when(F.col("n") >= MIN_ROWS, F.col("own")).otherwise(F.concat(F.lit("other\t"), F.col("of_lang"))).alias("grp"), "n")
-    enough = groups.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ROWS)
-    groups = settle(groups.select("own", "grp").join(enough.select("grp"), "grp"), "groups")
-    fit = rows.join(bounded(groups, BROADCAST_GROUPS), ["own"])
-    return settle(groups.join(mcd(fit), "grp").drop("grp"), "estimates")
+    few = F.col("n") < MIN_ROWS
+    langs = sizes.groupBy("of_lang").agg(F.sum("n").alias("in_lang"), F.sum(F.when(few, F.col("n"))).alias("in_few"))
+    other, lang, every = F.concat(F.lit("other\t"), F.col("of_lang")), F.concat(F.lit("lang\t"), F.col("of_lang")), F.lit("all")
+    first = F.when(~few, F.col("own")).when(F.col("in_few") >= MIN_ROWS, other).when(F.col("in_lang") >= MIN_ROWS, lang).otherwise(every)
+    # ``grp`` judges the group; the group's rows count in each of ``parts`` that judges some group
+    parts = F.array(F.when(few, other).otherwise(F.col("own")), lang, every)
+    groups = settle(sizes.join(langs, "of_lang").select("own", first.alias("grp"), parts.alias("parts")), "groups")
+    into = settle(groups.select("own", F.explode("parts").alias("grp")).join(groups.select("grp").distinct(), "grp", "left_semi"), "parts")
+    fit = rows.join(bounded(into, BROADCAST_GROUPS), ["own"])
+    return settle(groups.select("own", "grp").join(mcd(fit), "grp").drop("grp"), "estimates")
 
 
 def verdicts(stats: DataFrame, est: DataFrame) -> DataFrame:
-    """``stats`` with distance2 (null if no estimate applies) and kept."""
+    """``stats`` with distance2 (null only if no row of the group passes the base rules) and kept."""
     judged = transformed(stats).withColumn("own", _group()).join(bounded(est, BROADCAST_GROUPS), "own", "left").withColumn("distance2", _distance())
     return judged.select(*stats.columns, "distance2", (~F.col("base_failed") & ~F.coalesce(F.col("distance2") > CUT, F.lit(False))).alias("kept"))
 

@@ -365,6 +365,20 @@ def test_quality_outliers(spark):
     assert all(got[k] for k in range(200)) and not any(got[1000 + k] for k in range(20))
 
 
+def test_quality_judges_small_groups(spark):
+    rng = random.Random(4)
+    pool = ["".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    text = lambda: " ".join(rng.choice(pool) for _ in range(rng.randint(60, 300)))
+    odd = lambda: " ".join(w + "$$$" for w in text().split())
+    rows = [(k, text(), "en", "large") for k in range(120)]
+    rows += [(200 + k, odd() if k < 2 else text(), "en", "small") for k in range(12)]
+    rows += [(300 + k, odd() if k < 2 else text(), "xx", "rare") for k in range(9)] + [(400, odd(), None, None), (401, "too short", "yy", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert len(got) == len(rows) and all(r["distance2"] is not None for k, r in got.items() if k != 401)
+    assert {k for k, r in got.items() if not r["kept"]} == {200, 201, 300, 301, 400, 401}
+
+
 # ---------------------------------------------------------------- 10
 def test_sharding(spark, docs, texts, empty, tmp_path):
     records = sharding.sized(docs)
