@@ -200,3 +200,10 @@ def test_shortest_paths_are_never_cut(spark):
         graph.shortest_paths(edges, start, most_rounds=3)
     assert inspect.signature(graph.shortest_paths).parameters["most_rounds"].default is None
     assert {r["node"]: r["dist"] for r in graph.shortest_paths(edges, start).collect()} == {k: float(k) for k in range(7)}
+
+
+def test_summary_has_all_eleven_metrics(cloud):
+    _, df = cloud
+    assert {"shepard", "triplet_accuracy", "msdp_auc"} < set(fidelity.summary(df).columns) and len(fidelity.summary(df).columns) == 11
+    same = df.withColumn("ld", F.col("hd"))
+    assert fidelity.shepard(same).first()[0] == pytest.approx(1.0) and fidelity.triplet_accuracy(same).first()[0] == 1.0
