@@ -15,25 +15,45 @@ BLANK = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir`` that driver and executors share; a new local one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir`` that driver and executors share.
+
+    Where it is unset a local session gets a new folder of its own; on a cluster that is an error, as executors would
+    write what others cannot read.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = getattr(spark, "_nearfield_folder", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = getattr(spark, "_nearfield_folder", None) or tempfile.mkdtemp(prefix="nearfield-")
         spark._nearfield_folder = folder
     return folder.rstrip("/")
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there, and any executor may be lost.
-
-    Void columns cannot be written, so they become strings of nulls.
-    """
+    """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there, and any executor may be lost."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    settled(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession) -> list[str]:
+    """The paths of the tables that this session has settled and not swept, in order."""
+    if not hasattr(spark, "_nearfield_tables"):
+        spark._nearfield_tables = []
+    return spark._nearfield_tables
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes settled tables that nothing reads any more; tables of other sessions are never touched."""
+    held = settled(spark)
+    for p in [p for p in paths if p in held]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        held.remove(p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; its path may be in a store that only Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,11 +69,11 @@ def ascii_lower(col: Column | str) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bounds what one Arrow batch of long texts can hold: fewer rows than Spark's default, unless the user set a count."""
-    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if spark.conf.get(key, default) == default:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, size: int = 1 << 23) -> None:
+    """Bounds the bytes of an Arrow batch of long texts to 8 MB, unless the session has a bound of its own."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 26)
+    if spark.conf.get(key, default).rstrip("b") == default:
+        spark.conf.set(key, str(size))
 
 
 #: Greatest number of keys that are broadcast, under 100 bytes each; beyond it both sides of the join are shuffled.

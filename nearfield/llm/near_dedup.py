@@ -6,8 +6,13 @@ which its prefixes differ, and is dropped once they exceed the error budget. The
 node holds few enough fingerprints; a pair of such nodes within the budget is one group of rows, which Spark deals out
 and numpy traverses to the leaves. A group answers with a spanning forest of its links, never with all pairs.
 
-Defined cases: a null or blank text has fingerprint 0, and links like any other; repeated rows of one doc_id share a
-component; an empty table gives an empty result; further columns are ignored by :func:`link_documents`.
+The graph is one of fingerprints, so a component is a set of rows, whatever their doc_ids are; its component_id is the
+least doc_id of those rows.
+
+Defined cases: a null or blank text has fingerprint 0, and links like any other; equal texts share a component; a doc_id
+whose rows have different texts may have several; a row without doc_id links like any other, and a component of such
+rows alone has a null component_id; a very long text is hashed by parts of 65,536 shingles; an empty table gives an empty
+result; further columns are ignored by :func:`link_documents`.
 """
 
 from __future__ import annotations
@@ -18,13 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, documents, settle, small_batches
 
 #: Deepest cut of the upper trie: its counts, at most 2 ** TOP_BITS rows, go to the driver.
 TOP_BITS = 12
+#: Fewest distinct fingerprints that are worth a node of their own.
+LEAST_NODE = 2048
 #: Node pairs that numpy expands at a time, which bounds a task's memory.
 FRONTIER = 1 << 18
 #: A node pair of no more leaf pairs than this is compared leaf by leaf.
@@ -55,15 +62,21 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and its fingerprint as a signed long ``fp``; one pass over the texts, no shuffle."""
+    """doc_id, ``row_hash`` of all columns, and the fingerprint as a signed long ``fp``; one pass, no shuffle."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "row_hash": b["row_hash"], "fp": fps})
+
+    slim = docs.select(F.col("doc_id").cast("long"), row_hash(docs), F.col("text").cast("string"))
+    return slim.mapInPandas(run, "doc_id long, row_hash long, fp long")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, so that rows that differ anywhere are told apart."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"]).alias("row_hash")
 
 
 # ---------------------------------------------------------------- trie traversal within a task
@@ -144,14 +157,14 @@ def _join_labels(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             lab[:] = up
 
 
-def _forest(a: np.ndarray, b: np.ndarray, rep_a: np.ndarray, rep_b: np.ndarray, own: bool, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (greater, less) between representatives, a spanning forest of all links between a and b."""
-    reps = rep_a if own else np.concatenate([rep_a, rep_b])
-    lab = np.arange(len(reps))
+def _forest(a: np.ndarray, b: np.ndarray, own: bool, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (greater, less) between fingerprints as signed longs, a spanning forest of all links between a and b."""
+    fps = (a if own else np.concatenate([a, b])).view(np.int64)
+    lab = np.arange(len(fps))
     for i, j in trie_links(a, b, own, budget):
         _join_labels(lab, i.astype(np.int64), j.astype(np.int64) + (0 if own else len(a)))
     moved = np.flatnonzero(lab != np.arange(len(lab)))
-    u, v = reps[moved], reps[lab[moved]]
+    u, v = fps[moved], fps[lab[moved]]
     return np.maximum(u, v), np.minimum(u, v)
 
 
@@ -185,35 +198,45 @@ def node_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int
     return pairs
 
 
+def node_target(total: int) -> int:
+    """Fingerprints that a node, or a part of one, holds at most, about."""
+    return max(LEAST_NODE, int(80 * math.sqrt(total)))
+
+
 def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
-    """Edges (u, v), u > v, that join the ``rep`` of all fingerprints within ``budget`` bits. fps: distinct fp, rep.
+    """Edges (u, v), u > v, that connect all fingerprints within ``budget`` bits. fps: distinct ``fp``.
 
     The counts of the upper trie, at most 4,096 rows, go to the driver; nodes hold about 80 * sqrt(n) fingerprints each,
-    so both the rows a group holds and the copies a row needs grow less than the table.
+    so both the rows a group holds and the copies a row needs grow less than the table. A node of the deepest cut that
+    still holds more is dealt by hash into parts, each a node of the same prefix: no group is larger, however the
+    fingerprints lie.
     """
     spark = fps.sparkSession
     top = F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int")
     counts = {r["top"]: r["n"] for r in fps.groupBy(top.alias("top")).agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    nodes = upper_nodes(counts, max(2048, int(80 * math.sqrt(total))))
-    pairs = node_pairs(nodes, budget)
-    partners: dict[int, list[tuple[int, int, int]]] = {k: [] for k in range(len(nodes))}
-    for k, (x, y) in enumerate(pairs):
+    target = node_target(sum(counts.values()))
+    cut = upper_nodes(counts, target)
+    held = [sum(counts.get(p, 0) for p in range(q << (TOP_BITS - d), (q + 1) << (TOP_BITS - d))) for d, q in cut]
+    parts = [max(1, -(-n // target)) for n in held]
+    nodes = [node for node, n in zip(cut, parts) for _ in range(n)]
+    first = [sum(parts[:k]) for k in range(len(parts))]
+    partners: list[list[tuple[int, int, int]]] = [[] for _ in nodes]
+    for k, (x, y) in enumerate(node_pairs(nodes, budget)):
         partners[x].append((k, 0, int(x == y)))
         if x != y:
             partners[y].append((k, 1, 0))
-    at = {p: k for k, (d, q) in enumerate(nodes) for p in range(q << (TOP_BITS - d), (q + 1) << (TOP_BITS - d)) if p in counts}
-    if not at:
+    rows = [(p, [partners[first[k] + j] for j in range(parts[k])]) for k, (d, q) in enumerate(cut) for p in range(q << (TOP_BITS - d), (q + 1) << (TOP_BITS - d)) if p in counts]
+    if not rows:
         return spark.createDataFrame([], "u long, v long")
-    plan = spark.createDataFrame([(p, partners[k]) for p, k in sorted(at.items())], "top int, groups array<struct<g:int,side:int,own:int>>")
-    dealt = fps.withColumn("top", top).join(F.broadcast(plan), "top").select("fp", "rep", F.explode("groups").alias("x")).select("x.g", "x.side", "x.own", "fp", "rep")
+    plan = spark.createDataFrame(sorted(rows), "top int, parts array<array<struct<g:int,side:int,own:int>>>")
+    part = F.get("parts", F.pmod(F.xxhash64("fp"), F.size("parts")).cast("int"))
+    dealt = fps.select("fp", top.alias("top")).join(F.broadcast(plan), "top").select("fp", F.explode(part).alias("x")).select("x.g", "x.side", "x.own", "fp")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(fp=pdf["fp"].to_numpy().view(np.uint64)).sort_values("fp")
         own = bool(pdf["own"].iloc[0])
-        a = pdf[pdf["side"] == 0]
-        b = a if own else pdf[pdf["side"] == 1]
-        u, v = _forest(a["fp"].to_numpy(), b["fp"].to_numpy(), a["rep"].to_numpy(), b["rep"].to_numpy(), own, budget)
+        pdf = pdf.assign(fp=pdf["fp"].to_numpy().view(np.uint64)).sort_values("fp")
+        a = pdf.loc[pdf["side"] == 0, "fp"].to_numpy()
+        u, v = _forest(a, a if own else pdf.loc[pdf["side"] == 1, "fp"].to_numpy(), own, budget)
         return pd.DataFrame({"u": u, "v": v})
 
     return dealt.groupBy("g").applyInPandas(run, "u long, v long")
@@ -244,19 +267,39 @@ def components(edges: DataFrame) -> DataFrame:
             return tree
 
 
+def link_rows(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
+    """doc_id, row_hash, ``fp``, ``root`` (a fingerprint that stands for the component) and component_id of each row."""
+    marked = settle(fingerprints(docs, shingle), "fingerprints")
+    fps = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(fingerprint_links(fps.select("fp"), budget))
+    rooted = settle(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(rooted.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "row_hash", "fp", "root", "component_id")
+
+
 def link_documents(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
     """doc_id, ``fp`` (signed long) and component_id, one row for each row of ``docs``."""
-    marked = settle(fingerprints(docs, shingle), "fingerprints")
-    fps = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = components(fingerprint_links(fps, budget))
-    classes = fps.join(roots, fps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return link_rows(docs, shingle, budget).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
-    """``docs`` without the documents that link to one of smaller doc_id; of repeated rows all stay together."""
-    gone = settle(link_documents(docs, shingle, budget).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
+    """One row of ``docs`` for each component: that of the least doc_id, then of the least hash of the row.
+
+    Rows without doc_id come last. Of rows that are equal in all columns one stays, and no component loses its last row.
+    Only rows that are repeated and stay are shuffled with their text.
+    """
+    rows = settle(link_rows(docs, shingle, budget), "linked")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash")
+    stays = rows.groupBy("root").agg(F.min(order).alias("k")).select(F.col("root").alias("s_root"), F.col("k.doc_id").alias("s_id"), F.col("k.row_hash").alias("s_hash"))
+    keys = rows.groupBy("root", "doc_id", "row_hash").agg(F.count("*").alias("n"))
+    same = (F.col("root") == F.col("s_root")) & (F.col("row_hash") == F.col("s_hash")) & F.col("doc_id").eqNullSafe(F.col("s_id"))
+    judged = keys.join(stays, same, "left").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "n", F.col("s_root").isNotNull().alias("stays"))
+    acted = settle(judged.where("not stays or n > 1"), "acted")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"), row_hash(docs).alias("_row"))
+    match = (F.col("_row") == F.col("_hash")) & F.col("_doc").eqNullSafe(F.col("_id"))
+    once = keyed.join(bounded(acted), match, "left_anti")
+    several = keyed.join(bounded(acted.where("stays")), match, "left_semi").dropDuplicates(["_doc", "_row"])
+    return once.unionByName(several).select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

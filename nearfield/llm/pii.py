@@ -1,39 +1,56 @@
 """PII surrogates, in DataFrame functions alone.
 
-Detected entities get keyed, type-consistent replacements: an e-mail address stays one, a phone number keeps its country
-code and its punctuation, a card number its length, its issuer digit and a right check digit, an address of the internet
-four octets of the public kind, a secret its length, case and alphabet, a name after a title the gender of its title, its
-script and its number of words. The same entity, in whatever format, gets the same replacement in every document.
-
-Texts are read twice, without a shuffle. First, distinct entities are gathered (with partial aggregation) and their
-replacements checked: no two entities may share one, and none may be an entity of the corpus; the losers are hashed anew
-with a higher attempt until none is left. Second, texts are cut at their entities and put together again. A replacement
-is a function of key, kind, entity and attempt, so only the few entities with an attempt over 0 must be looked up.
-
-Defined cases: a null text stays null and has no entities; a number that is no valid card, or an address with an octet
-over 255, stays; repeated rows are changed alike; an empty table gives an empty result; other columns stay as they are.
+Detected entities get keyed, type-consistent replacements: an e-mail address stays one; a phone number keeps its country
+code and its punctuation; a card number its length, issuer digit and a right check digit; an account number (IBAN) its
+country, the kind of each sign and right check digits; an internet address becomes four public octets or eight groups; a
+social security number and a secret keep length, case and alphabet; a name after a title keeps the title, and gets words of
+the gender of the title, of its script, its number of words and its case.
+
+The same entity, in whatever format, gets the same replacement in every document: ``+1 (555) 123-4567`` is
+``(555) 123-4567``. Each word of a name is an entity of its own, so ``Mr John Smith`` and ``Mr Smith`` keep one family name;
+where a document names someone with a title and two words or more, the same words without the title are replaced too.
+Given names after titles of either gender (``Dr``, ``Prof``) are replaced by names of either gender.
+
+Replacements are made by HMAC-SHA512 of kind, entity and attempt. Texts are read twice, without a shuffle. First, distinct
+entities are gathered (with partial aggregation) and their replacements checked: no two entities may share one, and none may
+be an entity of the corpus; the losers are hashed anew with a higher attempt until none is left (names then get longer, so
+the values to choose from grow with each attempt). Second, texts are cut at their entities and put together again. Only the
+few entities with an attempt over 0 must be looked up.
+
+Patterns are linear in the text: none repeats a group without a bound, and runs are only tried from their first sign, so no
+text, however long or odd, takes more than a bounded time for each sign, nor a deep stack. Known limits: national phone
+numbers without a country code are found in the forms ``(ddd) ddd-dddd`` and ``ddd-ddd-dddd`` only; names only after a title;
+internet addresses of version 6 only with all eight groups.
+
+Defined cases: a null text stays null and has no entities; a number that is no valid card or account, or an address with an
+octet over 255, stays; repeated rows are changed alike; an empty table gives an empty result; other columns stay as they
+are, whatever their names; ties between entities for a replacement go to the lesser entity.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, settle
 
-#: Titles by gender and script. F, M: female, male; L, C, G: Latin, Cyrillic, Greek.
+#: Titles by gender and script. F, M, N: female, male, either; L, C, G: Latin, Cyrillic, Greek.
 TITLES = {
     "FL": ["Mrs", "Ms", "Miss", "Madame", "Mme", "Frau", "Señora", "Sra", "Signora", "Sig.ra"],
     "ML": ["Mr", "Sir", "Monsieur", "Herr", "Señor", "Sr", "Signor"],
+    "NL": ["Dr", "Prof", "Professor"],
     "FC": ["госпожа", "Госпожа"],
     "MC": ["господин", "Господин"],
     "FG": ["κυρία", "Κυρία"],
     "MG": ["κύριος", "Κύριος"],
 }
-#: Given names by gender and script, and syllables that family names are made of.
+#: Given names by gender and script, and syllables and endings that family names are made of.
 GIVEN = {
     "FL": "Anna Clara Diana Elena Emma Flora Greta Helena Ida Julia Laura Lena Maria Martha Nina Olivia Paula Rosa Sofia Vera".split(),
     "ML": "Adam Albert Anton Bruno Carl David Emil Felix Frank Georg Hugo Ivan Jonas Leon Martin Oscar Paul Robert Simon Victor".split(),
+    "NL": "Alex Ariel Charlie Jamie Jules Kai Kim Luca Mika Noa Robin Sam Sascha Toni".split(),
     "FC": "Анна Вера Дарья Елена Ирина Лидия Мария Нина Ольга София".split(),
     "MC": "Антон Борис Виктор Глеб Денис Иван Лев Максим Олег Роман".split(),
     "FG": "Άννα Ελένη Ζωή Ηρώ Θάλεια Ιρις Μαρία Νίκη Σοφία Χλόη".split(),
@@ -44,26 +61,41 @@ SYLLABLES = {
     "C": "ба бе би бо да де ди до ва ве ви во га ге ги го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но".split(),
     "G": "βα βε βι βο δα δε δι δο φα φε φι φο γα γε γι γο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο".split(),
 }
-ENDINGS = {"L": ("son", "son"), "C": ("ова", "ов"), "G": ("ου", "ος")}
-
-_ALL_TITLES = sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)
-_TITLE = "(?:" + "|".join(t.replace(".", r"\.") for t in _ALL_TITLES) + ")"
+#: By the code of a family name: X, a Latin one, is the same for all genders.
+ENDINGS = {"XL": "son", "FC": "ова", "MC": "ов", "FG": "ου", "MG": "ος"}
+#: Country codes of telephone numbers.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+
+_TITLE = "(?:" + "|".join(t.replace(".", r"\.") for t in sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)) + ")"
+_BLANK = r"[ \u00a0]"
+_HEAD = rf"{_TITLE}\.?(?:{_BLANK}(?:Dr|Prof)\.?){{0,2}}{_BLANK}"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: One pattern for each kind, asked in this order.
+#: One pattern for each kind, asked in this order. Lengths of e-mail addresses are those of the standard.
 PATTERNS = {
-    "email": r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9_%+.-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,24}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]|\.[0-9])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z-])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z-])",
     "secret": r"(?<![0-9A-Za-z])(?:(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})|AKIA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}]){_TITLE}\.?[  ]{_NAME}(?:[  ]{_NAME}){{0,2}}",
+    "name": rf"(?<![\p{{L}}]){_HEAD}{_NAME}(?:{_BLANK}{_NAME}){{0,2}}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold for the pattern to be tried.
 QUICK = rf"[0-9@]|AKIA|gh[oprsu]_|sk-|{_TITLE}"
 #: Greatest number of entities with an attempt over 0 that are broadcast, under 200 bytes each.
 BROADCAST_ROWS = 100_000
+#: From this attempt on a number or address gets four more digits; after the last one the format counts as used up.
+LONGER, LAST_ATTEMPT = 12, 64
+
+
+def _literal_map(entries: dict) -> Column:
+    """A map of literals, which the optimizer makes once."""
+    value = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+    return F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), value(v))])
 
 
 def mentions(text: Column | str) -> Column:
@@ -76,24 +108,35 @@ def mentions(text: Column | str) -> Column:
 def kind_of(m: Column) -> Column:
     """The kind of a mention."""
     out = F.lit("name")
-    for kind in ("secret", "card", "phone", "ip", "email"):
+    for kind in reversed([k for k in PATTERNS if k != "name"]):
         out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(out)
     return out
 
 
 def canonical(kind: Column, m: Column) -> Column:
-    """The same for all formats of one entity: digits of numbers, lower case of addresses, single spaces in names."""
-    name = F.regexp_replace(F.regexp_replace(m, rf"^{_TITLE}\.?", ""), r"[  ]+", " ")
+    """The same for all formats of one entity that is no name: digits of numbers, lower case of addresses."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    return F.when(kind == "email", F.lower(m)).when(kind.isin("phone", "card"), digits).when(kind == "name", F.concat(gender_script(m), F.trim(name))).otherwise(m)
+    phone = F.when(m.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits))
+    groups = F.regexp_replace(F.lower(m), "(^|:)0+(?=[0-9a-f])", "$1")
+    return F.when(kind == "email", F.lower(m)).when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind == "ipv6", groups).otherwise(m)
 
 
-def gender_script(m: Column) -> Column:
-    """Two letters from a name's title: F or M; L, C or G."""
-    out = F.lit("ML")
-    for code, titles in TITLES.items():
-        out = F.when(m.rlike("^(?:" + "|".join(t.replace(".", r"\.") for t in titles) + r")(?:\.|[  ])"), F.lit(code)).otherwise(out)
-    return out
+def name_words(m: Column) -> Column:
+    """The words of a name without its title; a possessive end is no part of a word."""
+    return F.transform(F.split(F.regexp_replace(m, f"^{_HEAD}", ""), _BLANK), lambda w: F.regexp_replace(w, "['’]s$", ""))
+
+
+def units(kind: Column, m: Column) -> Column:
+    """The (kind, canon, m) that a mention consists of: itself, or the given and family names of a name."""
+    code = F.element_at(_literal_map({t: c for c, ts in TITLES.items() for t in ts}), F.regexp_extract(m, f"^({_TITLE})", 1))
+    family = F.when(code.endswith("L"), F.lit("XL")).otherwise(code)
+
+    def split(words: Column) -> Column:
+        last = F.size(words) - 1
+        return F.transform(words, lambda w, i: F.struct(F.when(i < last, F.lit("given")).otherwise(F.lit("family")).alias("kind"), F.concat(F.when(i < last, code).otherwise(family), F.lower(w)).alias("canon"), w.alias("m")))
+
+    one = F.array(F.struct(kind.alias("kind"), canonical(kind, m).alias("canon"), m.alias("m")))
+    return F.when(kind == "name", F.flatten(F.transform(F.array(name_words(m)), split))).otherwise(one)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -107,19 +150,35 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.filter(ds, lambda d: d != ""), worth), F.lit(0), lambda s, x: s + x)
 
 
+def mod_97(signs: Column) -> Column:
+    """The remainder by 97 of a string of digits and capital letters, A to Z being 10 to 35."""
+
+    def step(r: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (r * 10 + c.cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.filter(F.split(signs, ""), lambda c: c != ""), F.lit(0), step)
+
+
 def is_entity(kind: Column, m: Column) -> Column:
-    """A number of a card's length counts only with a right check digit."""
-    return F.when(kind == "card", luhn_sum(F.regexp_replace(m, "[^0-9]", "")) % 10 == 0).otherwise(F.lit(True))
+    """A number of a card's or an account's form counts only with right check digits."""
+    account = F.replace(m, F.lit(" "), F.lit(""))
+    card = luhn_sum(F.regexp_replace(m, "[^0-9]", "")) % 10 == 0
+    iban = mod_97(F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))) == 1
+    return F.when(kind == "card", card).when(kind == "iban", iban).otherwise(F.lit(True))
 
 
 # ---------------------------------------------------------------- surrogates
-def _nth(digest: Column, i: Column, n: int) -> Column:
+def _nth(digest: Column, i: Column, n: int | Column) -> Column:
     """A number under n from the i-th part of a hex digest."""
     return F.conv(F.substring(digest, (i % 42) * 3 + 1, F.lit(3)), 16, 10).cast("int") % n
 
 
 def _keyed(key: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\u0001", F.lit(key), *parts).cast("binary"), 512)
+    """HMAC-SHA512 of the parts, in hex."""
+    raw = key.encode()
+    raw = (hashlib.sha512(raw).digest() if len(raw) > 128 else raw).ljust(128, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in raw)), F.concat_ws("\u0001", *parts).cast("binary")), 512)
+    return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in raw)), F.unhex(inner)), 512)
 
 
 def _swap(text: Column, digest: Column, keep: Column | int = 0) -> Column:
@@ -140,22 +199,34 @@ def _hex_swap(text: Column, digest: Column) -> Column:
 
 
 def surrogate_digits(kind: Column, digits: Column, digest: Column) -> Column:
-    """New digits: the first one stays, and a card gets a right check digit."""
-    head = F.lit(1)
-    body = F.transform(F.split(digits, ""), lambda d, i: F.when(i < head, d).otherwise(_nth(digest, i, 10).cast("string")))
-    joined = F.array_join(body, "")
+    """New digits: a country code or an issuer digit stays, and a card gets a right check digit."""
+    head = F.when(kind == "phone", F.length(F.regexp_extract(digits, f"^({COUNTRY})", 1))).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
+
+    def one(d: Column, i: Column) -> Column:
+        first = F.when(kind == "phone", 2 + _nth(digest, i, 8)).otherwise(_nth(digest, i, 10))  # no area begins with 0 or 1
+        return F.when(i < head, d).when(i == head, first.cast("string")).otherwise(_nth(digest, i, 10).cast("string"))
+
+    joined = F.array_join(F.transform(F.split(digits, ""), one), "")
     stem = F.substring(joined, F.lit(1), F.length(joined) - 1)
     check = F.pmod(10 - luhn_sum(F.concat(stem, F.lit("0"))) % 10, F.lit(10)).cast("string")
     return F.when(kind == "card", F.concat(stem, check)).otherwise(joined)
 
 
-def _into_format(m: Column, digits: Column) -> Column:
-    """The digits in place of those of a mention, signs between them kept."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+def _account(canon: Column, digest: Column) -> Column:
+    """An account number of the same country and form with right check digits."""
+    country, body = F.substring(canon, 1, 2), _swap(F.substring(canon, F.lit(5), F.length(canon)), digest)
+    check = F.lpad((98 - mod_97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, check, body)
+
+
+def _into_format(m: Column, signs: Column) -> Column:
+    """The last of ``signs`` in place of the letters and digits of a mention, what stands between them kept."""
+    n = F.length(F.regexp_replace(m, "[^0-9A-Za-z]", ""))
+    start = F.struct(F.lit("").alias("out"), (F.length(signs) - n + 1).alias("at"))
 
     def step(s: Column, c: Column) -> Column:
-        is_digit = c.rlike("[0-9]")
-        return F.struct(F.concat(s["out"], F.when(is_digit, F.substring(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + is_digit.cast("int")).alias("at"))
+        is_sign = c.rlike("[0-9A-Za-z]")
+        return F.struct(F.concat(s["out"], F.when(is_sign, F.substring(signs, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + is_sign.cast("int")).alias("at"))
 
     return F.aggregate(F.split(m, ""), start, step, lambda s: s["out"])
 
@@ -166,26 +237,26 @@ def _address(digest: Column) -> Column:
     return F.concat_ws(".", first, *[_nth(digest, F.lit(k), 254) + 1 for k in (1, 2, 3)])
 
 
-def _person(canon: Column, digest: Column) -> Column:
-    """Words of the gender and script that lead the canonical form, as many as it has."""
-    out = F.lit(None).cast("string")
-    for code, given in GIVEN.items():
-        syll, ending = SYLLABLES[code[1]], ENDINGS[code[1]][0 if code[0] == "F" else 1]
-        pick = lambda words, k: F.get(F.array(*[F.lit(w) for w in words]), _nth(digest, F.lit(k), len(words)))
-        first = pick(given, 0)
-        second = pick(given, 1)
-        family = F.initcap(F.concat(pick(syll, 2), pick(syll, 3), pick(syll, 4), F.lit(ending)))
-        n = F.size(F.split(canon, " "))
-        out = F.when(canon.startswith(code), F.when(n == 1, family).when(n == 2, F.concat_ws(" ", first, family)).otherwise(F.concat_ws(" ", first, second, family))).otherwise(out)
-    return out
+def _address_6(m: Column, digest: Column) -> Column:
+    """Eight groups of the public kind, in the case of the mention."""
+    groups = [F.concat(F.lit("2"), F.substring(digest, 2, 3))] + [F.regexp_replace(F.substring(digest, 4 * k + 1, 4), "^0+(?=.)", "") for k in range(1, 8)]
+    low = F.concat_ws(":", *groups)
+    return F.when(m.rlike("[A-F]"), F.upper(low)).otherwise(low)
 
 
-#: From this attempt on, six digits are added: a format whose values are all but used up gives way to distinctness.
-LONGER = 12
+def _word(kind: Column, canon: Column, digest: Column, attempt: Column) -> Column:
+    """A given name or a family name of the code that leads the canonical form; each attempt has a larger choice."""
+    code = F.substring(canon, 1, 2)
+    pool = F.element_at(_literal_map(GIVEN), code)
+    given = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda k: F.get(pool, _nth(digest, k, F.size(pool)))), "-")
+    syllables = F.element_at(_literal_map(SYLLABLES), F.substring(code, 2, 1))
+    stem = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda k: F.get(syllables, _nth(digest, k, F.size(syllables)))), "")
+    return F.when(kind == "given", given).otherwise(F.initcap(F.concat(stem, F.element_at(_literal_map(ENDINGS), code))))
 
 
 def surrogate(key: str, kind: Column, canon: Column, m: Column, attempt: Column) -> Column:
-    """The replacement of a mention ``m`` of an entity."""
+    """The replacement of a unit ``m``."""
+    attempt = attempt.cast("int")
     keys = F.struct(_keyed(key, kind, canon, attempt.cast("string")).alias("own"), _keyed(key, F.lit("domain"), F.regexp_extract(canon, "@(.*)$", 1)).alias("domain"))
 
     def made(z: Column) -> Column:
@@ -193,28 +264,27 @@ def surrogate(key: str, kind: Column, canon: Column, m: Column, attempt: Column)
         label = _swap(F.regexp_extract(m, r"^[^@]*@(.*)\.[^.]*$", 1), z["domain"])
         mail = F.concat(_swap(F.regexp_extract(m, "^([^@]*)@", 1), digest), F.lit("@"), label, F.regexp_extract(m, r"(\.[^.]*)$", 1))
         secret = F.when(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex_swap(m, digest)).otherwise(_swap(m, digest, F.when(m.startswith("sk-"), 3).otherwise(4)))
-        title = F.regexp_extract(m, rf"^({_TITLE}\.?[  ])", 1)
-        number = _into_format(m, surrogate_digits(kind, F.regexp_replace(m, "[^0-9]", ""), digest))
-        same = F.when(kind == "email", mail).when(kind == "ip", _address(digest)).when(kind.isin("phone", "card"), number).when(kind == "secret", secret).otherwise(F.concat(title, _person(canon, digest)))
-        more = F.lpad((F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % 1000000).cast("string"), 6, "0")
+        number = _into_format(m, F.when(kind == "iban", _account(canon, digest)).otherwise(surrogate_digits(kind, canon, digest)))
+        same = F.when(kind == "email", mail).when(kind == "ip", _address(digest)).when(kind == "ipv6", _address_6(m, digest)).when(kind.isin("phone", "card", "ssn", "iban"), number).when(kind == "secret", secret).otherwise(_word(kind, canon, digest, attempt))
+        more = F.lpad((F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % 10000).cast("string"), 4, "0")
         before = F.when((attempt >= LONGER) & (kind == "email"), more).otherwise("")
-        after = F.when((attempt >= LONGER) & (kind != "email"), F.concat(F.lit("-"), more)).otherwise("")
+        after = F.when((attempt >= LONGER) & kind.isin("phone", "ssn"), F.concat(F.lit("-"), more)).otherwise("")
         return F.concat(before, same, after)
 
     # the keys are bound once: named in each part, they would be hashed for each sign and make the plan large
     return F.get(F.transform(F.array(keys), made), F.lit(0))
 
 
-def _canonical_surrogate(kind: Column, canon: Column, m: Column) -> Column:
+def _compared(kind: Column, canon: Column, made: Column) -> Column:
     """The canonical form of a replacement, in which replacements and entities are compared."""
-    return canonical(kind, m)
+    return F.when(kind.isin("given", "family"), F.concat(F.substring(canon, 1, 2), F.lower(made))).otherwise(canonical(kind, made))
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct kind and canon of the corpus, each with one of its mentions."""
+    """Distinct kind and canon of the units of the corpus, each with the least of its mentions."""
     each = docs.select(F.explode(F.array_distinct(mentions("text"))).alias("m")).select("m", kind_of(F.col("m")).alias("kind"))
-    each = each.where(is_entity(F.col("kind"), F.col("m"))).select("kind", canonical(F.col("kind"), F.col("m")).alias("canon"), "m")
-    return each.groupBy("kind", "canon").agg(F.min("m").alias("m"))
+    each = each.where(is_entity(F.col("kind"), F.col("m"))).select(F.explode(units(F.col("kind"), F.col("m"))).alias("u"))
+    return each.groupBy("u.kind", "u.canon").agg(F.min("u.m").alias("m"))
 
 
 def attempts(docs: DataFrame, key: str) -> DataFrame:
@@ -223,10 +293,10 @@ def attempts(docs: DataFrame, key: str) -> DataFrame:
     Each round compares the replacements of the entities left with all entities and with those settled before.
     """
     found = settle(entities(docs), "entities")
-    left, done, attempt = found, None, 0
-    while True:
-        tried = left.withColumn("s", _canonical_surrogate(F.col("kind"), F.col("canon"), surrogate(key, F.col("kind"), F.col("canon"), F.col("m"), F.lit(attempt))))
-        tried = settle(tried, "surrogates")
+    left, done = found, None
+    for attempt in range(LAST_ATTEMPT + 1):
+        made = surrogate(key, F.col("kind"), F.col("canon"), F.col("m"), F.lit(attempt))
+        tried = settle(left.withColumn("s", _compared(F.col("kind"), F.col("canon"), made)), "surrogates")
         winners = tried.groupBy("kind", "s").agg(F.min("canon").alias("canon"))
         winners = winners.join(found.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_anti")
         if done is not None:
@@ -236,7 +306,27 @@ def attempts(docs: DataFrame, key: str) -> DataFrame:
         left = settle(tried.drop("s").join(winners, ["kind", "canon"], "left_anti"), "left")
         if not left.limit(1).count():
             return done.where("attempt > 0").select("kind", "canon", "attempt")
-        attempt += 1
+    raise RuntimeError(f"no replacement is left for some entities after {LAST_ATTEMPT} attempts")
+
+
+def _woven(text: Column, pattern: Column, new: Column) -> Column:
+    """A text whose matches of a pattern are replaced by ``new`` in order."""
+    return F.get(F.transform(F.array(F.split(text, pattern)), lambda cut: F.concat(F.array_join(F.zip_with(F.slice(cut, 1, F.size(new)), new, lambda a, b: F.concat(a, b)), ""), F.element_at(cut, -1))), F.lit(0))
+
+
+def _name_again(m: Column, made: Column) -> Column:
+    """(new, plain, plain_new): a name with the words ``made``, and both without the title where there are two or more."""
+    plain = F.regexp_replace(m, f"^{_HEAD}", "")
+    blanks = F.regexp_extract_all(plain, F.lit(f"({_BLANK})"), F.lit(1))
+
+    def word(w: Column, i: Column) -> Column:
+        new = F.when(F.upper(w) == w, F.upper(F.get(made, i))).otherwise(F.get(made, i))
+        return F.concat(F.when(i > 0, F.get(blanks, i - 1)).otherwise(F.lit("")), new)
+
+    new = F.array_join(F.transform(name_words(m), word), "")
+    ends = F.regexp_extract(m, "(['’]s)$", 1)
+    several = F.size(made) > 1
+    return F.struct(F.concat(F.regexp_extract(m, f"^({_HEAD})", 1), new, ends).alias("new"), F.when(several, F.regexp_replace(plain, "['’]s$", "")).alias("plain"), F.when(several, new).alias("plain_new"))
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
@@ -247,13 +337,12 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     again = settle(attempts(docs, key), "attempts")
     n = again.count()
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    base = base.withColumn("_found", mentions("text"))
-    base = base.withColumn("_found", F.transform("_found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
-    base = base.withColumn("_found", F.transform("_found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), canonical(x["kind"], x["m"]).alias("canon"))))
+    base = base.withColumn("_found", F.transform(mentions("text"), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
+    base = base.withColumn("_found", F.transform("_found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), is_entity(x["kind"], x["m"]).alias("ok"), units(x["kind"], x["m"]).alias("units"))))
     none = F.expr("cast(map() as map<string,int>)")
     if n:
         base = base.withColumn("_row", F.struct(F.xxhash64("text"), F.length("text")))
-        named = base.where(F.size("_found") > 0).select("_row", F.explode(F.array_distinct(F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["canon"].alias("canon"))))).alias("x")).select("_row", "x.kind", "x.canon")
+        named = base.where(F.size("_found") > 0).select("_row", F.explode(F.array_distinct(F.flatten(F.transform("_found", lambda x: F.transform(x["units"], lambda u: F.struct(u["kind"].alias("kind"), u["canon"].alias("canon"))))))).alias("x")).select("_row", "x.kind", "x.canon")
         named = named.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, ["kind", "canon"]).distinct()
         by_row = named.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "canon"), "attempt"))).alias("_tries"))
         by_row = settle(by_row, "tries")
@@ -261,14 +350,32 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     else:
         base = base.withColumn("_tries", none)
 
-    def new(x: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(F.coalesce(F.col("_tries"), none), F.concat_ws("\u0001", x["kind"], x["canon"])), F.lit(0))
-        return F.when(is_entity(x["kind"], x["m"]), surrogate(key, x["kind"], x["canon"], x["m"], attempt)).otherwise(x["m"])
-
-    base = base.withColumn("_new", F.transform("_found", new))
-    woven = F.concat(F.array_join(F.zip_with(F.slice(F.split("text", ENTITY), 1, F.size("_new")), F.col("_new"), lambda a, b: F.concat(a, b)), ""), F.element_at(F.split("text", ENTITY), -1))
+    def unit(u: Column) -> Column:
+        attempt = F.coalesce(F.try_element_at(F.coalesce(F.col("_tries"), none), F.concat_ws("\u0001", u["kind"], u["canon"])), F.lit(0))
+        return surrogate(key, u["kind"], u["canon"], u["m"], attempt)
+
+    def again_of(x: Column) -> Column:
+        nothing = F.lit(None).cast("string")
+        plain = lambda new: F.struct(new.alias("new"), nothing.alias("plain"), nothing.alias("plain_new"))
+        return F.when(~x["ok"], plain(x["m"])).when(x["kind"] == "name", _name_again(x["m"], x["made"])).otherwise(plain(F.get(x["made"], F.lit(0))))
+
+    made = F.transform("_found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["ok"].alias("ok"), F.when(x["ok"], F.transform(x["units"], unit)).alias("made")))
+    base = base.withColumn("_new", F.transform(made, again_of))
+    named = F.filter(F.array_distinct(F.transform("_new", lambda x: F.struct(x["plain"], x["plain_new"]))), lambda x: x["plain"].isNotNull())
+    base = base.withColumn("_named", F.map_from_entries(F.when(F.size("_found") > 0, named)))
+    # longest first; asked only at capital letters, so the cost is that of the names a document has, not of its length times those
+    longest = F.array_sort(F.map_keys("_named"), lambda a, b: F.length(b) - F.length(a))
+    pattern = F.concat(F.lit(r"(?<![\p{L}'’-])(?=\p{Lu})(?:\Q"), F.array_join(longest, r"\E|\Q"), F.lit(r"\E)(?![\p{L}])"))
+    base = base.withColumn("_plain", F.when(F.size("_named") > 0, pattern))
+
+    def untitled(piece: Column) -> Column:
+        hits = F.transform(F.regexp_extract_all(piece, F.col("_plain"), F.lit(0)), lambda w: F.element_at("_named", w))
+        return F.when(F.col("_plain").isNull(), piece).otherwise(_woven(piece, F.col("_plain"), hits))
+
+    cut = F.transform(F.split("text", ENTITY), untitled)
+    woven = F.get(F.transform(F.array(cut), lambda c: F.concat(F.array_join(F.zip_with(F.slice(c, 1, F.size("_new")), F.col("_new"), lambda a, b: F.concat(a, b["new"])), ""), F.element_at(c, -1))), F.lit(0))
     text = F.when(F.size("_found") > 0, woven).otherwise(F.col("text"))
-    count = F.size(F.filter("_found", lambda x: is_entity(x["kind"], x["m"])))
+    count = F.size(F.filter("_found", lambda x: x["ok"]))
     return base.select(F.col("row").withField("text", text).alias("row"), count.alias("n_entities"))
 
 
