@@ -82,7 +82,8 @@ def test_pii_surrogates(spark, empty):
     assert card[1].replace(" ", "") == card[2]
     digits = [int(c) for c in reversed(card[2])]
     assert sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
-    assert re.search(r"Mrs\. (\w+) \w+ met Mr \w+ and господин [А-Яа-я]+", got[6])[1] in pii.GIVEN["FL"]
+    given = re.search(r"Mrs\. ([\w-]+) \w+ met Mr \w+ and господин [А-Яа-я]+", got[6])[1]  # later attempts join names by hyphens
+    assert set(given.split("-")) <= set(pii.GIVEN["FL"])
     assert pii.replace(df, "other").select("row.text").collect() != [(r["text"],) for r in out]
     assert pii.replace(empty, "key").count() == 0
 
