@@ -9,7 +9,8 @@ lower case and the splitting of words follow the tokenizer file: NFC, one case m
 letters, single digits, runs of other signs, and a suffix on the last symbol of each.
 
 Defined cases: a null or blank text has no ids and decodes to the empty text; special tokens in a text become their ids,
-as in the library; other columns are ignored.
+as in the library; repeated rows are encoded alike; a very long text, or a very long word, takes n log n steps; an empty
+table gives an empty result; ties between equal pairs go to the leftmost; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ class Codec:
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """The ids as little-endian unsigned 32-bit integers, and their decoded text."""
-        pieces = self.specials.split(text) if text and self.specials and "<|" in text else [text or ""]
+        pieces = self.specials.split(text) if text and any(t in text for t in self.v.special) else [text or ""]
         ids: list[bytes] = []
         said: list[str] = []
         known = self.words
@@ -211,14 +212,15 @@ def _codec(key: str, vocabulary: Vocabulary) -> Codec:
     return _CODEC[key]
 
 
-def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256; with ``keep_ids`` the ids and the decoded text too."""
+def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256; where asked for, the ids and the decoded text too."""
     spark = docs.sparkSession
     small_batches(spark)
     loaded = load_vocabulary(path)
-    key = hashlib.sha256(repr((len(loaded.ids), sorted(loaded.ids.items())[:1000], path)).encode()).hexdigest()
+    with open(path, "rb") as f:
+        key = hashlib.file_digest(f, "sha256").hexdigest()
     vocabulary = spark.sparkContext.broadcast(loaded)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_decoded else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(key, vocabulary.value)
@@ -227,7 +229,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
             for text in b["text"]:
                 ids, said = codec.encode(text)
                 row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest()]
-                rows.append(row + ([np.frombuffer(ids, "<u4").astype(np.int32), said] if keep_ids else []))
+                rows.append(row + ([np.frombuffer(ids, "<u4").astype(np.int32)] if keep_ids else []) + ([said] if keep_decoded else []))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")][1:])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out

@@ -5,10 +5,14 @@ fingerprint. Two texts that share SPAN words share all hashes of that span, so t
 span of SPAN words or more is missed. Training and test fingerprints are joined; each hit is then extended word by word
 along both texts, and counts only if the words that agree around it number SPAN or more.
 
-Items of fewer than SPAN words are one window each, and are looked up whole by a hash of all their words.
+Items of fewer than SPAN words are one window each, and are looked up whole by a hash of all their words: the runs of as
+many words are hashed in the same pass as the fingerprints, for the lengths that occur, nine at most. Texts are read twice:
+once for values of fingerprints, once for the words around them in those rows that share one.
 
 Defined cases: a null text has no words; an item without words is no window; rows that repeat a doc_id are judged by
-their own text; an empty benchmark leaves every document clean; other columns are ignored.
+their own text; a very long text is read whole, its fingerprints are a fixed share of its words; a word run that repeats
+within a text counts at each place; items with equal texts are all named; an empty benchmark leaves every document clean;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,18 +85,22 @@ def _extended(a: Column, b: Column) -> tuple[Column, Column]:
     return run(list(range(side - 1, -1, -1))), run(list(range(SPAN, SPAN + side)))
 
 
-def _short_hits(docs: DataFrame, short: DataFrame, ids: list[str]) -> DataFrame | None:
-    """Hits of items of under SPAN words, one join for each length that occurs (nine at most)."""
-    lengths = sorted(r["n"] for r in short.select(F.size("words").alias("n")).distinct().collect())
-    out = None
+def _short_runs(words: Column, lengths: list[int], context: bool) -> Column:
+    """(fp, pos, ctx) of each run of as many words as one of ``lengths``, or with no ``context`` the distinct fp alone."""
+    none = "array<struct<fp:bigint,pos:int,ctx:array<string>>>" if context else "array<bigint>"
+    out = F.expr(f"cast(array() as {none})")
     for n in lengths:
-        items = short.where(F.size("words") == n).select("item_id", F.xxhash64("words").alias("fp"), F.col("words").alias("item_words"))
-        grams = docs.where(F.size("words") >= n).select(
-            *ids, F.explode(F.transform(_grams(F.col("words"), n), lambda g, i: F.struct(g.alias("fp"), i.alias("pos"), F.slice(F.col("words"), i + 1, n).alias("ctx")))).alias("x")
-        ).select(*ids, "x.fp", "x.pos", "x.ctx")
-        hits = grams.join(_sized(items), "fp").where(F.col("ctx") == F.col("item_words")).select(*ids, "item_id", F.col("pos").alias("lo"), (F.col("pos") + n - 1).alias("hi"))
-        out = hits if out is None else out.union(hits)
-    return out
+        runs = F.transform(_grams(words, n), lambda g, i, n=n: F.struct(g.alias("fp"), i.alias("pos"), F.slice(words, i + 1, n).alias("ctx")) if context else g)
+        out = F.concat(out, F.when(F.size(words) >= n, runs).otherwise(F.expr(f"cast(array() as {none})")))
+    return out if context else F.array_distinct(out)
+
+
+def _short_hits(found: DataFrame, short: DataFrame, lengths: list[int], ids: list[str]) -> DataFrame:
+    """Hits of items of under SPAN words in the rows that share the hash of one; ``found`` has ids and words."""
+    items = short.select("item_id", F.xxhash64("words").alias("fp"), F.col("words").alias("item_words"))
+    runs = found.select(*ids, F.explode(_short_runs(F.col("words"), lengths, True)).alias("x")).select(*ids, "x.fp", "x.pos", "x.ctx")
+    same = runs.join(_sized(settle(items, "short-items")), "fp").where(F.col("ctx") == F.col("item_words"))
+    return same.select(*ids, "item_id", F.col("pos").alias("lo"), (F.col("pos") + F.size("ctx") - 1).alias("hi"))
 
 
 def _sized(small: DataFrame) -> DataFrame:
@@ -108,16 +116,18 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
-def marks(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words and whether a fingerprint is shared, of each distinct row; slim rows, one pass.
+def marks(docs: DataFrame, prints: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc_id, text_hash, n_words and whether a fingerprint, or a run of ``lengths`` words, is shared, of each distinct row.
 
     Only values of fingerprints take part here; positions and contexts are worked out for the rows that share one. One
     more row, with a key of its own, carries each text's number of words.
     """
     d = _keyed(docs)
     few = _sized(prints.select("fp").distinct())
-    long = _least(d.select("doc_id", "text_hash", "words", F.size("words").alias("n")), ["doc_id", "text_hash", "n"])
-    rows = F.concat(F.array(F.struct(F.xxhash64("doc_id", "text_hash", F.lit("n")).alias("fp"), F.col("n").alias("n"))), F.transform(F.array_distinct("m"), lambda x: F.struct(x.alias("fp"), F.lit(None).cast("int").alias("n"))))
+    runs = [_short_runs(F.col("words"), lengths, False).alias("runs")] if lengths else []
+    long = _least(d.select("doc_id", "text_hash", "words", F.size("words").alias("n"), *runs), ["doc_id", "text_hash", "n", *(["runs"] if lengths else [])])
+    prints_of = F.array_union("m", "runs") if lengths else F.array_distinct("m")
+    rows = F.concat(F.array(F.struct(F.xxhash64("doc_id", "text_hash", F.lit("n")).alias("fp"), F.col("n").alias("n"))), F.transform(prints_of, lambda x: F.struct(x.alias("fp"), F.lit(None).cast("int").alias("n"))))
     each = long.select("doc_id", "text_hash", F.explode(rows).alias("x")).select("doc_id", "text_hash", "x.fp", "x.n")
     flagged = each.join(few.withColumn("shared", F.lit(True)), "fp", "left").where("n is not null or shared")
     return settle(flagged.groupBy("doc_id", "text_hash").agg(F.max("n").cast("long").alias("n_words"), F.coalesce(F.bool_or("shared"), F.lit(False)).alias("shared")), "marks")
@@ -128,7 +138,10 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = ["doc_id", "text_hash"]
     b = benchmark.select("item_id", words_of("text").alias("words")).where(F.size("words") > 0)
     prints = settle(_winnowed(b, ["item_id"]).groupBy("fp", "ctx").agg(F.collect_set("item_id").alias("items")), "prints")
-    marked = marks(docs, prints)
+    short = b.where(F.size("words") < SPAN)
+    lengths = sorted(r["n"] for r in short.select(F.size("words").alias("n")).distinct().collect())
+    values = prints.select("fp").union(short.select(F.xxhash64("words").alias("fp"))) if lengths else prints
+    marked = marks(docs, values, lengths)
     some = bounded(marked.where("shared").select(*ids))
     raw = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     d = raw.join(some, _same(raw, some), "left_semi").select("doc_id", "text_hash", words_of("text").alias("words"))
@@ -136,8 +149,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = _winnowed(d, ids).join(_sized(prints.withColumnRenamed("ctx", "item_ctx")), "fp").withColumns({"left": left, "right": right})
     same = F.slice("ctx", SPAN - K + 1, K) == F.slice("item_ctx", SPAN - K + 1, K)
     found = joined.where(same & (F.col("left") + F.col("right") + K >= SPAN)).select(*ids, F.explode("items").alias("item_id"), (F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + K - 1 + F.col("right")).alias("hi"))
-    short = _short_hits(_keyed(docs), b.where(F.size("words") < SPAN), ids)
-    return marked, found if short is None else found.union(short)
+    return marked, found.union(_short_hits(d, short, lengths, ids)) if lengths else found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,15 +1,18 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, trained by SGD in numpy.
 
 A subword is a run of N letters (N in LENGTHS) with one mark at word ends, hashed into BUCKETS. A text is the mean of
-its subwords' embeddings; a linear layer and a softmax give probabilities. Training takes a bounded, documented sample
-of labelled rows: the SAMPLE rows of least hash. As the layer is linear, a bucket's embedding times the layer is one
-row of scores, so a whole text is one sum of rows; long texts are read in parts.
+its subwords' embeddings; a linear layer and a softmax give probabilities. Training takes a bounded, documented sample of
+labelled rows, for each language the PER_LANG distinct texts of least hash, so that a rare language is learned at any
+size; their subwords are counted in the tasks, over whole texts, and only those counts go to the driver. As the layer is
+linear, a bucket's embedding times the layer is one row of scores, so a whole text is one sum of rows.
 
 A temperature, fitted on part of the sample kept apart, calibrates the probabilities; ``rejected`` marks rows whose
 calibrated probability lies under the quantile that keeps all but REJECT of the right answers there.
 
-Defined cases: a null text, or one without letters, is ``und`` with score 0; with no labelled rows every row is ``und``;
-repeated rows are predicted alike; lang, source and doc_id are never inputs of a prediction.
+Defined cases: a null text, or one without letters, is ``und`` with score 0; with no labelled rows, or an empty table,
+every row there is is ``und``; repeated rows are predicted alike and a text counts once in training; of equal
+probabilities the first language by name wins; a very long text is read whole, in parts that end between words; lang,
+source and doc_id are never inputs of a prediction; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,16 +24,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import documents, small_batches
+from .common import bounded, documents, settle, small_batches
 
-#: Rows that training takes at most, and characters of each that it reads; predictions read whole texts.
-SAMPLE, TRAIN_CHARS = 4000, 4000
+#: Distinct texts of each language that training takes at most.
+PER_LANG = 1000
 #: Buckets (a power of two), lengths of subwords, width of embeddings, steps, rows of a step and its first rate.
 BUCKETS, LENGTHS, WIDTH, STEPS, BATCH, RATE = 1 << 14, (1, 2, 3), 16, 800, 64, 2.0
 #: Share of right answers that the rejection threshold may lose; rows kept apart to calibrate, one in so many.
 REJECT, APART = 0.01, 5
-#: Characters of a text that are turned into subwords at a time.
+#: Characters of a text that are turned into subwords at a time, about: a part ends at a space.
 PART = 1 << 16
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -58,14 +62,28 @@ def _letters(text: str) -> np.ndarray:
     return kept[np.concatenate(([True], (kept[1:] != 0) | (kept[:-1] != 0)))]
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts that end at a space, so that none cuts a word; a stretch without spaces stays whole."""
+    at = 0
+    while len(text) - at > PART:
+        end = text.rfind(" ", at, at + PART)
+        if end <= at:
+            end = text.find(" ", at + PART)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def bucket_counts(text: str | None) -> np.ndarray | None:
     """How often each bucket occurs in a whole text; None if it has no letters."""
     if not text:
         return None
     counts = np.zeros(BUCKETS, np.int64)
     any_letter = False
-    for at in range(0, len(text), PART):
-        points = _letters(text[at : at + PART])
+    for part in _parts(text):
+        points = _letters(part)
         any_letter |= bool(points.any())
         for n in LENGTHS:
             if len(points) < n:
@@ -73,23 +91,17 @@ def bucket_counts(text: str | None) -> np.ndarray | None:
             h = np.zeros(len(points) - n + 1, np.uint32)
             whole = np.ones(len(h), bool)
             for k in range(n):
-                part = points[k : len(points) - n + 1 + k]
-                h = (h ^ part) * _MIX[(n + k) % 3]
+                place = points[k : len(points) - n + 1 + k]
+                h = (h ^ place) * _MIX[(n + k) % 3]
                 h ^= h >> np.uint32(15)
                 if 0 < k < n - 1 or n == 1:
-                    whole &= part != 0  # a mark only at an end
+                    whole &= place != 0  # a mark only at an end
             counts += np.bincount(h[whole] & np.uint32(BUCKETS - 1), minlength=BUCKETS)
     return counts if any_letter else None
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
-    """Stochastic gradient descent on a bounded sample; None if there is nothing to learn from."""
-    used, weight, said = [], [], []
-    for text, lang in zip(texts, langs):
-        if (c := bucket_counts(text[:TRAIN_CHARS])) is not None:
-            used.append(np.flatnonzero(c).astype(np.int32))
-            weight.append((c[used[-1]] / c.sum()).astype(np.float32))
-            said.append(lang)
+def train(used: list[np.ndarray], weight: list[np.ndarray], said: list[str], seed: int = 7) -> Model | None:
+    """Stochastic gradient descent on a bounded sample of buckets, their shares and languages; None if it is empty."""
     names = sorted(set(said))
     if not names:
         return None
@@ -134,18 +146,35 @@ def fold(doc_id: Column | str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
-def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """At most SAMPLE labelled rows outside the held-out fold, those of least hash, cut to TRAIN_CHARS.
+def training_sample(docs: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], list[str]]:
+    """Buckets, their shares, and languages of at most PER_LANG distinct texts of each lang outside the held-out fold.
 
-    The SAMPLE-th least hash is found first, from hashes alone: no task sends more texts than the sample holds.
+    Hashes of texts are thinned by lang first, by an estimate of how many there are, and then cut exactly: no task sorts a
+    whole language. Texts stay where they are; tasks count the subwords of those chosen, each text once.
     """
-    rows = docs.where((F.coalesce(fold("doc_id"), F.lit(0)) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    hashed = rows.select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang")
-    last = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first()["h"]
-    if last is None:
-        return [], []
-    got = sorted(hashed.where(F.col("h") <= last).limit(SAMPLE).collect(), key=lambda r: (r["h"], r["lang"]))
-    return [r["text"] for r in got], [r["lang"] for r in got]
+    small_batches(docs.sparkSession)
+    rows = docs.where((F.coalesce(fold("doc_id"), F.lit(0)) != 2) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    rows = rows.select(F.xxhash64("text").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    share = F.pmod("h", F.lit(1 << 31)) / float(1 << 31)
+    sizes = settle(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")), "lang-sizes")
+    some = rows.select("h", "lang").join(bounded(sizes), "lang").where(share * F.col("n") <= 2 * PER_LANG).select("h", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(share, "h")
+    chosen = settle(some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANG).select("h", "lang"), "sample")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[int, str]] = set()
+        for b in batches:
+            out = []
+            for h, lang, text in zip(b["h"], b["lang"], b["text"]):
+                if (h, lang) not in seen and (c := bucket_counts(text)) is not None:
+                    seen.add((h, lang))
+                    used = np.flatnonzero(c)
+                    out.append((h, lang, used.astype("<u2").tobytes(), (c[used] / c.sum()).astype("<f4").tobytes()))
+            yield pd.DataFrame(out, columns=["h", "lang", "used", "weight"])
+
+    counted = rows.join(bounded(chosen), ["h", "lang"], "left_semi").mapInPandas(run, "h long, lang string, used binary, weight binary")
+    got = sorted(counted.dropDuplicates(["h", "lang"]).collect(), key=lambda r: (r["h"], r["lang"]))
+    return [np.frombuffer(r["used"], "<u2") for r in got], [np.frombuffer(r["weight"], "<f4") for r in got], [r["lang"] for r in got]
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

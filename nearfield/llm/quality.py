@@ -1,19 +1,20 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions alone.
 
 Base rules come from counts over a whole text. A document that passes them is judged by its transformed statistics
-against a minimum-covariance-determinant (MCD) estimate of its own language and source: from two robust starts, some
+against a minimum-covariance-determinant (MCD) estimate of its own language and source: from two robust starts, STEPS
 concentration steps keep the share H of rows with the least Mahalanobis distance, re-estimate mean and covariance, and
 the start whose covariance has the lesser determinant wins. A document beyond the cut-off is rejected.
 
-All sums are aggregates by group with partial sums before the shuffle; what is kept by group is one row of a mean and a
-Cholesky factor. A floor under each spread keeps a statistic that is constant in most rows (say, no repeated line) from
-making every small deviation an outlier. A group of under MIN_ROWS rows is judged by the estimate of its language's
-small groups together; if those are still too few, by that of the whole language, and then by that of all rows, however
-few. So every document that passes the base rules has a distance.
+The covariance whose determinant is compared is the regularised one: the squares of the FEATURES' floors are added to its
+diagonal, so a statistic that is constant in most rows (say, no repeated line) doesn't make every small deviation an
+outlier, and every matrix has an inverse. A group's estimate is drawn towards that of its language as if PRIOR_ROWS rows
+of it were added, and a language's towards that of all rows: one rule for groups of every size, by which a group of
+a thousand rows is judged by itself and one of a single row by its language. All sums are aggregates by group with partial
+sums before the shuffle; what is kept by group is one row of a mean and a covariance.
 
 Defined cases: a null text has no words and fails the base rules; null language and source are groups like others;
-repeated rows are judged alike and all count in the estimates; an empty table gives an empty result; further columns
-are ignored.
+repeated rows are judged alike and all count in the estimates; rows at equal distance to the H-th are all kept in a step;
+a very long text is counted whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .common import BLANK, bounded, documents, settle
 
 #: Base rules: fewest words, and the greatest share of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
-#: Share of rows that an MCD estimate rests on, concentration steps, and the fewest rows of a group with its own estimate.
-H, STEPS, MIN_ROWS = 0.75, 4, 50
+#: Share of rows that an MCD estimate rests on, concentration steps, and the rows that the larger set's estimate counts for.
+H, STEPS, PRIOR_ROWS = 0.75, 4, 50
 #: Of the chi-squared distribution with 5 degrees of freedom: its 0.75 quantile, its median, and the factor that makes
 #: the covariance of the H nearest rows consistent, H / P(chi2 with 7 degrees <= that quantile).
 CHI2_H, CHI2_MEDIAN, CONSISTENCY = 6.6257, 4.3515, 0.75 / 0.5308
@@ -98,20 +99,23 @@ X = list(FEATURES)
 _PAIRS = [(a, b) for a in range(len(X)) for b in range(a + 1)]
 
 
+_MEANS, _COVS = [f"m{a}" for a in range(len(X))], [f"c_{a}_{b}" for a, b in _PAIRS]
+
+
 def _factor(df: DataFrame, keep: list[str]) -> DataFrame:
-    """From means m0.. and covariances c_a_b to i_a_b, the inverse of the Cholesky factor, and the log-determinant."""
+    """Adds to means m0.. and covariances c_a_b the inverse i_a_b of the Cholesky factor, and the log-determinant."""
     for a, b in _PAIRS:
         rest = F.col(f"c_{a}_{b}")
         for k in range(b):
             rest = rest - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
-        least = FEATURES[X[a]] ** 2
-        df = df.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(least))) if a == b else rest / F.col(f"l_{b}_{b}"))
+        # a regularised matrix never comes under the floor but by rounding; that of a start may
+        df = df.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(FEATURES[X[a]] ** 2))) if a == b else rest / F.col(f"l_{b}_{b}"))
     for a in range(len(X)):
         for b in range(a + 1):
             below = sum((F.col(f"l_{a}_{k}") * F.col(f"i_{k}_{b}") for k in range(b, a)), F.lit(0.0))
             df = df.withColumn(f"i_{a}_{b}", (F.lit(1.0) if a == b else -below) / F.col(f"l_{a}_{a}"))
     det = sum((F.log(F.col(f"l_{a}_{a}")) for a in range(len(X))), F.lit(0.0))
-    return df.select(*keep, *[f"m{a}" for a in range(len(X))], *[f"i_{a}_{b}" for a, b in _PAIRS], det.alias("ln_det"))
+    return df.select(*keep, *_MEANS, *_COVS, *[f"i_{a}_{b}" for a, b in _PAIRS], det.alias("ln_det"))
 
 
 def _distance() -> Column:
@@ -122,7 +126,7 @@ def _distance() -> Column:
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and covariance by group, from sums; covariances are made consistent with the whole group."""
+    """Mean and regularised covariance by group, from sums; covariances are made consistent with the whole group."""
     sums = [F.avg(x).alias(f"m{a}") for a, x in enumerate(X)] + [F.avg(F.col(X[a]) * F.col(X[b])).alias(f"s_{a}_{b}") for a, b in _PAIRS]
     got = rows.groupBy(*keys).agg(*sums)
     cov = {f"c_{a}_{b}": CONSISTENCY * (F.col(f"s_{a}_{b}") - F.col(f"m{a}") * F.col(f"m{b}")) + (FEATURES[X[a]] ** 2 if a == b else 0.0) for a, b in _PAIRS}
@@ -138,7 +142,7 @@ def _with_estimates(rows: DataFrame, est: DataFrame, keys: list[str], few: bool)
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """One estimate for each ``grp`` of rows with the FEATURES: mean, Cholesky factor and log-determinant.
+    """One estimate for each ``grp`` of rows with the FEATURES: mean and regularised covariance.
 
     Starts: 0, medians and quartile spreads with no correlation; 1, median and the co-movement of the signs around it.
     """
@@ -161,7 +165,7 @@ def mcd(rows: DataFrame) -> DataFrame:
         edged = est.join(edge, ["grp", "start"])
         inside = _with_estimates(rows.select("grp", *X), edged, ["grp"], few).where(_distance() <= F.col("edge")).select("grp", "start", *X)
         est = settle(_moments(inside, ["grp", "start"]), "step")
-    return est.groupBy("grp").agg(F.min_by(F.struct(*[c for c in est.columns if c not in ("grp", "start")]), F.struct("ln_det", "start")).alias("e")).select("grp", "e.*")
+    return est.groupBy("grp").agg(F.min_by(F.struct(*_MEANS, *_COVS), F.struct("ln_det", "start")).alias("e")).select("grp", "e.*")
 
 
 def _group() -> Column:
@@ -170,20 +174,26 @@ def _group() -> Column:
     return F.concat_ws("\t", named("lang"), named("source"))
 
 
+def _drawn(own: DataFrame, wider: DataFrame, key: str) -> DataFrame:
+    """Estimates drawn towards those of a wider set, by their rows ``n`` against PRIOR_ROWS; both have ``key``."""
+    theirs = wider.select(key, *[F.col(c).alias(f"w_{c}") for c in _MEANS + _COVS])
+    share = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    both = own.join(theirs, key)
+    return both.select(*[c for c in own.columns if c not in _MEANS + _COVS], *[(share * F.col(c) + (1 - share) * F.col(f"w_{c}")).alias(c) for c in _MEANS + _COVS])
+
+
 def estimates(stats: DataFrame) -> DataFrame:
-    """An estimate for each group (``own``) of settled statistics: its own, or that of the least larger set with enough rows."""
+    """An estimate for each group (``own``) of settled statistics: its own, its language's and that of all rows, drawn together."""
     rows = transformed(stats.where(~F.col("base_failed"))).withColumn("own", _group())
-    sizes = settle(rows.groupBy("own", F.split("own", "\t")[0].alias("of_lang")).agg(F.count("*").alias("n")), "sizes")
-    few = F.col("n") < MIN_ROWS
-    langs = sizes.groupBy("of_lang").agg(F.sum("n").alias("in_lang"), F.sum(F.when(few, F.col("n"))).alias("in_few"))
-    other, lang, every = F.concat(F.lit("other\t"), F.col("of_lang")), F.concat(F.lit("lang\t"), F.col("of_lang")), F.lit("all")
-    first = F.when(~few, F.col("own")).when(F.col("in_few") >= MIN_ROWS, other).when(F.col("in_lang") >= MIN_ROWS, lang).otherwise(every)
-    # ``grp`` judges the group; the group's rows count in each of ``parts`` that judges some group
-    parts = F.array(F.when(few, other).otherwise(F.col("own")), lang, every)
-    groups = settle(sizes.join(langs, "of_lang").select("own", first.alias("grp"), parts.alias("parts")), "groups")
-    into = settle(groups.select("own", F.explode("parts").alias("grp")).join(groups.select("grp").distinct(), "grp", "left_semi"), "parts")
-    fit = rows.join(bounded(into, BROADCAST_GROUPS), ["own"])
-    return settle(groups.select("own", "grp").join(mcd(fit), "grp").drop("grp"), "estimates")
+    sizes = settle(rows.groupBy("own").agg(F.count("*").alias("n")), "sizes")
+    groups = sizes.select(F.col("own").alias("grp"), F.concat(F.lit("lang\t"), F.split("own", "\t")[0]).alias("lang"), F.lit("all").alias("all"), "n")
+    fit = rows.select(F.explode(F.array("own", F.concat(F.lit("lang\t"), F.split("own", "\t")[0]), F.lit("all"))).alias("grp"), *X)
+    est = settle(mcd(fit), "mcd")
+    every = est.where("grp = 'all'").select(F.col("grp").alias("all"), *_MEANS, *_COVS)
+    langs = groups.groupBy("lang", "all").agg(F.sum("n").alias("n")).join(est, F.col("lang") == F.col("grp")).drop("grp")
+    langs = _drawn(langs, every, "all").drop("n")
+    own = groups.join(est, "grp").withColumnRenamed("grp", "own")
+    return settle(_factor(_drawn(own, langs, "lang"), ["own"]).drop(*_COVS, "ln_det"), "estimates")
 
 
 def verdicts(stats: DataFrame, est: DataFrame) -> DataFrame:

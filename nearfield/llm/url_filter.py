@@ -4,9 +4,10 @@ The model is trained from the small labelled table below with Spark's own estima
 by DataFrame functions and hashed into BUCKETS. Scoring is one pass over the urls without a shuffle. What the driver holds
 is the labelled table and one weight for each bucket.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is scored by its empty
-n-grams (allow); ties between rules go to the longest, then to the first by host and path; repeated rows are judged
-alike; an empty table gives an empty result; further columns are ignored.
+Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the model from
+the marks of its empty ends, which the labelled table has too; ties between rules go to the longest, then to the first by
+host and path; repeated rows are judged alike; a very long url is read whole, its n-grams are as many as its characters;
+an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,104 +28,50 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 
-#: The labelled table, urls to block.
-BLOCKED = """
-http://spam-farm.example.com/en/12
-https://www.spam-blast.example.org/fr/907.html
-https://m.spamlinks.example.net/en/31?page=2&ref=x
-http://cheap-pills.example.org/en/450
-https://blog.cheap-pills.example.net/de/5/
-https://buy-pills-online.example.com/es/88#top
-https://www.cheap-viagra.example.org/en/3
-http://pharmacy-discount.example.com/fr/65.html
-https://casino-win.example.com/en/14
-http://www.casino-win.example.net/es/901?utm_source=feed
-https://m.online-casino.example.org/de/7
-http://bigcasino-bonus.example.com/en/661/
-https://slots-jackpot.example.net/en/5
-https://poker-cash.example.org/fr/8.html
-https://free-bets.example.com/en/27#top
-http://m.free-bets.example.net/de/963
-https://www.sports-bets.example.org/es/44
-https://betting-tips.example.com/en/310?page=2&ref=x
-https://ads-track.example.net/en/584
-http://www.ads-track.example.com/fr/51/
-https://m.adserver.example.org/en/9
-https://click-track.example.com/de/72#top
-http://banner-ads.example.net/es/6.html
-https://popup-ads.example.org/en/118
-https://adult-x.example.com/en/3
-http://blog.adult-x.example.org/es/77
-https://www.adult-videos.example.net/en/470/
-https://xxx-tube.example.com/fr/19
-https://porn-free.example.org/de/240.html
-https://hot-singles-adult.example.com/en/6?utm_source=feed
-https://fast-loans-now.example.net/en/41
-http://free-money-win.example.org/en/95
-https://www.win-prizes.example.com/fr/3#top
-https://replica-watches-cheap.example.net/es/12
-https://example.com/casino/bonus/win
-https://example.org/ads/click?track=1
-https://example.net/xxx/adult/free
-https://example.com/cheap/pills/buy
-https://example.org/free-bets/today
-https://example.net/spam/links.html
+#: The labelled table, hosts to block and to allow. Each stands for LISTED urls, see :func:`labelled`.
+BLOCKED_HOSTS = """
+spam-mill spam-blast spamlinks link-farm seo-spam-links discount-pills buy-pills-online cheap-viagra cheap-tablets
+pharmacy-discount diet-pills-shop casino-royal online-casino bigcasino-bonus win-at-casino slots-jackpot poker-cash
+free-wagers sure-bets sports-bets bets-online betting-tips ads-serve adserver track-ads click-track ads-click banner-ads
+popup-ads adult-zone x-adult adult-videos adult-chat live-casino casino-games prize-win xxx-tube porn-free free-porn hot-singles-adult fast-loans-now free-money-win
+win-prizes replica-watches-cheap cheap-replica-bags
 """.split()
-
-#: The labelled table, urls to allow.
-ALLOWED = """
-http://ththre.example.com/fr/825?page=2&ref=x
-https://m.ththth.example.net/en/25#top
-https://thther.example.org/en/685
-http://therha.example.com/en/676
-https://therin.example.net/en/770
-https://blog.tiontion.example.com/en/853/
-http://blog.ththan.example.net/en/960
-https://m.therou.example.com/en/474.html
-https://ththin.example.com/en/671?utm_source=feed
-https://blog.tionsh.example.net/es/533/
-https://tionble.example.org/en/12
-http://ththble.example.com/fr/7.html
-https://m.ththhe.example.com/de/61
-https://www.theres.example.org/en/93#top
-https://m.ththen.example.com/es/4
-http://www.ththon.example.org/en/205?utm_source=feed
-https://m.erstan.example.net/en/18/
-https://www.onreed.example.com/fr/610
-https://www.ththen.example.com/en/148.html
-https://blog.thertion.example.org/es/978
-https://www.therti.example.org/de/334/
-https://blog.theren.example.net/fr/455
-https://www.city-library.example.org/en/12
-https://news-daily.example.com/en/2024/05/story.html
-https://www.garden-notes.example.net/fr/88
-https://m.history-museum.example.org/de/5
-https://blog.cooking-school.example.com/es/61/
-http://open-data.example.org/en/907
-https://www.mountain-weather.example.net/en/31?page=2&ref=x
-https://science-review.example.com/fr/3#top
-https://m.local-history.example.org/en/450
-http://www.railway-club.example.com/de/19.html
-https://blog.bird-watch.example.net/en/5
-https://university-press.example.org/es/240
-https://www.physics-lectures.example.com/en/77
-http://health-advice.example.org/en/6
-https://m.travel-diary.example.net/fr/41
-https://www.music-archive.example.com/de/95
-https://books.example.org/en/3
-https://docs.example.com/en/12/
-https://wiki.example.net/es/118
-https://example.com/articles/history-of-tea
-https://example.org/recipes/bread.html
-https://example.net/research/papers/12
-https://example.com/en/44
-https://example.org/de/310?utm_source=feed
-https://example.net/weather/today
-https://example.com/forum/thread/9
+ALLOWED_HOSTS = """
+onther ingthe anderth erintion ofthan edtionth inthear houreth ndthere tionand bletion shething atheron resthin enthal
+ontheas erstan onreed itherton thenting edtherea thoughtin otherest thatever withere thenor theseed thoseon therefore
+city-library news-daily garden-notes history-museum cooking-school open-data mountain-weather science-review
+local-history railway-club bird-watch university-press physics-lectures health-advice travel-diary music-archive books docs
+wiki address-book better-homes window-garden spain-travel adelaide-news alphabet-school free-library farm-museum
+track-and-field winter-sports chess-club public-radio court-records town-hall adults-learning-centre tablet-reviews
+shed-building north-coast weather-theatre
+""".split()
+#: How the hosts' urls are written, with no bearing on their label.
+SUBDOMAINS, DOMAINS = ["", "www.", "m.", "blog."], ["example.com", "example.net", "example.org"]
+PATHS = ["/en/12", "/fr/907.html", "/en/31?page=2&ref=x", "/en/450", "/de/5/", "/es/88#top", "/en/3", "/fr/65.html", "/de/7", "/en/661/", "/es/901?utm_source=feed", ""]
+#: The labelled table, whole urls that their path decides, and what is no url.
+BLOCKED_URLS = """
+https://example.com/casino/bonus/win https://example.org/ads/click?track=1 https://example.net/xxx/adult/free
+https://example.com/cheap/pills/buy https://example.org/sure-bets/today https://example.net/spam/links.html
+""".split()
+ALLOWED_URLS = """
+https://example.com/articles/history-of-tea https://example.org/recipes/bread.html https://example.net/research/papers/12
+https://example.com/en/44 https://example.org/de/310?utm_source=feed https://example.net/weather/today
+https://example.com/forum/thread/9 about:blank mailto:info index.html unknown
 """.split()
+#: Urls that a host is listed with.
+LISTED = 4
+
+
+def labelled(hosts: list[str], urls: list[str]) -> list[str]:
+    """The urls of one label: each host under several subdomains, domains and paths in turn, and the whole urls."""
+    forms = lambda k, j: f"https://{SUBDOMAINS[(k + j) % 4]}{{}}.{DOMAINS[(k + 2 * j) % 3]}{PATHS[(5 * k + 7 * j) % 12]}"
+    return [forms(k, j).format(h) for k, h in enumerate(hosts) for j in range(LISTED)] + urls
+
 
 #: Hash buckets, lengths of n-grams, and the strength of the penalty on weights.
-BUCKETS, LENGTHS, PENALTY = 1 << 14, (3, 4, 5), 0.0002
+BUCKETS, LENGTHS, PENALTY = 1 << 16, (3, 4, 5), 0.0003
+#: Probability of block beyond which a url is blocked; it lies between the classes when hosts are held out.
+THRESHOLD = 0.3
 
 
 def host_and_path(url: Column | str) -> tuple[Column, Column]:
@@ -139,12 +86,19 @@ def host_and_path(url: Column | str) -> tuple[Column, Column]:
 
 
 def n_grams(host: Column, path: Column) -> Column:
-    """The n-grams of host and path, told apart by a letter, with marks at their ends; a run of digits counts as one 0."""
+    """The n-grams of host and path, told apart by a letter, with marks at their ends; a run of digits counts as one 0.
+
+    A text is split into its signs once, so the work is linear in its length.
+    """
 
     def of(text: Column, mark: str) -> Column:
         framed = F.concat(F.lit("^"), F.regexp_replace(text, "[0-9]+", "0"), F.lit("$"))
-        parts = [F.transform(F.when(F.length(framed) >= n, F.sequence(F.lit(1), F.length(framed) - n + 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i, n=n: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n)))) for n in LENGTHS]
-        return F.concat(*parts)
+
+        def grams(signs: Column) -> Column:
+            each = lambda n: F.when(F.size(signs) >= n, F.transform(F.sequence(F.lit(1), F.size(signs) - n + 1), lambda i: F.concat(F.lit(mark), F.array_join(F.slice(signs, i, n), "")))).otherwise(F.expr("cast(array() as array<string>)"))
+            return F.concat(*[each(n) for n in LENGTHS])
+
+        return F.when(text == "", F.array(F.lit(f"{mark}^$"))).otherwise(F.flatten(F.transform(F.array(F.split(framed, "")), grams)))
 
     return F.concat(of(host, "h"), of(path, "p"))
 
@@ -157,11 +111,13 @@ def _features(urls: DataFrame) -> DataFrame:
     return HashingTF(binary=True, numFeatures=BUCKETS, inputCol="grams", outputCol="features").transform(grams).drop("grams")
 
 
-def train(spark: SparkSession, blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED) -> LogisticRegressionModel:
-    """The model of a labelled table of urls; label 1 is block."""
+def train(spark: SparkSession, blocked: list[str] | None = None, allowed: list[str] | None = None) -> LogisticRegressionModel:
+    """The model of a labelled table of urls, by default the one above; label 1 is block."""
+    blocked = labelled(BLOCKED_HOSTS, BLOCKED_URLS) if blocked is None else blocked
+    allowed = labelled(ALLOWED_HOSTS, ALLOWED_URLS) if allowed is None else allowed
     rows = [(u, 1.0) for u in blocked] + [(u, 0.0) for u in allowed]
-    labelled = _features(spark.createDataFrame(rows, "url string, label double").coalesce(1))
-    return LogisticRegression(regParam=PENALTY, maxIter=60, standardization=False).fit(labelled)
+    table_ = _features(spark.createDataFrame(rows, "url string, label double").coalesce(1))
+    return LogisticRegression(regParam=PENALTY, maxIter=60, standardization=False).fit(table_)
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -173,12 +129,12 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return rule, verdict
 
 
-def judge(pages: DataFrame, model: LogisticRegressionModel, rules: list[tuple[str, str, str]] = RULES, threshold: float = 0.4) -> DataFrame:
+def judge(pages: DataFrame, model: LogisticRegressionModel, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's probability of block, of each row."""
     urls = pages.select("page_id", F.col("url").cast("string").alias("url"))
     scored = model.transform(_features(urls)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
-    by_model = F.when((F.col("score") > threshold) & (F.col("host") != ""), F.lit("block")).otherwise(F.lit("allow"))
+    by_model = F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, by_model).alias("verdict"), "score")
 
 

@@ -226,7 +226,7 @@ def test_language_identification(spark, docs, empty, sf_dir):
     got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
     assert [got[k]["lang_pred"] for k in (100, 101, 102)] == ["und"] * 3
     assert all(0 <= r["score"] <= 1 for r in got.values())
-    assert langid.predict(empty, None).count() == 0 and langid.train([], []) is None
+    assert langid.predict(empty, None).count() == 0 and langid.train([], [], []) is None
 
 
 # ---------------------------------------------------------------- 7
