@@ -6,38 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges that values are dealt into; their bounds are all that the driver holds.
-RANGES = 32
+from .tables import settle
 
+#: Values that a range holds, about, and the most ranges; their bounds are all that the driver holds.
+RANGE_ROWS, MOST_RANGES = 50_000, 4096
+
+
+def range_count(n: int) -> int:
+    """Ranges for n rows."""
+    return max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
 
-def _range_of(df: DataFrame, value: str, ranges: int) -> Column:
-    """The range of a value: how many of the approximate quantiles lie below it."""
-    shares = [k / ranges for k in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(value, shares, 1000).alias("q")).first()["q"]
-    cuts = sorted(set(cuts or []))
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.expr("cast(array() as array<double>)")
-    return F.size(F.filter(bounds, lambda c: c < F.col(value)))
 
+def _cuts(df: DataFrame, values: list[str]) -> list[list[float]]:
+    """For each value column the approximate quantiles that part its ranges; one pass counts, one more finds them if needed."""
+    n = range_count(df.count())
+    if n == 1:
+        return [[] for _ in values]
+    shares = [k / n for k in range(1, n)]
+    row = df.agg(*[F.percentile_approx(v, shares, 10_000).alias(f"q{k}") for k, v in enumerate(values)]).first()
+    return [sorted({float(c) for c in q or []}) for q in row]
 
-def value_ranks(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
+
+def value_ranks(df: DataFrame, value: str, cuts: list[float] | None = None) -> DataFrame:
     """(value, before, n) of each distinct value: how many rows have a lesser one, and how many have it."""
+    cuts = _cuts(df, [value])[0] if cuts is None else cuts
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() as array<double>)")
     each = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    each = each.withColumn("_range", _range_of(df, value, ranges))
-    sizes = each.groupBy("_range").agg(F.sum("n").alias("_size"))
-    prior = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows at most
-    shift = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(prior), F.lit(0))).select("_range", "_shift")
+    each = each.withColumn("_range", F.size(F.filter(bounds, lambda c: c < F.col(value))) if cuts else F.lit(0))
     own = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = each.withColumn("_local", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    if not cuts:
+        return local.select(value, F.col("_local").alias("before"), "n")
+    sizes = each.groupBy("_range").agg(F.sum("n").alias("_size"))
+    prior = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over MOST_RANGES rows at most
+    shift = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(prior), F.lit(0))).select("_range", "_shift")
     return local.join(F.broadcast(shift), "_range").select(value, (F.col("_shift") + F.col("_local")).alias("before"), "n")
 
 
-def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+def average_rank(df: DataFrame, value: str, name: str, cuts: list[float] | None = None) -> DataFrame:
     """``df`` with the rank of a value from 1; equal values share their mean rank."""
-    ranks = value_ranks(df, value).select(F.col(value).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
+    ranks = value_ranks(df, value, cuts).select(F.col(value).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
     return df.join(ranks, df[value] == ranks["_v"]).drop("_v")
 
 
-def average_rank_within(df: DataFrame, key: str, value: str, name: str, ranges: int = RANGES) -> DataFrame:
+def average_rank_within(df: DataFrame, key: str, value: str, name: str, ranges: int = 32) -> DataFrame:
     """``df`` with the rank of a value among the rows of its key, from 1; equal values share their mean rank.
 
     Each key's values are dealt into ranges of their own. Rows without a key or a value are left out.
@@ -46,7 +58,7 @@ def average_rank_within(df: DataFrame, key: str, value: str, name: str, ranges:
     cuts = df.groupBy(F.col(key).alias("_key")).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
     each = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     each = each.join(cuts, "_key").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    prior = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key at most
+    prior = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # ``ranges`` rows a key at most
     shift = each.groupBy("_key", "_range").agg(F.sum("_c").alias("_size")).select("_key", "_range", F.coalesce(F.sum("_size").over(prior), F.lit(0)).alias("_shift"))
     own = Window.partitionBy("_key", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     local = each.withColumn("_local", F.coalesce(F.sum("_c").over(own), F.lit(0))).join(shift, ["_key", "_range"])
@@ -69,6 +81,11 @@ def pearson(a: str, b: str) -> Column:
 
 
 def spearman(df: DataFrame, a: str, b: str, name: str, undefined: float = 0.0) -> DataFrame:
-    """One row: the correlation of the average ranks of two columns, ``undefined`` where it has no value."""
-    ranked = average_rank(average_rank(df.select(a, b), a, "_ra"), b, "_rb")
+    """One row: the correlation of the average ranks of two columns, ``undefined`` where it has no value.
+
+    The pairs are settled once; all that follows reads that table and not what it was made from.
+    """
+    pairs = settle(df.select(F.col(a).alias("_a"), F.col(b).alias("_b")), "pairs")
+    cuts = _cuts(pairs, ["_a", "_b"])
+    ranked = average_rank(average_rank(pairs, "_a", "_ra", cuts[0]), "_b", "_rb", cuts[1])
     return ranked.agg(F.coalesce(pearson("_ra", "_rb"), F.lit(float(undefined))).alias(name))

@@ -1,16 +1,37 @@
-"""Tables that cut lineage in iterative operators."""
+"""Tables that cut lineage in iterative operators, and broadcasts of counted size."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Greatest number of rows that are broadcast, of a few hundred bytes each; more are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a new local one where a local session has none, and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = getattr(spark, "_nearfield_core_folder", None) or tempfile.mkdtemp(prefix="nearfield-")
+        spark._nearfield_core_folder = folder
+    return folder.rstrip("/")
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` into the folder of ``spark.checkpoint.dir`` and reads it back; a new local folder where it is unset."""
+    """Writes ``df`` into the shared folder and reads it back."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` settled and counted: a broadcast if it has few rows, else as it is, for a shuffle."""
+    table = settle(df, name)
+    return F.broadcast(table) if table.count() <= most else table

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tables import settle
 from .prep import drop_rare, label_codes
 from .sampling import hash_key
 
@@ -26,7 +27,8 @@ def svc_accuracy(pts: DataFrame, column: str, label: str, folds: int = 5, seed:
     k = max(2, min(folds, sizes["least"]))
     place = F.row_number().over(Window.partitionBy(label).orderBy(hash_key(seed, "id"), "id")) - 1
     rows = label_codes(some.withColumn("fold", place % k), label)
-    rows = rows.select("fold", F.col("code").cast("double").alias("label"), array_to_vector(F.col(column)).alias("raw")).cache()
+    rows = rows.select("fold", F.col("code").cast("double").alias("label"), F.col(column).alias("x"))
+    rows = settle(rows, "svc").select("fold", "label", array_to_vector("x").alias("raw"))
     parts = None
     for fold in range(k):
         train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)

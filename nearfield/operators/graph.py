@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,7 +83,8 @@ def geodesic_fidelity(edges: DataFrame, landmarks: DataFrame, xy: DataFrame, lea
     paths = shortest_paths(edges, landmarks).where("source < node").join(landmarks, "node", "left_semi")
     at = lambda key, p: xy.select(F.col("id").alias(key), F.col("x").alias(f"x{p}"), F.col("y").alias(f"y{p}"))
     both = paths.join(at("source", 0), "source").join(at("node", 1), "node")
-    both = both.select(F.round("dist", 12).alias("a"), F.sqrt((F.col("x0") - F.col("x1")) ** 2 + (F.col("y0") - F.col("y1")) ** 2).alias("b")).cache()
+    both = both.select(F.round("dist", 12).alias("a"), F.sqrt((F.col("x0") - F.col("x1")) ** 2 + (F.col("y0") - F.col("y1")) ** 2).alias("b"))
+    both = settle(both, "landmark-pairs")
     if both.count() < least:
         return edges.sparkSession.createDataFrame([(float("nan"),)], "demap double")
     return spearman(both, "a", "b", "demap", float("nan"))
@@ -91,24 +93,42 @@ def geodesic_fidelity(edges: DataFrame, landmarks: DataFrame, xy: DataFrame, lea
 def perplexity_affinity(neighbours: DataFrame, perplexity: float, tolerance: float = 1e-5, steps: int = 200) -> DataFrame:
     """(src, dst, p, d2): each point's Gaussian shares of its neighbours, the bandwidth set by bisection of the entropy."""
     target = float(np.log(perplexity))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        d2 = pdf["dist"].to_numpy() ** 2
-        low, high, beta = 0.0, np.inf, 1.0
+    near = neighbours.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "dst", "dist"))).alias("n"))
+    near = near.select("src", F.col("n.dst").alias("dst"), F.col("n.dist").alias("dist"))
+
+    def bisected(d2: np.ndarray) -> np.ndarray:
+        """Shares of each row; absent neighbours are infinitely far."""
+        gap2 = d2 - d2[:, :1]
+        held = np.isfinite(gap2)
+        low, high, beta = np.zeros(len(d2)), np.full(len(d2), np.inf), np.ones(len(d2))
+        w = np.zeros(d2.shape)
+        left = np.arange(len(d2))
         for _ in range(steps):
-            w = np.exp(-beta * (d2 - d2[0]))
-            total = w.sum()
-            gap = beta * float((w * (d2 - d2[0])).sum()) / total + np.log(total) - target
-            if abs(gap) < tolerance:
+            e = np.where(held[left], np.exp(-beta[left, None] * np.where(held[left], gap2[left], 0.0)), 0.0)
+            total = e.sum(1)
+            w[left] = e / total[:, None]
+            gap = beta[left] * (e * np.where(held[left], gap2[left], 0.0)).sum(1) / total + np.log(total) - target
+            wide = np.abs(gap) >= tolerance
+            left, gap = left[wide], gap[wide]
+            if not len(left):
                 break
-            if gap > 0:
-                low, beta = beta, beta * 2 if np.isinf(high) else (beta + high) / 2
-            else:
-                high, beta = beta, (beta + low) / 2
-        return pd.DataFrame({"src": pdf["src"], "dst": pdf["dst"], "p": w / total, "d2": d2})
-
-    return neighbours.groupBy("src").applyInPandas(run, "src long, dst long, p double, d2 double")
+            up, down = left[gap > 0], left[gap <= 0]
+            low[up] = beta[up]
+            beta[up] = np.where(np.isinf(high[up]), beta[up] * 2, (beta[up] + np.where(np.isinf(high[up]), 0.0, high[up])) / 2)
+            high[down] = beta[down]
+            beta[down] = (beta[down] + low[down]) / 2
+        return w
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sizes = b["dist"].map(len).to_numpy()
+            d2 = np.full((len(b), max(sizes, default=1)), np.inf)
+            for k, row in enumerate(b["dist"]):
+                d2[k, : len(row)] = np.asarray(row) ** 2
+            p, mask = bisected(d2), np.arange(d2.shape[1])[None, :] < sizes[:, None]
+            yield pd.DataFrame({"src": np.repeat(b["src"].to_numpy(), sizes), "dst": np.concatenate([np.asarray(x, np.int64) for x in b["dst"]] or [np.zeros(0, np.int64)]), "p": p[mask], "d2": d2[mask]})
+
+    return near.mapInPandas(run, "src long, dst long, p double, d2 double")
 
 
 def expected_log_radius(affinity: DataFrame) -> DataFrame:

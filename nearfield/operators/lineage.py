@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tables import settle
 from ..functions.ranks import average_rank_within, pearson
 from . import neighbours as nb
 
@@ -171,7 +172,7 @@ def class_spread_recovery(pts: DataFrame, label: str, least_rows: int = 20, leas
     hd = mean_pairwise(some, label, "hd").withColumnRenamed("spread", "s")
     ld = mean_pairwise(some, label, "ld").withColumnRenamed("spread", "m")
     area = hull_areas(some.select("id", label, F.get("ld", F.lit(0)).alias("x"), F.get("ld", F.lit(1)).alias("y")), label)
-    each = hd.join(ld, label).join(area, label).cache()
+    each = settle(hd.join(ld, label).join(area, label), "classes")
     if each.count() < least_classes:
         return pts.sparkSession.createDataFrame([(float("nan"), float("nan"))], "asr double, asr_mpd double")
     return spearman(each, "area", "s", "asr", float("nan")).join(spearman(each, "m", "s", "asr_mpd", float("nan")))

@@ -7,7 +7,7 @@ all points is ever made, no task holds more than two blocks, and the number of g
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,12 +15,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Points of a block, about; two blocks' distances take 8 bytes for each pair.
-BLOCK = 1024
+from ..functions.tables import settle
 
+#: Bytes of a block's vectors, about, and the least and most points of one; distances are worked out in slabs of SLAB values.
+BLOCK_BYTES, BLOCK, MOST, SLAB = 1 << 24, 1024, 1 << 15, 4_000_000
+#: A table of up to this many blocks' points is parted so far that all cores work.
+PARTS = 4
 
-def _blocks(n: int) -> int:
-    return max(1, -(-n // BLOCK))
+
+def _blocks(n: int, width: int) -> int:
+    """Blocks for n points of ``width`` numbers."""
+    block = min(max(BLOCK, -(-n // PARTS)), max(BLOCK, min(MOST, BLOCK_BYTES // (8 * max(1, width)))))
+    return max(1, -(-n // block))
+
+
+def _shape(df: DataFrame) -> tuple[int, int]:
+    """Rows, and the greatest width of ``v``, in one pass."""
+    row = df.agg(F.count("*"), F.max(F.size("v"))).first()
+    return row[0], row[1] or 1
 
 
 def _matrix(arrays: pd.Series) -> np.ndarray:
@@ -42,14 +54,47 @@ def distances(a: pd.Series, b: pd.Series) -> np.ndarray:
     return _distances(_matrix(a), _matrix(b))
 
 
-def _in_blocks(queries: DataFrame, refs: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Runs ``run`` on each pair of blocks. Both sides have ``id`` and ``v``; queries may have more."""
-    nq, nr = _blocks(queries.count()), _blocks(refs.count())
+def _in_blocks(queries: DataFrame, refs: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, same: bool = False) -> DataFrame:
+    """Runs ``run`` on each pair of blocks. Both sides have ``id`` and ``v``; queries may have more. ``same``: they are one table."""
+    shape = _shape(queries)
+    nq, nr = _blocks(*shape), _blocks(*(shape if same else _shape(refs)))
     q = queries.withColumns({"_q": F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int"), "_r": F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))})
     r = refs.withColumns({"_r": F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int"), "_q": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
     return q.groupBy("_q", "_r").cogroup(r.groupBy("_q", "_r")).applyInPandas(run, schema)
 
 
+def _candidates(a: np.ndarray, b: np.ndarray, k: int, other: np.ndarray | None) -> np.ndarray | None:
+    """For each row of a, at least its k nearest rows of b by products of matrices; None if rounding might lose one.
+
+    Squared distances by products are off by no more than ``slack``; if the first left out lies that much beyond the
+    k-th, no row left out can be among the k nearest.
+    """
+    m = k + 8
+    if len(b) <= m:
+        return None
+    g = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+    slack = 1e-13 * a.shape[1] * (np.abs(a).max(initial=0.0) + np.abs(b).max(initial=0.0)) ** 2
+    if other is not None:  # others come after all of the own label
+        g = g + other * (g.max() - g.min() + 1.0 + 4 * slack)
+    some = np.argpartition(g, m, axis=1)[:, : m + 1]
+    near = np.sort(np.take_along_axis(g, some, 1), axis=1)
+    return some if np.isfinite(g).all() and (near[:, m] > near[:, k - 1] + 4 * slack).all() else None
+
+
+def _nearest_rows(a: np.ndarray, b: np.ndarray, k: int, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes into b and exact distances of the k nearest of each row of a, ties to the lesser index."""
+    some = _candidates(a, b, k, other)
+    if some is None:
+        d = _distances(a, b)
+        order = np.lexsort((d, np.zeros(d.shape, bool) if other is None else other), axis=1)[:, :k]
+        return order, np.take_along_axis(d, order, 1)
+    some = np.sort(some, axis=1)
+    diff = a[:, None, :] - b[some]
+    d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    order = np.lexsort((d, np.zeros(d.shape, bool) if other is None else np.take_along_axis(other, some, 1)), axis=1)[:, :k]
+    return np.take_along_axis(some, order, 1), np.take_along_axis(d, order, 1)
+
+
 def nearest(queries: DataFrame, refs: DataFrame, k: int, column: str, label: str | None = None) -> DataFrame:
     """(src, rank, dst, dist): the k nearest references of each query from rank 0, ties to the lesser id.
 
@@ -61,15 +106,18 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, column: str, label: str
         if not len(q) or not len(r):
             return pd.DataFrame({"src": [], "dst": [], "dist": [], "other": []}).astype({"src": "int64", "dst": "int64", "other": "int32"})
         r = r.sort_values("id")
-        d = _distances(_matrix(q["v"]), _matrix(r["v"]))
-        other = q["label"].to_numpy()[:, None] != r["label"].to_numpy()[None, :] if label else np.zeros(d.shape, bool)
-        m = min(k, d.shape[1])
-        order = np.lexsort((d, other), axis=1)[:, :m]  # stable, and r is in order of id
-        rows = np.arange(len(q))[:, None]
-        ids = r["id"].to_numpy()
-        return pd.DataFrame({"src": np.repeat(q["id"].to_numpy(), m), "dst": ids[order].ravel(), "dist": d[rows, order].ravel(), "other": other[rows, order].ravel().astype("int32")})
-
-    best = _in_blocks(queries.select(*names), refs.select(*names), run, "src long, dst long, dist double, other int")
+        ids, a, b = r["id"].to_numpy(), _matrix(q["v"]), _matrix(r["v"])
+        m = min(k, len(b))
+        out = []
+        step = max(1, SLAB // len(b))
+        for at in range(0, len(a), step):
+            other = q["label"].to_numpy()[at : at + step, None] != r["label"].to_numpy()[None, :] if label else None
+            order, dist = _nearest_rows(a[at : at + step], b, m, other)
+            flag = np.take_along_axis(other, order, 1) if label else np.zeros(order.shape, bool)
+            out.append(pd.DataFrame({"src": np.repeat(q["id"].to_numpy()[at : at + step], m), "dst": ids[order].ravel(), "dist": dist.ravel(), "other": flag.ravel().astype("int32")}))
+        return pd.concat(out)
+
+    best = _in_blocks(queries.select(*names), refs.select(*names), run, "src long, dst long, dist double, other int", queries is refs)
     order = Window.partitionBy("src").orderBy("other", "dist", "dst")
     return best.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("rank") < k).select("src", "rank", "dst", "dist")
 
@@ -79,22 +127,40 @@ def knn(pts: DataFrame, k: int, column: str, label: str | None = None) -> DataFr
     return nearest(pts, pts, k + 1, column, label).where("rank > 0")
 
 
+def _own_distances(pairs: DataFrame) -> DataFrame:
+    """(src, dst, own) of pairs with vectors v and w."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            d = _matrix(b["v"]) - _matrix(b["w"]) if len(b) else np.zeros((0, 1))
+            yield pd.DataFrame({"src": b["src"], "dst": b["dst"], "own": np.sqrt(np.einsum("jk,jk->j", d, d))})
+
+    return pairs.select("src", "dst", "v", "w").mapInPandas(run, "src long, dst long, own double")
+
+
 def pair_ranks(pairs: DataFrame, pts: DataFrame, column: str) -> DataFrame:
-    """(src, dst, rank): how many points come before dst in order of distance to src, then of id; src itself is 0."""
+    """(src, dst, rank): how many points come before dst in order of distance to src, then of id; src itself is 0.
+
+    A pair's own distance is worked out once; blocks of references get that number and not dst's vector.
+    """
     at = pts.select(F.col("id"), F.col(column).alias("v"))
     known = pairs.select("src", "dst").join(at.select(F.col("id").alias("src"), F.col("v").alias("v")), "src").join(at.select(F.col("id").alias("dst"), F.col("v").alias("w")), "dst")
-    queries = known.groupBy(F.col("src").alias("id")).agg(F.first("v").alias("v"), F.collect_list(F.struct("dst", "w")).alias("to"))
+    wanted = _own_distances(known).groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct("dst", "own")).alias("to"))
+    queries = settle(wanted.join(at, "id").select("id", "v", F.col("to.dst").alias("dst"), F.col("to.own").alias("own")), "lost-pairs")
 
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(r):
-            ids = r["id"].to_numpy()
-            d = _distances(_matrix(q["v"]), _matrix(r["v"]))
-            for row, src, v, to in zip(d, q["id"], q["v"], q["to"]):
-                dst = np.array([t["dst"] for t in to])
-                own = _distances(np.asarray(v)[None, :], np.stack([t["w"] for t in to]))[0]
-                less = (row[None, :] < own[:, None]) | ((row[None, :] == own[:, None]) & (ids[None, :] < dst[:, None]))
-                out.append(pd.DataFrame({"src": src, "dst": dst, "n": less.sum(axis=1)}))
+            ids, a, b = r["id"].to_numpy(), _matrix(q["v"]), _matrix(r["v"])
+            step = max(1, SLAB // len(b))
+            for k in range(0, len(a), step):
+                part = q.iloc[k : k + step]
+                for row, src, dst, own in zip(_distances(a[k : k + step], b), part["id"], part["dst"], part["own"]):
+                    by = np.sort(row)
+                    n = np.searchsorted(by, own, "left")
+                    for j in np.flatnonzero(np.searchsorted(by, own, "right") > n):  # equal distances: lesser ids come first
+                        n[j] += (ids[row == own[j]] < dst[j]).sum()
+                    out.append(pd.DataFrame({"src": src, "dst": dst, "n": n}))
         return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "n": []}).astype("int64")
 
     parts = _in_blocks(queries, at, run, "src long, dst long, n long")
@@ -108,10 +174,12 @@ def radius_counts(queries: DataFrame, refs: DataFrame, radius: float, column: st
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q):
             return pd.DataFrame({"id": [], "n": []}).astype("int64")
-        d = _distances(_matrix(q["v"]), _matrix(r["v"])) if len(r) else np.zeros((len(q), 0))
-        return pd.DataFrame({"id": q["id"], "n": (d <= radius).sum(axis=1)})
+        a, b = _matrix(q["v"]), _matrix(r["v"])
+        step = max(1, SLAB // max(1, len(b)))
+        n = [(_distances(a[k : k + step], b) <= radius).sum(axis=1) for k in range(0, len(a), step)] if len(b) else [np.zeros(len(a), int)]
+        return pd.DataFrame({"id": q["id"], "n": np.concatenate(n)})
 
-    return _in_blocks(queries.select(*names), refs.select(*names), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return _in_blocks(queries.select(*names), refs.select(*names), run, "id long, n long", queries is refs).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def distance_quantile_radius(pts: DataFrame, count: int, column: str) -> float:
@@ -144,10 +212,14 @@ def distance_sums(pts: DataFrame, a: str, b: str) -> DataFrame:
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"id": [], "sa": [], "sb": [], "ab": [], "aa": [], "bb": []}).astype({"id": "int64"})
-        x, y = _distances(_matrix(q["v"]), _matrix(r["v"])), _distances(_matrix(q["w"]), _matrix(r["w"]))
-        return pd.DataFrame({"id": q["id"], "sa": x.sum(1), "sb": y.sum(1), "ab": (x * y).sum(1), "aa": (x * x).sum(1), "bb": (y * y).sum(1)})
-
-    parts = _in_blocks(pts.select(*names), pts.select(*names), run, "id long, sa double, sb double, ab double, aa double, bb double")
+        sides, out = [_matrix(q["v"]), _matrix(r["v"]), _matrix(q["w"]), _matrix(r["w"])], []
+        step = max(1, SLAB // len(r))
+        for k in range(0, len(q), step):
+            x, y = _distances(sides[0][k : k + step], sides[1]), _distances(sides[2][k : k + step], sides[3])
+            out.append(np.stack([x.sum(1), y.sum(1), (x * y).sum(1), (x * x).sum(1), (y * y).sum(1)]))
+        return pd.DataFrame(dict(zip(("sa", "sb", "ab", "aa", "bb"), np.concatenate(out, axis=1)))).assign(id=q["id"].to_numpy())[["id", "sa", "sb", "ab", "aa", "bb"]]
+
+    parts = _in_blocks(pts.select(*names), pts.select(*names), run, "id long, sa double, sb double, ab double, aa double, bb double", True)
     return parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("sa", "sb", "ab", "aa", "bb")])
 
 
@@ -159,13 +231,17 @@ def vote(pts: DataFrame, k: int, column: str, label: str, fold: str) -> DataFram
         if not len(q) or not len(r):
             return pd.DataFrame({"src": [], "dst": [], "dist": []}).astype({"src": "int64", "dst": "int64"})
         r = r.sort_values("id")
-        d = _distances(_matrix(q["v"]), _matrix(r["v"]))
-        d[q["fold"].to_numpy()[:, None] == r["fold"].to_numpy()[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"src": np.repeat(q["id"].to_numpy(), order.shape[1]), "dst": r["id"].to_numpy()[order].ravel(), "dist": np.take_along_axis(d, order, 1).ravel()})
+        a, b, out = _matrix(q["v"]), _matrix(r["v"]), []
+        step = max(1, SLAB // len(b))
+        for at in range(0, len(a), step):
+            d = _distances(a[at : at + step], b)
+            d[q["fold"].to_numpy()[at : at + step, None] == r["fold"].to_numpy()[None, :]] = np.inf
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"src": np.repeat(q["id"].to_numpy()[at : at + step], order.shape[1]), "dst": r["id"].to_numpy()[order].ravel(), "dist": np.take_along_axis(d, order, 1).ravel()}))
+        out = pd.concat(out)
         return out[np.isfinite(out["dist"])]
 
-    best = _in_blocks(pts.select(*names), pts.select(*names), run, "src long, dst long, dist double")
+    best = _in_blocks(pts.select(*names), pts.select(*names), run, "src long, dst long, dist double", True)
     near = best.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("_r") <= k)
     votes = near.join(pts.select(F.col("id").alias("dst"), F.col(label).alias("said")), "dst").groupBy("src", "said").agg(F.count("*").alias("n"))
     return votes.groupBy(F.col("src").alias("id")).agg(F.max_by("said", F.struct("n", -F.col("said"))).alias("predicted"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranks import value_ranks
+from ..functions.tables import bounded, settle
+
 
 def is_finite(features: str) -> Column:
     """Whether no value is missing, NaN or infinite."""
@@ -30,16 +35,19 @@ def coordinates(df: DataFrame, features: str) -> DataFrame:
     return df.select("id", F.posexplode(features).alias("pos", "x"))
 
 
-def per_feature(df: DataFrame, features: str, **aggs: Column) -> DataFrame:
-    """One row with an array for each aggregate over (pos, x), in order of pos; a row for each feature at most."""
-    each = coordinates(df, features).groupBy("pos").agg(*[c.alias(n) for n, c in aggs.items()])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", *aggs)))
-    return each.agg(ordered.alias("s")).select(*[F.col("s")[n].alias(n) for n in aggs])
+def per_feature(df: DataFrame, features: str, *names: str) -> DataFrame:
+    """One row with an array by name: mean, sd and var (of the population), sd_samp, lo, hi; one pass, no row a value."""
+    s = df.select(Summarizer.metrics("count", "mean", "variance", "min", "max").summary(array_to_vector(F.col(features))).alias("s"))
+    of = lambda c: vector_to_array(F.col(f"s.{c}"))
+    share = (F.col("s.count") - 1) / F.col("s.count")
+    var = F.transform(of("variance"), lambda v: v * share)
+    made = {"mean": of("mean"), "var": var, "sd": F.transform(var, lambda v: F.sqrt(v)), "sd_samp": F.transform(of("variance"), lambda v: F.sqrt(v)), "lo": of("min"), "hi": of("max")}
+    return s.select(*[made[n].alias(n) for n in names])
 
 
 def z_score(df: DataFrame, features: str, floor: float = 1e-8, zero_as_one: bool = False) -> DataFrame:
     """Features less their mean, by their population deviation: floored, or with 0 taken for 1."""
-    stats = per_feature(df, features, mean=F.avg("x"), sd=F.stddev_pop("x"))
+    stats = per_feature(df, features, "mean", "sd")
     scale = (lambda s: F.when(s == 0, F.lit(1.0)).otherwise(s)) if zero_as_one else (lambda s: F.greatest(s, F.lit(floor)))
     value = F.zip_with(F.zip_with(features, "mean", lambda x, m: x - m), F.transform("sd", scale), lambda d, s: d / s)
     return df.join(F.broadcast(stats)).withColumn(features, value).drop("mean", "sd")
@@ -47,7 +55,7 @@ def z_score(df: DataFrame, features: str, floor: float = 1e-8, zero_as_one: bool
 
 def min_max(df: DataFrame, features: str) -> DataFrame:
     """Features scaled to [0, 1]; a constant one becomes 0."""
-    stats = per_feature(df, features, lo=F.min("x"), hi=F.max("x"))
+    stats = per_feature(df, features, "lo", "hi")
     width = F.zip_with("hi", "lo", lambda h, low: F.when(h > low, h - low).otherwise(F.lit(1.0)))
     value = F.zip_with(F.zip_with(features, "lo", lambda x, low: x - low), width, lambda d, w: d / w)
     return df.join(F.broadcast(stats)).withColumn(features, value).drop("lo", "hi")
@@ -61,7 +69,7 @@ def global_min_max(df: DataFrame, features: str) -> DataFrame:
 
 def centre_by_max(df: DataFrame, features: str) -> DataFrame:
     """Features less their mean, by the one greatest absolute value left."""
-    stats = per_feature(df, features, mean=F.avg("x"))
+    stats = per_feature(df, features, "mean")
     centred = df.join(F.broadcast(stats)).withColumn(features, F.zip_with(features, "mean", lambda x, m: x - m)).drop("mean")
     most = centred.agg(F.max(F.array_max(F.transform(features, F.abs))).alias("most"))
     return centred.join(F.broadcast(most)).withColumn(features, F.transform(features, lambda x: x / F.col("most"))).drop("most")
@@ -80,7 +88,7 @@ def sanitise(df: DataFrame, features: str) -> DataFrame:
         return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).when(x == float("inf"), F.lit(big)).when(x == float("-inf"), F.lit(-big)).otherwise(x)
 
     cleaned = df.withColumn(features, F.transform(features, clean))
-    stats = per_feature(cleaned, features, mean=F.avg("x"))
+    stats = per_feature(cleaned, features, "mean")
     return cleaned.join(F.broadcast(stats)).withColumn(features, F.zip_with(features, "mean", lambda x, m: x - m)).drop("mean")
 
 
@@ -109,8 +117,9 @@ def drop_rare(df: DataFrame, label: str, least: int) -> DataFrame:
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
     """``df`` with code: the place of the label among all labels in order, from 0."""
-    codes = df.select(label).distinct().withColumn("code", F.row_number().over(Window.orderBy(label)) - 1)
-    return df.join(F.broadcast(codes), label)
+    names = settle(df.where(F.col(label).isNotNull()).select(label).distinct(), "labels")
+    codes = value_ranks(names, label).select(label, F.col("before").cast("int").alias("code"))
+    return df.join(bounded(codes, "codes"), label)
 
 
 def pad_even(df: DataFrame, features: str) -> DataFrame:
@@ -147,14 +156,14 @@ def zip_rows(left: DataFrame, right: DataFrame, pos: str = "pos") -> DataFrame:
 
 def standardise(df: DataFrame, features: str, mode: str = "axis", floor: float = 1e-6) -> DataFrame:
     """Centred features by their own deviation (``axis``), that with a floor (``floored``), or one scale (``global``)."""
-    stats = per_feature(df, features, mean=F.avg("x"), sd=F.stddev_samp("x"), ms=F.var_pop("x"))
+    stats = per_feature(df, features, "mean", "sd_samp", "var")
     centred = df.join(F.broadcast(stats)).withColumn(features, F.zip_with(features, "mean", lambda x, m: x - m))
     if mode == "global":
-        rms = F.sqrt(F.greatest(F.aggregate("ms", F.lit(0.0), lambda s, v: s + v) / F.size("ms"), F.lit(floor * floor)))
+        rms = F.sqrt(F.greatest(F.aggregate("var", F.lit(0.0), lambda s, v: s + v) / F.size("var"), F.lit(floor * floor)))
         value = F.transform(features, lambda x: x / rms)
     elif mode in ("axis", "floored"):
         scale = (lambda s: F.greatest(s, F.lit(floor))) if mode == "floored" else (lambda s: s + F.lit(1e-8))
-        value = F.zip_with(features, F.transform("sd", scale), lambda d, s: d / s)
+        value = F.zip_with(features, F.transform("sd_samp", scale), lambda d, s: d / s)
     else:
         raise ValueError(f"unknown mode {mode}")
-    return centred.withColumn(features, value).drop("mean", "sd", "ms")
+    return centred.withColumn(features, value).drop("mean", "sd_samp", "var")

@@ -68,5 +68,5 @@ def with_position(df: DataFrame, id_col: str) -> DataFrame:
     """(pos, id): places from 0 in order of id, by ranges and no global window."""
     from ..functions.ranks import value_ranks
 
-    ranks = value_ranks(df.select(F.col(id_col).cast("double").alias("_v")), "_v")
-    return ranks.select(F.col("before").cast("long").alias("pos"), F.col("_v").cast("long").alias("id"))
+    ranks = value_ranks(df.select(F.col(id_col).alias("id")), "id")
+    return ranks.select(F.col("before").cast("long").alias("pos"), "id")

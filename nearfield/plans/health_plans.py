@@ -119,7 +119,7 @@ def fate_recovery(spark, sf_dir):
 def fate_argmax(spark, sf_dir):
     """Each user's most frequent event type; under 0.3, none."""
     each = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    top = each.groupBy("user_id").agg(F.sum("n").alias("all"), F.max_by(F.struct("event_type", "n"), F.struct("n", -F.ascii("event_type"))).alias("m"))
+    top = each.groupBy("user_id").agg(F.sum("n").alias("all"), F.min_by(F.struct("event_type", "n"), F.struct(-F.col("n"), "event_type")).alias("m"))
     p = F.col("m.n") / F.col("all")
     return top.select("user_id", F.when(p < 0.3, "uncommitted").otherwise(F.col("m.event_type")).alias("fate"), p.alias("p"))
 

@@ -118,7 +118,7 @@ def msdp_auc(spark, sf_dir):
     pts = points(spark, sf_dir)
     n = pts.count()
     k = min(200, n - 1)
-    return fd.multi_scale_density(nb.knn(pts, k, "hd").cache(), nb.knn(pts, k, "ld").cache(), n)
+    return fd.multi_scale_density(nb.knn(pts, k, "hd"), nb.knn(pts, k, "ld"), n)
 
 
 @query("frdc", f"WITH {P}, {HD}, {LD}, m AS (SELECT a.n AS a, b.n AS b FROM (SELECT src, count(*) AS n FROM hd WHERE dist <= (SELECT quantile_cont(dist, 0.5) FROM hd WHERE rank = 49) GROUP BY src) a JOIN (SELECT src, count(*) AS n FROM ld WHERE dist <= (SELECT quantile_cont(dist, 0.5) FROM ld WHERE rank = 49) GROUP BY src) b ON a.src = b.src) SELECT round(corr(ra, rb), 6) + 0.0 AS frdc FROM (SELECT {_avg_rank('a')} AS ra, {_avg_rank('b')} AS rb FROM m)")

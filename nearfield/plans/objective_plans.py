@@ -110,7 +110,7 @@ def _unit(*parts: str) -> str:
     return f"('0x' || substr(md5({' || '.join(parts)} || ':42'), 1, 7))::BIGINT"
 
 
-_KNN5 = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS hd FROM embeddings), kn AS (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.hd, b.hd), b.id) - 1 AS rank FROM p a, p b)"
+_KNN5 = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS hd FROM embeddings), kn AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.hd, b.hd), b.id) - 1 AS rank FROM p a, p b QUALIFY rank <= 5)"
 
 
 @query("neighbor_mixup", f"WITH {_KNN5}, m AS (SELECT p.id, dst AS node, p.hd, {_unit(chr(39) + 'alpha:' + chr(39), 'p.id::VARCHAR')} / 268435456.0::DOUBLE AS alpha FROM p JOIN kn ON kn.src = p.id AND kn.rank = {_unit('p.id::VARCHAR', chr(39) + ':0' + chr(39))} % 5 + 1) SELECT m.id, m.node, round(m.hd[1] * alpha + q.hd[1] * (1 - alpha), 6) + 0.0 AS a0, round(m.hd[64] * alpha + q.hd[64] * (1 - alpha), 6) + 0.0 AS a63 FROM m JOIN p q ON q.id = m.node")
@@ -148,9 +148,9 @@ def _graph(spark, sf_dir: str, column: str) -> tuple[DataFrame, DataFrame]:
 
 @query("demap")
 def demap(spark, sf_dir):
-    """Graph distances in the data against distances in the picture, over 100 seeded landmarks."""
+    """Graph distances in the data against distances in the picture, over 1,000 seeded landmarks."""
     pts, edges = _graph(spark, sf_dir, "hd")
-    return graph.geodesic_fidelity(edges, sm.subsample(pts.select(F.col("id").alias("node")), "node", 100, 0), xy(spark, sf_dir))
+    return graph.geodesic_fidelity(edges, sm.subsample(pts.select(F.col("id").alias("node")), "node", 1000, 0), xy(spark, sf_dir))
 
 
 @query("pseudotime")
@@ -167,7 +167,7 @@ def pseudotime_corr(spark, sf_dir):
 
     pts, edges = _graph(spark, sf_dir, "ld")
     times = graph.distance_from_roots(edges, pts.where("label = 0").select(F.col("id").alias("node")))
-    both = pts.select("id", F.col("label").cast("double").alias("a")).join(times, F.col("id") == F.col("node")).select("a", F.round("dist", 12).alias("b")).cache()
+    both = pts.select("id", F.col("label").cast("double").alias("a")).join(times, F.col("id") == F.col("node")).select("a", F.round("dist", 12).alias("b"))
     reached = both.agg((F.count("*") / F.lit(float(pts.count()))).alias("reached"))
     return spearman(both, "a", "b", "pseudotime_corr", float("nan")).join(reached)
 
@@ -193,13 +193,13 @@ def expected_log_radius(spark, sf_dir):
     return graph.expected_log_radius(graph.perplexity_affinity(nb.knn(pts, 30, "hd"), 10.0))
 
 
-@query("time_continuity", "WITH p AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:2] AS l, label::DOUBLE AS t FROM embeddings), kn AS (SELECT a.id AS src, b.id AS dst, abs(a.t - b.t) AS dt, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.l, b.l), b.id) - 1 AS rank FROM p a, p b), pos AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, t FROM p), dr AS (SELECT t AS n, ('0x' || substr(md5(t::VARCHAR || ':0:42'), 1, 7))::BIGINT % (SELECT count(*) FROM p) AS p0, ('0x' || substr(md5(t::VARCHAR || ':1:42'), 1, 7))::BIGINT % (SELECT count(*) FROM p) AS p1 FROM (SELECT range AS t FROM range(20000))) SELECT round(1 - (SELECT avg(dt) FROM kn WHERE rank BETWEEN 1 AND 15) / (SELECT avg(abs(a.t - b.t)) FROM dr JOIN pos a ON a.pos = p0 JOIN pos b ON b.pos = p1 WHERE p0 <> p1), 6) + 0.0 AS time_continuity")
+@query("time_continuity", "WITH p AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:2] AS l, label::DOUBLE AS t FROM embeddings), kn AS (SELECT a.id AS src, b.id AS dst, abs(a.t - b.t) AS dt, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.l, b.l), b.id) - 1 AS rank FROM p a, p b), pos AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, t FROM p), dr AS (SELECT t AS n, ('0x' || substr(md5(t::VARCHAR || ':0:42'), 1, 7))::BIGINT % (SELECT count(*) FROM p) AS p0, ('0x' || substr(md5(t::VARCHAR || ':1:42'), 1, 7))::BIGINT % (SELECT count(*) FROM p) AS p1 FROM (SELECT range AS t FROM range(200000))) SELECT round(1 - (SELECT avg(dt) FROM kn WHERE rank BETWEEN 1 AND 15) / (SELECT avg(abs(a.t - b.t)) FROM dr JOIN pos a ON a.pos = p0 JOIN pos b ON b.pos = p1 WHERE p0 <> p1), 6) + 0.0 AS time_continuity")
 def time_continuity(spark, sf_dir):
-    """How much less labels differ along neighbour edges than between 20,000 seeded pairs."""
+    """How much less labels differ along neighbour edges than between 200,000 seeded pairs."""
     pts = points(spark, sf_dir)
     t = lambda key, name: pts.select(F.col("id").alias(key), F.col("label").cast("double").alias(name))
     near = nb.knn(pts, 15, "ld").join(t("src", "a"), "src").join(t("dst", "b"), "dst").agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("near"))
-    drawn = sm.random_tuples(spark, sm.with_position(pts, "id"), 20000, 2)
+    drawn = sm.random_tuples(spark, sm.with_position(pts, "id"), 200000, 2)
     far = drawn.join(t("i0", "a"), "i0").join(t("i1", "b"), "i1").agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("far"))
     return near.join(far).select((1 - F.col("near") / F.col("far")).alias("time_continuity"))
 
@@ -256,7 +256,7 @@ def pca_embedding(spark, sf_dir):
     from ..operators.prep import per_feature
 
     pts = points(spark, sf_dir).select("id", "hd")
-    mean = per_feature(pts, "hd", mean=F.avg("x"))
+    mean = per_feature(pts, "hd", "mean")
     vec = pts.join(F.broadcast(mean)).select("id", array_to_vector(F.zip_with("hd", "mean", lambda x, m: x - m)).alias("v"))
     out = PCA(k=2, inputCol="v", outputCol="o").fit(vec).transform(vec).select("id", vector_to_array("o").alias("o"))
     return out.select("id", F.get("o", F.lit(0)).alias("x"), F.get("o", F.lit(1)).alias("y"))
