@@ -20,6 +20,21 @@ def write_embedding(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("layer").csv(path, header=True)
 
 
+def write_epoch(df: DataFrame, path: str, epoch: int, rows: int) -> None:
+    """Appends the stacked rows of one epoch as CSV; a number of points that is not ``rows`` is an error before any is written."""
+    n = df.select("cell_id").distinct().count()
+    if n != rows:
+        raise ValueError(f"{n} points in the picture, {rows} in the data")
+    df.withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch", "layer").csv(path, header=True)
+
+
+def write_consolidated(df: DataFrame, layers: str, labels: str, path: str, method: str, dataset: str) -> None:
+    """One table of cell_id, label, method, dataset, num_layers and a column for each layer, as Parquet."""
+    n = df.select(F.max(F.size(layers))).first()[0] or 0
+    head = [F.col("id").cast("string").alias("cell_id"), F.col(labels).alias("label"), F.lit(method).alias("method"), F.lit(dataset).alias("dataset"), F.lit(n).alias("num_layers")]
+    df.select(*head, *[F.get(layers, F.lit(k)).alias(f"layer_{k}") for k in range(n)]).write.mode("overwrite").parquet(path)
+
+
 def read_embedding(spark, path: str) -> DataFrame:
     """Stacked rows of all layers; ids stay text."""
     return spark.read.schema("cell_id string, method string, x double, y double, layer int").csv(path, header=True).select("cell_id", "method", "layer", "x", "y")
