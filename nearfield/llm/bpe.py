@@ -38,7 +38,7 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 #: What Python's split() takes for white space and the pattern does not.
 _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Words, parts and their ids that a worker remembers; of words, as many from before the last clearing too.
-REMEMBER = 250_000
+REMEMBER = 150_000
 #: Beyond so many symbols a part's merges are found with a heap.
 LONG = 64
 

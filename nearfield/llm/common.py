@@ -69,8 +69,8 @@ def ascii_lower(col: Column | str) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def small_batches(spark: SparkSession, size: int = 1 << 23) -> None:
-    """Bounds the bytes of an Arrow batch of long texts to 8 MB, unless the session has a bound of its own."""
+def small_batches(spark: SparkSession, size: int = 1 << 21) -> None:
+    """Bounds the bytes of an Arrow batch of long texts to 2 MB, unless the session has a bound of its own."""
     key, default = "spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 26)
     if spark.conf.get(key, default).rstrip("b") == default:
         spark.conf.set(key, str(size))
