@@ -33,7 +33,7 @@ def svc_accuracy(pts: DataFrame, column: str, label: str, folds: int = 5, seed:
     for fold in range(k):
         train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
         scaler = StandardScaler(withMean=True, inputCol="raw", outputCol="features").fit(train)
-        model = OneVsRest(classifier=LinearSVC(maxIter=steps), parallelism=4).fit(scaler.transform(train))
+        model = OneVsRest(classifier=LinearSVC(maxIter=steps), parallelism=8).fit(scaler.transform(train))
         right = model.transform(scaler.transform(test)).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"))
         parts = right if parts is None else parts.unionByName(right)
     return parts.agg(F.avg("a").alias("svc_accuracy"))
