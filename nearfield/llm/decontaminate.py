@@ -89,8 +89,12 @@ def _short_runs(words: Column, lengths: list[int], context: bool) -> Column:
     """(fp, pos, ctx) of each run of as many words as one of ``lengths``, or with no ``context`` the distinct fp alone."""
     none = "array<struct<fp:bigint,pos:int,ctx:array<string>>>" if context else "array<bigint>"
     out = F.expr(f"cast(array() as {none})")
+
+    def placed(n: int) -> Column:
+        return F.transform(_grams(words, n), lambda g, i: F.struct(g.alias("fp"), i.alias("pos"), F.slice(words, i + 1, n).alias("ctx")))
+
     for n in lengths:
-        runs = F.transform(_grams(words, n), lambda g, i, n=n: F.struct(g.alias("fp"), i.alias("pos"), F.slice(words, i + 1, n).alias("ctx")) if context else g)
+        runs = placed(n) if context else _grams(words, n)
         out = F.concat(out, F.when(F.size(words) >= n, runs).otherwise(F.expr(f"cast(array() as {none})")))
     return out if context else F.array_distinct(out)
 
