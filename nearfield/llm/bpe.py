@@ -18,9 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import sys
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -87,9 +85,10 @@ class Codec:
         self.v = vocabulary
         self.inner = inner_pairs(vocabulary)
         self.tokens = {k: t for t, k in vocabulary.ids.items()} | {k: t for t, k in vocabulary.special.items()}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
-        self.parts: dict[tuple[str, bool], list[int]] = {}
+        self.packed = {t: k.to_bytes(4, "little") for t, k in (vocabulary.ids | vocabulary.special).items()}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.find = regex.compile(vocabulary.pattern.replace(r"\s", _SPACE)).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self.symbols = byte_symbols()
@@ -129,24 +128,25 @@ class Codec:
                     heapq.heappush(heap, (r, a, part[a], part[b]))
         return [p for k, p in enumerate(part) if not gone[k]]
 
-    def part_ids(self, part: str, last: bool) -> list[int]:
-        """The ids of a part between two cuts; the last of a word ends in the suffix."""
-        got = self.parts.get((part, last))
+    def part_ids(self, part: str, last: bool) -> bytes:
+        """The packed ids of a part between two cuts; the last of a run ends in the suffix."""
+        known = self.parts[last]
+        got = known.get(part)
         if got is None:
             symbols = list(part)
             if last:
                 symbols[-1] += self.v.suffix
             merged = self.merged(symbols) if len(symbols) <= LONG else self.merged_long(symbols)
-            got = [self.v.ids[s] for s in merged]
+            got = b"".join([self.packed[s] for s in merged])
             if len(part) <= LONG:
-                if len(self.parts) >= REMEMBER:
-                    self.parts.clear()
-                self.parts[part, last] = got
+                if len(known) >= REMEMBER:
+                    known.clear()
+                known[part] = got
         return got
 
-    def word_ids(self, word: str) -> list[int]:
-        """The ids of a stretch without white space, which may hold several runs."""
-        out: list[int] = []
+    def word_ids(self, word: str) -> bytes:
+        """The packed ids of a stretch without white space, which may hold several runs."""
+        out: list[bytes] = []
         plain = word.isascii() and word.isprintable()  # then bytes are their own symbols
         for run in [word] if plain and word.isalpha() else self.find(word):
             line = run if plain else "".join([self.symbols[b] for b in run.encode("utf-8", "surrogatepass")])
@@ -154,20 +154,16 @@ class Codec:
             if not self.inner.issuperset(zip(line, line[1:])):
                 for k, pair in enumerate(zip(line, line[1:]), 1):
                     if pair not in self.inner:
-                        out += self.part_ids(line[at:k], False)
+                        out.append(self.part_ids(line[at:k], False))
                         at = k
-            out += self.part_ids(line[at:] if at else line, True)
-        return out
+            out.append(self.part_ids(line[at:] if at else line, True))
+        return b"".join(out)
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        """Ids and decoded text of a word, from what was remembered before the last clearing or worked out now."""
+    def _word(self, word: str) -> bytes:
+        """Packed ids of a word, from what was remembered before the last clearing or worked out now."""
         got = self.older.get(word)
         if got is None:
-            ids = self.word_ids(word)
-            packed = array("I", ids)
-            if sys.byteorder == "big":
-                packed.byteswap()
-            got = packed.tobytes(), " ".join([self.tokens[k] for k in ids])
+            got = self.word_ids(word)
         if len(word) <= LONG:
             if len(self.words) >= REMEMBER:
                 self.older = dict(self.words)
@@ -179,22 +175,17 @@ class Codec:
         """The ids as little-endian unsigned 32-bit integers, and their decoded text."""
         pieces = self.specials.split(text) if text and any(t in text for t in self.v.special) else [text or ""]
         ids: list[bytes] = []
-        said: list[str] = []
         known = self.words
         for k, piece in enumerate(pieces):
             if k % 2:
-                ids.append(np.uint32(self.v.special[piece]).tobytes())
-                said.append(piece)
+                ids.append(self.packed[piece])
                 continue
             # one case mapping for each character: Python alone makes a last capital sigma a final one
             line = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
             words = line.split() if not _NOT_SPACE.search(line) else regex.split(f"[{_SPACE}]+", line)
-            for w in words:
-                got = known.get(w) or self._word(w)
-                if got[0]:
-                    ids.append(got[0])
-                    said.append(got[1])
-        return b"".join(ids), " ".join(said)
+            ids += [known.get(w) or self._word(w) for w in words]
+        packed = b"".join(ids)
+        return packed, self.decode(np.frombuffer(packed, "<u4").tolist())
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids with a space between them: the file has no decoder of its own."""
