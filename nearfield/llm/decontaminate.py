@@ -189,3 +189,31 @@ def op7_winnowing(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     out = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _sql_words(table_name: str, key: str) -> str:
+    return f"""select {key}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from {table_name}"""
+
+
+#: The contract by every run of words of every document, in DuckDB: no fingerprints, no extension.
+ORACLE = f"""
+with d as ({_sql_words("documents", "row_number() over () as k, doc_id")}),
+b as ({_sql_words("benchmark", "item_id")}),
+item_runs as (
+    select distinct item_id, least(len(w), {SPAN}) as n, array_to_string(w[i:i + least(len(w), {SPAN}) - 1], ' ') as run
+    from b, lateral (select unnest(range(1, len(w) - least(len(w), {SPAN}) + 2)) as i) where len(w) > 0
+),
+doc_runs as (
+    select k, i, n, array_to_string(w[i:i + n - 1], ' ') as run
+    from (select k, w, n from d, (select distinct n from item_runs) where len(w) >= n), lateral (select unnest(range(1, len(w) - n + 2)) as i)
+),
+hit as (select distinct k, i, n, item_id from doc_runs join item_runs using (n, run)),
+words_hit as (select k, count(distinct i + j) as n_hit from hit, lateral (select unnest(range(n)) as j) group by k),
+items_hit as (
+    select k, count(*) as n_items, string_agg(item, ',' order by item) as items
+    from (select distinct k, cast(item_id as varchar) as item from hit) group by k
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join words_hit using (k) left join items_hit using (k)
+"""

@@ -182,3 +182,44 @@ def op4_lm(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, both losses and score of every document."""
     flagged = with_target(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return score(flagged, models(counts(flagged)))
+
+
+#: The same losses in DuckDB, from words and pairs themselves instead of keys, and without chunks.
+ORACLE = f"""
+with good as (select distinct doc_id from labels where quality = 1 and doc_id is not null),
+d as (
+    select row_number() over () as k, doc_id, good.doc_id is not null as is_good,
+        regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') as w
+    from documents left join good using (doc_id)
+),
+tokens as (select k, is_good, len(w) as n, j, w[j] as word, case when j > 1 then w[j - 1] end as prev from d, lateral (select unnest(range(1, len(w) + 1)) as j)),
+words as (select word, count(*) as in_all, count(*) filter (is_good) as in_good from tokens group by word),
+pairs as (select prev, word, count(*) as in_all, count(*) filter (is_good) as in_good from tokens where prev is not null group by prev, word),
+own_words as (select k, word, count(*) as own from tokens group by k, word),
+own_pairs as (select k, prev, word, count(*) as own from tokens where prev is not null group by k, prev, word),
+totals as (select count(*) as n_all, count(*) filter (is_good) as n_good, count(distinct word) as vocabulary from tokens),
+models as (
+    select false as matched, 1.0::double as scale, case when n_good > 0 then n_good else n_all end::double as total, n_good > 0 as of_good, vocabulary from totals
+    union all
+    select true, case when n_good > 0 then n_good / n_all else 1.0 end::double, case when n_good > 0 then n_good / n_all * n_all else n_all end::double, false, vocabulary from totals
+),
+counted as (
+    select t.k, t.j, t.n, m.matched, m.total, m.vocabulary, t.prev is not null as paired,
+        case when m.matched then m.scale when t.is_good then 1.0 else 0.0 end::double as share,
+        greatest(case when m.of_good then w.in_good else w.in_all end * m.scale - ow.own * share, 0.0) as seen,
+        greatest(case when m.of_good then v.in_good else v.in_all end * m.scale - ov.own * share, 0.0) as seen_prev,
+        greatest(case when m.of_good then p.in_good else p.in_all end * m.scale - op.own * share, 0.0) as both_seen
+    from tokens t cross join models m
+    join words w on w.word = t.word join own_words ow on ow.k = t.k and ow.word = t.word
+    left join words v on v.word = t.prev left join own_words ov on ov.k = t.k and ov.word = t.prev
+    left join pairs p on p.prev = t.prev and p.word = t.word left join own_pairs op on op.k = t.k and op.prev = t.prev and op.word = t.word
+),
+alone as (select *, (seen + {PRIOR}) / (greatest(total - n * share, 0.0) + {PRIOR} * vocabulary) as p, greatest(seen_prev, both_seen) as before from counted),
+losses as (
+    select k, matched, sum(-ln(case when paired and before > 0 then {PAIR_WEIGHT} * both_seen / before + {1 - PAIR_WEIGHT} * p else p end)) / max(n) as loss
+    from alone group by k, matched
+)
+select d.doc_id, len(d.w) as n_words, coalesce(t.loss, 0.0) as target_loss, coalesce(b.loss, 0.0) as background_loss,
+    coalesce(t.loss - b.loss, 0.0) as score
+from d left join losses t on t.k = d.k and not t.matched left join losses b on b.k = d.k and b.matched
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_slots": sharding.op10_slots,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_lm": lm_score.ORACLE, "op7_winnowing": decontaminate.ORACLE}
