@@ -33,6 +33,28 @@ from .common import documents, small_batches
 
 #: White space of the tokenizer's pattern; Python's own also counts four ASCII separators.
 _SPACE = r"\t-\r \x85\xa0  -     　"
+#: First and last code point of letters and digits that the tokenizer's pattern takes for other signs, as
+#: they are newer than its tables.
+NEWER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+#: Capital letters newer than Python's tables, first, last and the distance to the small letter.
+CAPITALS = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1),
+    (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
+]
+_NEWER_SET = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]"
+_NEWER = regex.compile(_NEWER_SET)
+_SMALL = {c: c + d for a, b, d in CAPITALS for c in range(a, b + 1)}
+_CAPITAL = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in CAPITALS) + "]")
 #: What Python's split() takes for white space and the pattern does not.
 _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Words, parts and their ids that a worker remembers; of words, as many from before the last clearing too.
@@ -78,6 +100,22 @@ def inner_pairs(vocabulary: Vocabulary) -> frozenset[tuple[str, str]]:
     return frozenset(found)
 
 
+def normal(text: str) -> str:
+    """The normal form that is split into words: NFC, and one case mapping for each character.
+
+    Python alone makes a last capital sigma a final one, and does not know the newest capitals.
+    """
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return (text.translate(_SMALL) if _CAPITAL.search(text) else text).replace("Σ", "σ").lower()
+
+
+def words_of(line: str) -> list[str]:
+    """The stretches of a normal form between white space."""
+    return line.split() if not _NOT_SPACE.search(line) else [w for w in regex.split(f"[{_SPACE}]+", line) if w]
+
+
 class Codec:
     """Encodes and decodes one text at a time; what it remembers is bounded."""
 
@@ -89,10 +127,18 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.parts: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-        self.find = regex.compile(vocabulary.pattern.replace(r"\s", _SPACE)).findall
+        pattern = vocabulary.pattern.replace(r"\s", _SPACE)
+        self.usual = regex.compile(pattern).findall
+        for c in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(c, f"[{c}--{_NEWER_SET}]")
+        self.newest = regex.compile(pattern, regex.V1).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self.symbols = byte_symbols()
 
+    def find(self, word: str) -> list[str]:
+        """The runs of a word: a contraction's end, letters, one digit, other signs."""
+        return self.usual(word) if word.isascii() or not _NEWER.search(word) else self.newest(word)
+
     def merged(self, part: list[str]) -> list[str]:
         """The merges of a short part: the pair of least rank first, the leftmost of equals."""
         get, none = self.v.ranks.get, len(self.v.ranks)
@@ -180,10 +226,7 @@ class Codec:
             if k % 2:
                 ids.append(self.packed[piece])
                 continue
-            # one case mapping for each character: Python alone makes a last capital sigma a final one
-            line = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-            words = line.split() if not _NOT_SPACE.search(line) else regex.split(f"[{_SPACE}]+", line)
-            ids += [known.get(w) or self._word(w) for w in words]
+            ids += [known.get(w) or self._word(w) for w in words_of(normal(piece))]
         packed = b"".join(ids)
         return packed, self.decode(np.frombuffer(packed, "<u4").tolist())
 
