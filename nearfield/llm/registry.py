@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, decontaminate, html_text, langid, lm_score, near_dedup, pii, quality, sharding, token_counts, url_filter
+from . import bpe, conversations, decontaminate, html_text, langid, lm_score, near_dedup, periodic_runs, pii, quality, sharding, token_counts, url_filter
 
 QUERIES = {
     "op1_urls": url_filter.op1_urls,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_slots": sharding.op10_slots,
     "op11_repair": conversations.op11_repair,
+    "op12_runs": periodic_runs.op12_runs,
     "op13_prefix_counts": token_counts.op13_prefix_counts,
 }
 ORACLES: dict[str, str] = {"op4_lm": lm_score.ORACLE, "op7_winnowing": decontaminate.ORACLE}

@@ -24,7 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,20 +220,20 @@ def count_documents(docs: DataFrame, path: str, budget: int = LIMIT, keep_prefix
     vocabulary = spark.sparkContext.broadcast(loaded)
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + (", prefix_tokens array<int>" if keep_prefixes else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(key, vocabulary.value)
         for b in batches:
-            n = [counter.count(t) for t in b["text"]]
-            out = pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": [c for c, _ in n]})
-            out["over_limit"] = out["n_tokens"] > budget
-            out["fit_chars"] = [counter.fitting(t, budget) if c > budget else length for t, (c, length) in zip(b["text"], n)]
+            texts = b.column("text").to_pylist()
+            n = [counter.count(t) for t in texts]
+            fit = [counter.fitting(t, budget) if c > budget else length for t, (c, length) in zip(texts, n)]
+            out = {"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes"), "n_tokens": pa.array([c for c, _ in n], pa.int64()), "over_limit": pa.array([c > budget for c, _ in n], pa.bool_()), "fit_chars": pa.array(fit, pa.int64())}
             if keep_prefixes:
-                out["prefix_tokens"] = [np.array(counter.prefixes(t), np.int32) for t in b["text"]]
-            yield out
+                out["prefix_tokens"] = pa.array([counter.prefixes(t) for t in texts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(out)
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op13_prefix_counts(spark, sf_dir: str) -> DataFrame:
