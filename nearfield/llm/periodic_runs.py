@@ -35,7 +35,7 @@ from .common import documents, small_batches
 #: A run has at least so many words, and so many times its period.
 LEAST, TIMES = 6, 4
 #: Words whose grammar a worker holds at once (a longer text alone), and questions that are asked at once.
-WORDS, QUESTIONS = 400_000, 1 << 18
+WORDS, QUESTIONS = 60_000, 1 << 16
 
 
 class Level(NamedTuple):
@@ -57,13 +57,13 @@ def _next(level: np.ndarray, words: np.ndarray, first: np.ndarray, fresh: np.nda
     symbols = level[starts]
     new = np.flatnonzero(fresh)
     symbols[new] = total + np.unique(fresh[new], return_inverse=True)[1]
-    return symbols, np.add.reduceat(words, starts)
+    return symbols, np.add.reduceat(words, starts, dtype=np.int32)
 
 
 def grammar(symbols: np.ndarray, n_between: int) -> list[Level]:
     """The levels over a sequence whose symbols under ``n_between`` occur once each and part the texts."""
-    symbols, words = symbols.astype(np.int64), np.ones(len(symbols), np.int64)
-    none = np.empty(0, np.int64)
+    symbols, words = symbols.astype(np.int32), np.ones(len(symbols), np.int32)
+    none = np.empty(0, np.int32)
     levels: list[Level] = []
     total = int(symbols.max()) + 1
     while True:
@@ -72,9 +72,9 @@ def grammar(symbols: np.ndarray, n_between: int) -> list[Level]:
         if not first.all():
             starts = np.flatnonzero(first)
             size = np.diff(np.r_[starts, len(symbols)])
-            parent = np.cumsum(first) - 1
-            levels.append(Level(symbols, words, first, parent, (starts + size)[parent] - np.arange(len(symbols))))
-            fresh = np.where(size > 1, symbols[starts] * (len(symbols) + 1) + size, 0)
+            parent = np.cumsum(first, dtype=np.int32) - 1
+            levels.append(Level(symbols, words, first, parent, ((starts + size)[parent] - np.arange(len(symbols))).astype(np.int32)))
+            fresh = np.where(size > 1, symbols[starts].astype(np.int64) * (len(symbols) + 1) + size, 0)
             symbols, words = _next(symbols, words, first, fresh, total)
             total = max(total, int(symbols.max()) + 1)
         # pairs: a symbol's half is a bit of a product that mixes its number with the level's
@@ -88,14 +88,14 @@ def grammar(symbols: np.ndarray, n_between: int) -> list[Level]:
         pair = ones if ones.sum() >= others.sum() else others
         if pair.any():
             first = np.r_[True, ~pair]
-            levels.append(Level(symbols, words, first, np.cumsum(first) - 1, none))
+            levels.append(Level(symbols, words, first, np.cumsum(first, dtype=np.int32) - 1, none))
             starts = np.flatnonzero(first)
             after = np.r_[symbols, 0][starts + 1]
-            fresh = np.where(np.r_[pair, False][starts], symbols[starts] * total + after + 1, 0)
+            fresh = np.where(np.r_[pair, False][starts], symbols[starts].astype(np.int64) * total + after + 1, 0)
             symbols, words = _next(symbols, words, first, fresh, total)
             total = max(total, int(symbols.max()) + 1)
         else:  # an unlucky draw: the same sequence again, halved anew
-            levels.append(Level(symbols, words, np.ones(len(symbols), bool), np.arange(len(symbols)), none))
+            levels.append(Level(symbols, words, np.ones(len(symbols), bool), np.arange(len(symbols), dtype=np.int32), none))
 
 
 def backwards(levels: list[Level]) -> list[Level]:
@@ -107,9 +107,9 @@ def backwards(levels: list[Level]) -> list[Level]:
             out.append(Level(symbols, words, level.first, level.parent, level.left))
             continue
         first = np.r_[level.first[1:], True][::-1]
-        parent = len(levels[k + 1].symbols) - 1 - level.parent[::-1]
+        parent = np.int32(len(levels[k + 1].symbols) - 1) - level.parent[::-1]
         starts = np.flatnonzero(first)
-        left = np.r_[starts[1:], len(first)][parent] - np.arange(len(first)) if len(level.left) else level.left
+        left = (np.r_[starts[1:], len(first)][parent] - np.arange(len(first))).astype(np.int32) if len(level.left) else level.left
         out.append(Level(symbols, words, first, parent, left))
     return out
 
@@ -224,9 +224,9 @@ def runs_of(texts: list[list[bytes]]) -> list[list[tuple[int, int, int]]]:
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     number: dict[bytes, int] = {}
     between = len(texts) + 1
-    parts = [np.array([0], np.int64)]
+    parts = [np.array([0], np.int32)]
     for k, words in enumerate(texts, 1):
-        parts += [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) + between, np.array([k], np.int64)]
+        parts += [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)) + np.int32(between), np.array([k], np.int32)]
     first = np.cumsum([1] + [len(w) + 1 for w in texts])
     start, end, period = stretches(np.concatenate(parts), between, max(map(len, texts), default=0))
     which = np.searchsorted(first, start, side="right") - 1
