@@ -9,7 +9,13 @@ the gender of the title, of its script, its number of words and its case.
 The same entity, in whatever format, gets the same replacement in every document: ``+1 (555) 123-4567`` is
 ``(555) 123-4567``. Each word of a name is an entity of its own, so ``Mr John Smith`` and ``Mr Smith`` keep one family name;
 where a document names someone with a title and two words or more, the same words without the title are replaced too.
-Given names after titles of either gender (``Dr``, ``Prof``) are replaced by names of either gender.
+Given names after titles of either gender (``Dr``, ``Prof``) are replaced by names of the gender that another title of the
+same full name has in that text, else by names of either gender. Where one text names a full name under titles of both
+genders, each mention follows its own title, and the words without a title follow the first.
+
+Up to three capital words after a title are a name. A word after a possessive is none. Where a text has ``Mr Smith`` alone, and
+Smith is no given name known here, what follows in ``Mr Smith Said`` belongs to the name only if it, too, is a family name of
+that text, alone after a title or last in a longer name; else it stays.
 
 Replacements are made by HMAC-SHA512 of kind, entity and attempt. Texts are read twice, without a shuffle. First, distinct
 entities are gathered (with partial aggregation) and their replacements checked: no two entities may share one, and none may
@@ -17,13 +23,13 @@ be an entity of the corpus; the losers are hashed anew with a higher attempt unt
 the values to choose from grow with each attempt). Second, texts are cut at their entities and put together again. Only the
 few entities with an attempt over 0 must be looked up.
 
-Patterns are linear in the text: none repeats a group without a bound, and runs are only tried from their first sign, so no
-text, however long or odd, takes more than a bounded time for each sign, nor a deep stack. Known limits: national phone
+Patterns are linear in the text: none repeats a group without a bound, and runs are only tried from their first sign. What a
+text names is looked up by bisection, so a text takes n log n steps, however many names it has, and no deep stack. Known limits: national phone
 numbers without a country code are found in the forms ``(ddd) ddd-dddd`` and ``ddd-ddd-dddd`` only; names only after a title;
-internet addresses of version 6 only with all eight groups.
+the end of a given name unknown here that a text has both alone after a title and before a family name seen once stays; internet addresses of version 6 only with all eight groups.
 
 Defined cases: a null text stays null and has no entities; a number that is no valid card or account, or an address with an
-octet over 255, stays; repeated rows are changed alike; an empty table gives an empty result; other columns stay as they
+octet over 255, stays; a text may name anybody under any titles; repeated rows are changed alike; an empty table gives an empty result; other columns stay as they
 are, whatever their names; ties between entities for a replacement go to the lesser entity.
 """
 
@@ -70,6 +76,9 @@ _TITLE = "(?:" + "|".join(t.replace(".", r"\.") for t in sorted((t for ts in TIT
 _BLANK = r"[ \u00a0]"
 _HEAD = rf"{_TITLE}\.?(?:{_BLANK}(?:Dr|Prof)\.?){{0,2}}{_BLANK}"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+#: What may end a word of a name and is no part of it.
+_END = "(?:['’]s|['’-]+)$"
+_MORE = rf"{_BLANK}(?!{_TITLE}(?![\p{{L}}])){_NAME}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: One pattern for each kind, asked in this order. Lengths of e-mail addresses are those of the standard.
 PATTERNS = {
@@ -81,7 +90,7 @@ PATTERNS = {
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z-])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z-])",
     "secret": r"(?<![0-9A-Za-z])(?:(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})|AKIA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}]){_HEAD}{_NAME}(?:{_BLANK}{_NAME}){{0,2}}",
+    "name": rf"(?<![\p{{L}}]){_HEAD}{_NAME}(?:{_MORE}){{0,2}}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold for the pattern to be tried.
@@ -121,22 +130,94 @@ def canonical(kind: Column, m: Column) -> Column:
     return F.when(kind == "email", F.lower(m)).when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind == "ipv6", groups).otherwise(m)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def index(entries: Column) -> Column:
+    """Structs (k, v) in order of k, of equal keys the first, for ``find``."""
+    placed = F.sort_array(F.transform(entries, lambda x, i: F.struct(x["k"].alias("k"), i.alias("at"), x["v"].alias("v"))))
+    return _let(placed, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["k"] != x["k"])))
+
+
+def find(at: Column, key: Column) -> Column:
+    """The v of a key in an index, by bisection; null if it isn't there."""
+    span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def of(wanted: Column) -> Column:
+        def step(s: Column, _) -> Column:
+            middle = F.shiftright(s["lo"] + s["hi"], 1)
+            return F.when(s["lo"] >= s["hi"], s).when(F.get(at, middle)["k"] < wanted, span(middle + 1, s["hi"])).otherwise(span(s["lo"], middle))
+
+        steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(at) + 1.0)).cast("int") + 1)
+        place = F.aggregate(steps, span(F.lit(0), F.size(at)), step, lambda s: s["lo"])
+        return _let(F.get(at, place), lambda x: F.when(x["k"] == wanted, x["v"]))
+
+    return F.when(F.size(at) > 0, _let(key, of))
+
+
 def name_words(m: Column) -> Column:
-    """The words of a name without its title; a possessive end is no part of a word."""
-    return F.transform(F.split(F.regexp_replace(m, f"^{_HEAD}", ""), _BLANK), lambda w: F.regexp_replace(w, "['’]s$", ""))
+    """The words of a name without its title, as they are written."""
+    return F.split(F.regexp_replace(m, f"^{_HEAD}", ""), _BLANK)
 
 
-def units(kind: Column, m: Column) -> Column:
-    """The (kind, canon, m) that a mention consists of: itself, or the given and family names of a name."""
-    code = F.element_at(_literal_map({t: c for c, ts in TITLES.items() for t in ts}), F.regexp_extract(m, f"^({_TITLE})", 1))
-    family = F.when(code.endswith("L"), F.lit("XL")).otherwise(code)
+def bare(word: Column) -> Column:
+    """A word without a possessive end or a mark."""
+    return F.regexp_replace(word, _END, "")
 
-    def split(words: Column) -> Column:
-        last = F.size(words) - 1
-        return F.transform(words, lambda w, i: F.struct(F.when(i < last, F.lit("given")).otherwise(F.lit("family")).alias("kind"), F.concat(F.when(i < last, code).otherwise(family), F.lower(w)).alias("canon"), w.alias("m")))
 
-    one = F.array(F.struct(kind.alias("kind"), canonical(kind, m).alias("canon"), m.alias("m")))
-    return F.when(kind == "name", F.flatten(F.transform(F.array(name_words(m)), split))).otherwise(one)
+def with_found(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_found``, the entities of ``text`` in order: m, what follows it in its match (tail), kind, whether it is
+    one (ok), and its units.
+
+    Units are (kind, canon, m): the entity itself, or the given and family names of a name. Each step is a column that the
+    next ones name several times, so it is worked out once.
+    """
+    kept = docs.columns
+    entry = lambda w: F.struct(w.alias("k"), F.lit(1).alias("v"))
+    known = F.array(*[F.lit(w) for ws in GIVEN.values() for w in ws])
+    code_of = _literal_map({t: c for c, ts in TITLES.items() for t in ts})
+
+    # what is matched, with the words of names
+    out = docs.withColumn("_read", F.transform(mentions("text"), lambda m: _let(kind_of(m), lambda kind: F.struct(m.alias("m"), kind.alias("kind"), F.when(kind == "name", name_words(m)).alias("words")))))
+    # family names: alone after a title, or last in a longer name that doesn't begin with one
+    out = out.withColumn("_solo", index(F.transform(F.array_except(F.transform(F.filter("_read", lambda x: F.size(x["words"]) == 1), lambda x: bare(F.get(x["words"], F.lit(0)))), known), entry)))
+    out = out.withColumn("_first", F.transform("_read", lambda x: (F.size(x["words"]) > 1) & find(F.col("_solo"), F.get(x["words"], F.lit(0))).isNotNull()))
+    longer = F.filter(F.zip_with("_read", "_first", lambda x, first: F.when((F.size(x["words"]) > 1) & ~first, bare(F.element_at(x["words"], -1)))), lambda w: w.isNotNull())
+    out = out.withColumn("_family", index(F.concat(F.transform("_solo", lambda e: entry(e["k"])), F.transform(longer, entry))))
+
+    # the words that belong to each name
+    def cut(x: Column, first: Column) -> Column:
+        n = F.size(x["words"])
+        is_name = lambda k: find(F.col("_family"), bare(F.get(x["words"], F.lit(k)))).isNotNull()
+        told = F.when(~first, n).when(~is_name(1), 1).when((n > 2) & is_name(2), 3).otherwise(2)
+        owned = F.array_position(F.transform(x["words"], lambda w: w.rlike("['’]s$")), True).cast("int")
+        ends = F.when(x["kind"] == "name", F.least(told, F.when(owned > 0, owned).otherwise(n))).otherwise(0)
+        part = lambda k: F.when(k == 1, F.regexp_extract(x["m"], f"^{_HEAD}{_NAME}", 0)).when(k == 2, F.regexp_extract(x["m"], f"^{_HEAD}{_NAME}{_MORE}", 0)).otherwise(x["m"])
+        code = F.when(x["kind"] == "name", F.element_at(code_of, F.regexp_extract(x["m"], f"^({_TITLE})", 1)))
+        return _let(ends, lambda k: F.struct(part(k).alias("m"), x["m"].alias("whole"), x["kind"].alias("kind"), F.transform(F.slice(x["words"], 1, k), bare).alias("words"), code.alias("code")))
+
+    out = out.withColumn("_cut", F.zip_with("_read", "_first", cut))
+    full = lambda y: F.concat(F.substring(y["code"], 2, 1), F.lower(F.array_join(y["words"], " ")))
+    gendered = F.filter("_cut", lambda y: (F.size(y["words"]) > 1) & ~y["code"].startswith("N"))
+    out = out.withColumn("_genders", index(F.transform(gendered, lambda y: F.struct(full(y).alias("k"), y["code"].alias("v")))))
+
+    def judged(y: Column) -> Column:
+        unit = lambda kind, canon, m: F.struct(kind.alias("kind"), canon.alias("canon"), m.alias("m"))
+        last = F.element_at(y["words"], -1)
+
+        def names(code: Column) -> Column:
+            given = F.transform(F.slice(y["words"], 1, F.greatest(F.size(y["words"]) - 1, F.lit(0))), lambda w: unit(F.lit("given"), F.concat(code, F.lower(w)), w))
+            family = F.when(code.endswith("L"), F.lit("XL")).otherwise(code)
+            return F.concat(given, F.array(unit(F.lit("family"), F.concat(family, F.lower(last)), last)))
+
+        code = F.when(y["code"].startswith("N") & (F.size(y["words"]) > 1), F.coalesce(find(F.col("_genders"), full(y)), y["code"])).otherwise(y["code"])
+        units = F.when(y["kind"] == "name", _let(code, names)).otherwise(F.array(unit(y["kind"], canonical(y["kind"], y["m"]), y["m"])))
+        tail = F.when(F.length(y["m"]) == F.length(y["whole"]), F.lit("")).otherwise(F.substring(y["whole"], F.length(y["m"]) + 1, F.length(y["whole"])))
+        return F.struct(y["m"].alias("m"), tail.alias("tail"), y["kind"].alias("kind"), is_entity(y["kind"], y["m"]).alias("ok"), units.alias("units"))
+
+    return out.withColumn("_found", F.transform("_cut", judged)).select(*[F.col(f"`{c}`") for c in kept], "_found")
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -185,8 +266,10 @@ def _swap(text: Column, digest: Column, keep: Column | int = 0) -> Column:
     """Each ASCII letter and digit after the first ``keep`` signs becomes another of its kind."""
 
     def one(c: Column, i: Column) -> Column:
-        pick = lambda signs: F.substring(F.lit(signs), _nth(digest, i, len(signs)) + 1, F.lit(1))
-        new = F.when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
+        def other(signs: str) -> Column:  # never the same sign again
+            return F.substring(F.lit(signs), F.pmod(F.instr(F.lit(signs), c) + _nth(digest, i, len(signs) - 1), F.lit(len(signs))) + 1, F.lit(1))
+
+        new = F.when(c.rlike("[0-9]"), other("0123456789")).when(c.rlike("[a-z]"), other("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), other("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
         return F.when(i < keep, c).otherwise(new)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
@@ -282,8 +365,8 @@ def _compared(kind: Column, canon: Column, made: Column) -> Column:
 
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct kind and canon of the units of the corpus, each with the least of its mentions."""
-    each = docs.select(F.explode(F.array_distinct(mentions("text"))).alias("m")).select("m", kind_of(F.col("m")).alias("kind"))
-    each = each.where(is_entity(F.col("kind"), F.col("m"))).select(F.explode(units(F.col("kind"), F.col("m"))).alias("u"))
+    read = with_found(docs.select(F.col("text").cast("string").alias("text")))
+    each = read.select(F.explode(F.flatten(F.transform(F.filter("_found", lambda x: x["ok"]), lambda x: x["units"]))).alias("u"))
     return each.groupBy("u.kind", "u.canon").agg(F.min("u.m").alias("m"))
 
 
@@ -314,19 +397,49 @@ def _woven(text: Column, pattern: Column, new: Column) -> Column:
     return F.get(F.transform(F.array(F.split(text, pattern)), lambda cut: F.concat(F.array_join(F.zip_with(F.slice(cut, 1, F.size(new)), new, lambda a, b: F.concat(a, b)), ""), F.element_at(cut, -1))), F.lit(0))
 
 
-def _name_again(m: Column, made: Column) -> Column:
-    """(new, plain, plain_new): a name with the words ``made``, and both without the title where there are two or more."""
-    plain = F.regexp_replace(m, f"^{_HEAD}", "")
-    blanks = F.regexp_extract_all(plain, F.lit(f"({_BLANK})"), F.lit(1))
+def _name_again(x: Column) -> Column:
+    """(new, plain, words): a name with its new words, and where it has two words or more, it and they without the title."""
+    old = name_words(x["m"])
+    blanks = F.regexp_extract_all(F.regexp_replace(x["m"], f"^{_HEAD}", ""), F.lit(f"({_BLANK})"), F.lit(1))
+    words = F.zip_with(old, x["made"], lambda w, new: F.when(F.upper(bare(w)) == bare(w), F.upper(new)).otherwise(new))
 
-    def word(w: Column, i: Column) -> Column:
-        new = F.when(F.upper(w) == w, F.upper(F.get(made, i))).otherwise(F.get(made, i))
-        return F.concat(F.when(i > 0, F.get(blanks, i - 1)).otherwise(F.lit("")), new)
+    def again(made: Column) -> Column:
+        said = F.array_join(F.transform(made, lambda w, i: F.concat(F.when(i > 0, F.get(blanks, i - 1)).otherwise(F.lit("")), w)), "")
+        end = F.regexp_extract(x["m"], f"({_END})", 1)
+        plain = F.when(F.size(made) > 1, F.array_join(F.transform(old, lambda w, i: F.when(i == F.size(old) - 1, bare(w)).otherwise(w)), " "))
+        return F.struct(F.concat(F.regexp_extract(x["m"], f"^({_HEAD})", 1), said, end).alias("new"), plain.alias("plain"), made.alias("words"))
 
-    new = F.array_join(F.transform(name_words(m), word), "")
-    ends = F.regexp_extract(m, "(['’]s)$", 1)
-    several = F.size(made) > 1
-    return F.struct(F.concat(F.regexp_extract(m, f"^({_HEAD})", 1), new, ends).alias("new"), F.when(several, F.regexp_replace(plain, "['’]s$", "")).alias("plain"), F.when(several, new).alias("plain_new"))
+    return _let(words, again)
+
+
+#: A capital word, and it with up to two that follow it.
+_WORD = rf"(?<![\p{{L}}'’-]){_NAME}"
+_WINDOW = rf"(?<![\p{{L}}'’-])(?=({_NAME}(?:{_BLANK}{_NAME}){{0,2}})){_NAME}"
+
+
+def _untitled(piece: Column, names: Column) -> Column:
+    """A text between entities with the names of ``names``, an index of new words by old ones, replaced word by word.
+
+    Where two names overlap, a word follows the one that begins first.
+    """
+
+    def hit(window: Column) -> Column:
+        def of(words: Column) -> Column:
+            name = lambda n: F.array_join(F.transform(F.slice(words, 1, n), lambda w, i: F.when(i == n - 1, bare(w)).otherwise(w)), " ")
+            three = F.when(F.size(words) > 2, find(names, name(3)))
+            return F.coalesce(three, F.when(F.size(words) > 1, find(names, name(2))))
+
+        return _let(F.split(window, _BLANK), of)
+
+    def new(hits: Column) -> Column:
+        def word(w: Column, i: Column) -> Column:
+            third, second, own = F.get(F.get(hits, i - 2), F.lit(2)), F.get(F.get(hits, i - 1), F.lit(1)), F.get(F.get(hits, i), F.lit(0))
+            return _let(F.coalesce(third, second, own), lambda made: F.when(made.isNull(), w).otherwise(F.concat(made, F.regexp_extract(w, f"({_END})", 1))))
+
+        return F.transform(F.regexp_extract_all(piece, F.lit(_WORD), F.lit(0)), word)
+
+    hits = F.transform(F.regexp_extract_all(piece, F.lit(_WINDOW), F.lit(1)), hit)
+    return _woven(piece, F.lit(_WORD), _let(hits, new))
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
@@ -337,43 +450,37 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     again = settle(attempts(docs, key), "attempts")
     n = again.count()
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    base = base.withColumn("_found", F.transform(mentions("text"), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
-    base = base.withColumn("_found", F.transform("_found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), is_entity(x["kind"], x["m"]).alias("ok"), units(x["kind"], x["m"]).alias("units"))))
-    none = F.expr("cast(map() as map<string,int>)")
+    base = with_found(base)
+    none = F.expr("cast(array() as array<struct<k:string,v:int>>)")
     if n:
         base = base.withColumn("_row", F.struct(F.xxhash64("text"), F.length("text")))
-        named = base.where(F.size("_found") > 0).select("_row", F.explode(F.array_distinct(F.flatten(F.transform("_found", lambda x: F.transform(x["units"], lambda u: F.struct(u["kind"].alias("kind"), u["canon"].alias("canon"))))))).alias("x")).select("_row", "x.kind", "x.canon")
+        named = base.where(F.size("_found") > 0).select("_row", F.explode(F.flatten(F.transform("_found", lambda x: F.transform(x["units"], lambda u: F.struct(u["kind"].alias("kind"), u["canon"].alias("canon")))))).alias("x")).select("_row", "x.kind", "x.canon")
         named = named.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, ["kind", "canon"]).distinct()
-        by_row = named.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "canon"), "attempt"))).alias("_tries"))
+        by_row = named.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "canon").alias("k"), F.col("attempt").alias("v")))).alias("_tries"))
         by_row = settle(by_row, "tries")
-        base = base.join(F.broadcast(by_row) if by_row.count() <= BROADCAST_ROWS else by_row, "_row", "left")
+        base = base.join(F.broadcast(by_row) if by_row.count() <= BROADCAST_ROWS else by_row, "_row", "left").withColumn("_tries", F.coalesce("_tries", none))
     else:
         base = base.withColumn("_tries", none)
 
     def unit(u: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(F.coalesce(F.col("_tries"), none), F.concat_ws("\u0001", u["kind"], u["canon"])), F.lit(0))
-        return surrogate(key, u["kind"], u["canon"], u["m"], attempt)
+        attempt = F.coalesce(find(F.col("_tries"), F.concat_ws("\u0001", u["kind"], u["canon"])), F.lit(0))
+        return _let(attempt, lambda k: surrogate(key, u["kind"], u["canon"], u["m"], k))
 
     def again_of(x: Column) -> Column:
-        nothing = F.lit(None).cast("string")
-        plain = lambda new: F.struct(new.alias("new"), nothing.alias("plain"), nothing.alias("plain_new"))
-        return F.when(~x["ok"], plain(x["m"])).when(x["kind"] == "name", _name_again(x["m"], x["made"])).otherwise(plain(F.get(x["made"], F.lit(0))))
+        plain = lambda new: F.struct(new.alias("new"), F.lit(None).cast("string").alias("plain"), F.lit(None).cast("array<string>").alias("words"))
+        return F.when(~x["ok"], plain(x["m"])).when(x["kind"] == "name", _name_again(x)).otherwise(plain(F.get(x["made"], F.lit(0))))
 
     made = F.transform("_found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["ok"].alias("ok"), F.when(x["ok"], F.transform(x["units"], unit)).alias("made")))
     base = base.withColumn("_new", F.transform(made, again_of))
-    named = F.filter(F.array_distinct(F.transform("_new", lambda x: F.struct(x["plain"], x["plain_new"]))), lambda x: x["plain"].isNotNull())
-    base = base.withColumn("_named", F.map_from_entries(F.when(F.size("_found") > 0, named)))
-    # longest first; asked only at capital letters, so the cost is that of the names a document has, not of its length times those
-    longest = F.array_sort(F.map_keys("_named"), lambda a, b: F.length(b) - F.length(a))
-    pattern = F.concat(F.lit(r"(?<![\p{L}'’-])(?=\p{Lu})(?:\Q"), F.array_join(longest, r"\E|\Q"), F.lit(r"\E)(?![\p{L}])"))
-    base = base.withColumn("_plain", F.when(F.size("_named") > 0, pattern))
-
-    def untitled(piece: Column) -> Column:
-        hits = F.transform(F.regexp_extract_all(piece, F.col("_plain"), F.lit(0)), lambda w: F.element_at("_named", w))
-        return F.when(F.col("_plain").isNull(), piece).otherwise(_woven(piece, F.col("_plain"), hits))
-
-    cut = F.transform(F.split("text", ENTITY), untitled)
-    woven = F.get(F.transform(F.array(cut), lambda c: F.concat(F.array_join(F.zip_with(F.slice(c, 1, F.size("_new")), F.col("_new"), lambda a, b: F.concat(a, b["new"])), ""), F.element_at(c, -1))), F.lit(0))
+    plain = F.transform(F.filter("_new", lambda x: x["plain"].isNotNull()), lambda x: F.struct(x["plain"].alias("k"), x["words"].alias("v")))
+    base = base.withColumn("_named", index(plain))
+
+    def rest(piece: Column) -> Column:
+        return F.when(F.size("_named") == 0, piece).otherwise(_untitled(piece, F.col("_named")))
+
+    cut = F.transform(F.split("text", ENTITY), rest)
+    news = F.zip_with("_new", "_found", lambda x, y: F.concat(x["new"], F.when(y["tail"] == "", "").otherwise(rest(y["tail"]))))
+    woven = _let(F.struct(cut.alias("cut"), news.alias("new")), lambda z: F.concat(F.array_join(F.zip_with(F.slice(z["cut"], 1, F.size(z["new"])), z["new"], lambda a, b: F.concat(a, b)), ""), F.element_at(z["cut"], -1)))
     text = F.when(F.size("_found") > 0, woven).otherwise(F.col("text"))
     count = F.size(F.filter("_found", lambda x: x["ok"]))
     return base.select(F.col("row").withField("text", text).alias("row"), count.alias("n_entities"))
