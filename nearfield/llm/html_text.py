@@ -2,7 +2,8 @@
 
 A page is read once into flat blocks: stretches of text between block-level tags. A block's features are its own word
 count and link density, those of the blocks before and after it, and where it stands: within an article, beside one,
-within a tag or a named container that usually holds no main text. A decision tree, grown on the driver from the small
+within a tag or a named container that usually holds no main text. A name counts only if it has no word beside those of such
+containers and of layout, and as a weak one if it may name a part of an article too. A decision tree, grown on the driver from the small
 labelled pages below, says which blocks are main text. Counts are asked first where they split as well as places do; on
 pages without an article, or with misleading names, they decide.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -36,44 +38,68 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 #: Words in a class, id or role that name what is no main text.
 AWAY_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side rail aside nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot bottom cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser comment comments commentlist respond reply replies discussion disqus form search pagination pager widget toolbar copyright legal disclaimer contentinfo complementary dialog tags".split())
 
+#: Those of them that may as well name a part of an article.
+VAGUE_NAMES = frozenset("alert bottom dialog discussion foot form header legal notice notices rail respond side tags".split())
+#: Words that say how a page is laid out and not what it holds; a name of them and of VAGUE_NAMES is a weak one.
+LAYOUT_NAMES = frozenset("area bar bars block blocks body bottom box boxes btn button buttons card cards center col column columns container content contents cta desktop div element entry fixed footer full grid group header holder icon icons id inline inner input item items js label layout left link links list lists main message middle mobile module outer page pane panel placeholder post posts primary region right row rows secondary section sections slot small stories story text title top unit ui view wide wrap wrapper zone".split())
+_NEITHER = re.compile(r"^[0-9]*$")
+
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT_NAME = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Block(NamedTuple):
-    """A stretch of text, its words and those in links, the open containers that may hold no main text, and its place."""
+    """A stretch of text, its words and those in links, the innermost open container that may hold no main text (or -1), the
+    articles it is in, and whether it is a heading."""
 
     text: str
     words: int
     link_words: int
-    within: tuple[int, ...]
+    within: int
     article: int
     heading: int
 
 
 class Container:
-    """An open tag: whether it may hold no main text by its tag or by its name, what it holds, and if it is an article."""
+    """An open tag: whether it may hold no main text by its tag or by its name (1: weakly, 2), the container around it that
+    may, the words it holds, and if it is an article."""
 
-    __slots__ = ("tag", "chrome", "named", "article", "words", "wraps")
+    __slots__ = ("tag", "chrome", "named", "article", "words", "wraps", "parent")
 
-    def __init__(self, tag: str, chrome: bool, named: bool, article: bool):
-        self.tag, self.chrome, self.named, self.article, self.words, self.wraps = tag, chrome, named, article, 0, False
+    def __init__(self, tag: str, chrome: bool, named: int, article: bool):
+        self.tag, self.chrome, self.named, self.article, self.words, self.wraps, self.parent = tag, chrome, named, article, 0, False, -1
 
 
-def _opened(tag: str, attrs: str, in_article: bool) -> Container:
-    """A container as its tag and its class, id and role name it; the head of an article is part of it."""
-    names: set[str] = set()
+def strength(name: str, in_article: bool = False) -> int:
+    """How much a class, id or role says that a container holds no main text.
+
+    0: it has no word of AWAY_NAMES, or one that is neither of them nor of layout (``side-effects``, ``legal-history``);
+    1: its words are of VAGUE_NAMES and of layout (``form-section``); 2: any other.
+    """
+    words = [w.lower() for w in _SPLIT_NAME.split(name) if not _NEITHER.match(w)]
+    away = [w for w in words if w in AWAY_NAMES and not (in_article and w == "header")]
+    if not away or not all(w in AWAY_NAMES or w in LAYOUT_NAMES for w in words):
+        return 0
+    return 1 if len(away) < len(words) and VAGUE_NAMES.issuperset(away) else 2
+
+
+@lru_cache(1 << 14)
+def _described(attrs: str, in_article: bool) -> tuple[int, bool]:
+    """What the attributes of a tag say: how much its names are against it, and whether it is hidden."""
+    named = 0
     if "=" in attrs:
         for m in _NAMED.finditer(attrs):
-            names.update(x.lower() for x in _SPLIT_NAME.split(m[1] or m[2] or m[3] or "") if x)
-    bad = names & AWAY_NAMES
-    if in_article and bad == {"header"}:
-        bad = set()
-    hidden = ("hidden" in attrs or "display" in attrs) and _HIDDEN.search(attrs) is not None
+            named = max([named, *(strength(n, in_article) for n in (m[1] or m[2] or m[3] or "").split())])
+    return named, ("hidden" in attrs or "display" in attrs) and _HIDDEN.search(attrs) is not None
+
+
+def _opened(tag: str, attrs: str, in_article: bool) -> Container:
+    """A container as its tag and its class, id and role name it; the head of an article is part of it."""
+    named, hidden = _described(attrs, in_article) if len(attrs) < 256 else _described.__wrapped__(attrs, in_article)
     chrome = hidden or tag in AWAY_TAGS or (tag == "header" and not in_article)
-    return Container(tag, chrome, bool(bad), tag in ("article", "main") and not bad)
+    return Container(tag, chrome, named, tag in ("article", "main") and not named)
 
 
 def blocks(page: str | None) -> tuple[list[Block], list[Container]]:
@@ -83,6 +109,8 @@ def blocks(page: str | None) -> tuple[list[Block], list[Container]]:
     stack: list[Container] = []
     suspects: list[Container] = []  # containers that may hold no main text
     within: list[int] = []  # those that are open
+    opened: dict[str, int] = {}  # open containers by tag
+    chromes = 0  # open ones that hold no main text by their tag, but for forms
     parts: list[str] = []
     article = link = heading = link_words = 0
     marked = 0  # 2: the first article was met; 1: only a heading of the first level
@@ -92,27 +120,32 @@ def blocks(page: str | None) -> tuple[list[Block], list[Container]]:
     def close() -> None:
         nonlocal parts, link_words
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = "".join(parts)
+            text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
                 n = text.count(" ") + 1
-                out.append(Block(text, n, link_words, tuple(within), article, heading))
-                for k in within:
-                    suspects[k].words += n
+                out.append(Block(text, n, link_words, within[-1] if within else -1, article, heading))
+                if within:
+                    suspects[within[-1]].words += n
             parts, link_words = [], 0
 
     def mark(weight: int) -> None:
         nonlocal marked
         if marked < weight:
-            for k, c in enumerate(suspects):
-                c.wraps = k in within
+            for c in suspects:
+                c.wraps = False
+            for k in within:
+                suspects[k].wraps = True
             marked = weight
 
     def pop() -> Container:
-        nonlocal article
+        nonlocal article, chromes
         c = stack.pop()
+        opened[c.tag] -= 1
         if c.chrome or c.named:
             close()
             within.pop()
+            chromes -= c.chrome and c.tag != "form"
         if c.article:
             close()
             article -= 1
@@ -160,19 +193,25 @@ def blocks(page: str | None) -> tuple[list[Block], list[Container]]:
                 c = _opened(tag, attrs, article > 0)
                 if c.chrome or c.named:
                     close()
+                    c.parent = within[-1] if within else -1
                     within.append(len(suspects))
                     suspects.append(c)
+                    chromes += c.chrome and c.tag != "form"
                 if c.article:
                     close()
                     article += 1
-                    if not any(suspects[k].chrome for k in within if suspects[k].tag != "form"):
+                    if not chromes:
                         mark(2)
                 stack.append(c)
-            elif any(c.tag == tag for c in stack):
+                opened[tag] = opened.get(tag, 0) + 1
+            elif opened.get(tag):
                 while pop().tag != tag:
                     pass
     close()
     total = sum(b.words for b in out)
+    for c in reversed(suspects):  # a container comes after the one around it
+        if c.parent >= 0:
+            suspects[c.parent].words += c.words
     if not marked:
         for c in suspects:
             c.wraps = 2 * c.words > total
@@ -192,9 +231,12 @@ def features(found: list[Block], suspects: list[Container]) -> np.ndarray:
     density = np.array([min(1.0, b.link_words / b.words) for b in found])
     before = lambda x: np.concatenate(([0.0], x[:-1]))
     after = lambda x: np.concatenate((x[1:], [0.0]))
-    held = lambda b, kind: any(getattr(suspects[k], kind) and not suspects[k].wraps for k in b.within)
-    has_article = any(b.article and not held(b, "chrome") and not held(b, "named") for b in found)
-    rest = np.array([[b.heading, min(b.article, 1), has_article and not b.article, held(b, "chrome"), held(b, "named")] for b in found], float)
+    chrome, named = [0], [0]  # of no container, then of each one and those around it
+    for c in suspects:
+        chrome.append(max(chrome[c.parent + 1], int(c.chrome and not c.wraps)))
+        named.append(max(named[c.parent + 1], 0 if c.wraps else c.named))
+    has_article = any(b.article and not chrome[b.within + 1] and named[b.within + 1] < 2 for b in found)
+    rest = np.array([[b.heading, min(b.article, 1), has_article and not b.article, chrome[b.within + 1], named[b.within + 1]] for b in found], float)
     return np.column_stack([words, density, before(words), before(density), after(words), after(density), rest])
 
 
@@ -265,6 +307,12 @@ LABELLED = [
     """<article><h1>+List</h1><ul><li>+<a href="/a1">One</a></li><li>+<a href="/a2">Two</a></li><li>+<a href="/a3">Three</a></li></ul></article><p><a href="/a4">Four</a></p><p>Five</p><p><a href="/a6">Six</a></p><footer><a href="/a7">Seven</a></footer>""",
 ]
 
+LABELLED += [
+    """<div class="topnav"><a href="/a">Home</a> <a href="/b">Work</a></div><div><h1>+Glass</h1><p>+Sand, ash and fire make glass, and whoever blows it must not stop until the neck is closed.</p><p>+Wait.</p></div><p>Follow us</p><p><a href="/f">Here</a></p>""",
+    """<main><div class="top-box"><h1>+Tides</h1><p>+Twice a day the sea comes up to the wall and twice a day it leaves the boats on the sand.</p></div><div class="bottom-section"><p>+In spring it comes higher than at any other time, and the cellars near the harbour are cleared for it.</p><p>+Look out.</p></div><div class="side-box"><a href="/t">Table of tides</a></div></main><div class="footer-links"><a href="/a">About</a> <a href="/i">Imprint</a></div>""",
+    """<div class="content"><h1>+Rail</h1><div class="rail-section"><p>+The line was laid through the marsh on bundles of wood, and it sinks by a finger each year.</p></div><div class="notice-text"><p>+No train may go faster than a horse between the two bridges, and none may stop there.</p><p>+Slow.</p></div><div class="tag-list"><a href="/r">rail</a> <a href="/m">marsh</a></div><div class="subscribe-box"><p>Get our letter</p><a href="/l">Sign up</a></div></div>""",
+]
+
 
 def labelled_rows(pages: list[str] = LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the labelled pages' blocks."""
@@ -279,7 +327,7 @@ def labelled_rows(pages: list[str] = LABELLED) -> tuple[np.ndarray, np.ndarray]:
 def main_text(page: str | None, tree: tuple) -> str:
     """The main text of a page: its blocks in order, each on a line."""
     found, suspects = blocks(page)
-    return "\n".join(b.text for b, row in zip(found, features(found, suspects)) if says(tree, row))
+    return "\n".join(b.text for b, row in zip(found, features(found, suspects).tolist()) if says(tree, row))
 
 
 def extract(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
