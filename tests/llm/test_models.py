@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import duckdb
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -71,15 +72,40 @@ def test_url_scores_like_brute_force(spark, sf_dir, url_model):
         assert abs(g["score"] - score) < 1e-9 and g["verdict"] == (said or ("block" if score > url_filter.THRESHOLD else "allow"))
 
 
-def test_url_model_on_hosts_held_out(spark):
+def test_settings_are_those_of_the_cross_validation(spark):
+    found = url_filter.cross_validated(spark, (url_filter.PENALTY,), url_filter.THRESHOLDS)
+    best = max(map(sum, found.values()))
+    blocked, allowed = found[url_filter.PENALTY, url_filter.THRESHOLD]
+    assert blocked + allowed == best and blocked >= 0.95 and allowed >= 0.95  # 1.00 and 0.99
+
+
+def test_url_model_on_words_held_out(spark):
+    """Hosts none of whose own words was seen: no figure to be proud of, but better than chance."""
     keep, out = (lambda xs: [x for k, x in enumerate(xs) if k % 4]), (lambda xs: xs[::4])
-    model = url_filter.train(spark, url_filter.labelled(keep(url_filter.BLOCKED_HOSTS), url_filter.BLOCKED_URLS), url_filter.labelled(keep(url_filter.ALLOWED_HOSTS), url_filter.ALLOWED_URLS))
-    rows = [(k, u, 1) for k, u in enumerate(url_filter.labelled(out(url_filter.BLOCKED_HOSTS), []))] + [(1000 + k, u, 0) for k, u in enumerate(url_filter.labelled(out(url_filter.ALLOWED_HOSTS), []))]
-    df = spark.createDataFrame(rows, "page_id long, url string, label int")
-    scored = model.transform(url_filter._features(df)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).toPandas()
+    bad, good = url_filter.BLOCKED_WORDS, url_filter.ALLOWED_WORDS
+    model = url_filter.train(spark, url_filter.labelled(url_filter.hosts(keep(bad)), url_filter.BLOCKED_URLS), url_filter.labelled(url_filter.hosts(keep(good)), url_filter.ALLOWED_URLS))
+    rows = [(u, y) for y, words in ((1, bad), (0, good)) for u in url_filter.labelled(url_filter.hosts(out(words)), [])]
+    scored = model.transform(url_filter._features(spark.createDataFrame(rows, "url string, label int"))).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).toPandas()
     right = (scored.score > url_filter.THRESHOLD) == (scored.label == 1)
-    # 0.69 of those to block: a host none of whose words is among the others cannot be known
-    assert right[scored.label == 1].mean() >= 0.6 and right[scored.label == 0].mean() >= 0.85
+    shares = right[scored.label == 1].mean(), right[scored.label == 0].mean()
+    print("words held out", shares)
+    assert sum(shares) > 1.1
+
+
+def test_host_path_and_rule_as_sql(spark, sf_dir, url_model):
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+    sql = f"""
+        with parts as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from '{sf_dir}/pages.parquet'),
+        cut as (select page_id, lower(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1)) as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from parts),
+        fit as (select page_id, h || p as rule, v, row_number() over (partition by page_id order by length(h || p) desc, h desc, p desc) as k
+                from cut join (values {rules}) as r(v, h, p) on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+        select c.page_id, host, path, rule, v from cut c left join fit f on c.page_id = f.page_id and k = 1"""
+    got = {r["page_id"]: r for r in url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_model).collect()}
+    want = duckdb.sql(sql).fetchall()
+    assert len(want) == len(got)
+    for page, host, path, rule, verdict in want:
+        g = got[page]
+        assert (g["host"], g["path"], g["rule"]) == (host, path, rule) and verdict in (None, g["verdict"])
 
 
 # ---------------------------------------------------------------- languages
