@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import spearman
 from ..functions.tables import settle
+from . import spanning
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(source, node, dist) of all nodes that a source reaches.
 
     Each round relaxes the edges of the rows that improved in the last one; it ends when none did, as
-    weights are positive. A zero weight counts as no edge. Every round is a table in the shared folder. With
+    weights are positive. A zero weight, or one that is no number, counts as no edge. Every round is a table in the shared folder. With
     ``most_rounds``, paths that are not settled by then are an error.
     """
-    edges = settle(edges.where("w > 0").select("src", "dst", "w"), "edges")
+    edges = settle(edges.where("w > 0 and not isnan(w)").select("src", "dst", "w"), "edges")
     best = settle(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")), "paths")
     for done in itertools.count():
         if done == most_rounds:
@@ -43,27 +44,12 @@ def distance_from_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def spanning_tree(nodes: DataFrame) -> DataFrame:
-    """(u, v), u < v, of the least spanning tree of all pairs of nodes (node, x, y), by Prim's steps.
-
-    The nodes of a lineage are few by construction: they are compared in one task.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        names, xy = pdf["node"].to_numpy(), pdf[["x", "y"]].to_numpy(float)
-        left, out = set(range(1, len(names))), []
-        near = np.zeros(len(names), int)
-        dist = np.sqrt(((xy - xy[0]) ** 2).sum(axis=1))
-        while left:
-            k = min(left, key=lambda j: (dist[j], j))
-            left.discard(k)
-            out.append(tuple(sorted((names[k], names[near[k]]))))
-            d = np.sqrt(((xy - xy[k]) ** 2).sum(axis=1))
-            closer = d < dist
-            near[closer], dist[closer] = k, d[closer]
-        return pd.DataFrame(out, columns=["u", "v"])
-
-    return nodes.select("node", "x", "y", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, "u string, v string")
+    """(u, v), u < v, of the least spanning tree of all pairs of nodes (node, x, y); nodes without a finite place are left out."""
+    named = settle(nodes.select(F.monotonically_increasing_id().alias("id"), "node", F.array("x", "y").alias("v")), "named")
+    tree = spanning.least_tree(named.select("id", "v"))
+    name = lambda key: named.select(F.col("id").alias(key), F.col("node").alias(f"n{key}"))
+    both = tree.select("u", "v").join(name("u"), "u").join(name("v"), "v")
+    return both.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"))
 
 
 def topology_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
