@@ -12,7 +12,7 @@ from ..operators import neighbours as nb
 from ..operators import objective as ob
 from ..operators import sampling as sm
 from ..operators.points import lineage_cells, points, read
-from .health_plans import series, xy
+from .health_plans import _INC, CELLS, series, xy
 from .register import registry
 
 QUERIES, ORACLES, query = registry()
@@ -172,7 +172,11 @@ def pseudotime_corr(spark, sf_dir):
     return spearman(both, "a", "b", "pseudotime_corr", float("nan")).join(reached)
 
 
-@query("topology_f1")
+_PLACED = "n AS (SELECT node, avg(x) AS x, avg(y) AS y FROM i GROUP BY node HAVING count(*) >= 10), d AS (SELECT a.node AS a, b.node AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS w FROM n a JOIN n b ON a.node <> b.node)"
+_PRIM = "prim AS (SELECT [min(node)] AS seen, NULL::VARCHAR AS u, NULL::VARCHAR AS v FROM n UNION ALL SELECT list_append(seen, b), least(a, b), greatest(a, b) FROM (SELECT seen, a, b, row_number() OVER (ORDER BY w, least(a, b), greatest(a, b)) AS k FROM prim JOIN d ON list_contains(seen, a) AND NOT list_contains(seen, b)) WHERE k = 1)"
+
+
+@query("topology_f1", f"WITH RECURSIVE {CELLS}, {_INC}, {_PLACED}, {_PRIM}, tree AS (SELECT u, v FROM prim WHERE u IS NOT NULL), e AS (SELECT DISTINCT least(f, t) AS u, greatest(f, t) AS v FROM cells WHERE f <> t AND f IN (SELECT node FROM n) AND t IN (SELECT node FROM n)), s AS (SELECT (SELECT count(*) FROM tree JOIN e USING (u, v)) AS hit, (SELECT count(*) FROM tree) AS n, (SELECT count(*) FROM e) AS m), r AS (SELECT hit / greatest(n, 1) AS p, hit / greatest(m, 1) AS r FROM s) SELECT round(p, 6) + 0.0 AS precision, round(r, 6) + 0.0 AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) + 0.0 AS f1 FROM r")
 def topology_f1(spark, sf_dir):
     """The spanning tree of node centres against the lineage."""
     cells = lineage_cells(spark, sf_dir)
