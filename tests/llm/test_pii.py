@@ -277,21 +277,15 @@ def _name(k):
     return "".join(chr(97 + k // 26**i % 26) for i in range(4)).capitalize()
 
 
-@pytest.mark.parametrize("kind", ["names", "plain names", "letters", "at signs", "dots"])
-def test_replacing_in_long_texts_takes_little_time(spark, kind):
-    """A megabyte through the whole operator, or thousands of names, in ``plain names`` each again without its title."""
-    text = {
-        "names": "".join(f"Mr {_name(k)} {_name(7 * k)} ran. " for k in range(11_000)),
-        "plain names": "".join(f"Mr {_name(k)} {_name(7 * k)} ran. {_name(k)} {_name(7 * k)} sat. " for k in range(4_000)),
-        "letters": "Mrs Anna Jones " + "a" * 1_000_000,
-        "at signs": "Mrs Anna Jones " + "a@" * 500_000,
-        "dots": "Mrs Anna Jones " + "A. " * 330_000,
-    }[kind]
-    small, df = (spark.createDataFrame([(1, t)], "doc_id long, text string") for t in ("Mrs Anna Jones and Anna Jones", text))
+def test_replacing_in_long_texts_takes_little_time(spark):
+    """Three megabytes of hard signs, and thousands of names with and without their titles, through the whole operator."""
+    names = "".join(f"Mr {_name(k)} {_name(7 * k)} ran. {_name(k)} {_name(7 * k)} sat. " for k in range(3_000))
+    texts = [names] + ["Mrs Anna Jones " + sign * (1_000_000 // len(sign)) for sign in ("a", "a@", "A. ")]
     took = []
-    for d in (small, df):
+    for some in (["Mrs Anna Jones and Anna Jones, Mrs Ada Byron"], texts):
+        df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
         began = time.perf_counter()
-        got = pii.replace(d, KEY).select("row.text").first()[0]
+        got = pii.replace(df, KEY).select("row.text").collect()
         took.append(time.perf_counter() - began)
-    assert "Anna Jones" not in got
-    assert took[1] - took[0] < (30 if "names" in kind else 10), took  # the square of the names took minutes
+    assert not any("Anna Jones" in r[0] or "Baaa" in r[0] for r in got)
+    assert took[1] - took[0] < 60, took  # by the square of the names, or of the signs, it took many minutes
