@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import neighbours as nb
-from ..operators import spanning, treeforces
+from ..operators import metric_cells, spanning, treeforces
 from ..operators.points import points
+from .neighbour_plans import HD, P
 from .register import registry
 
 QUERIES, ORACLES, query = registry()
@@ -34,3 +35,16 @@ def repulsion_tree(spark, sf_dir):
 def spanning_forest_knn(spark, sf_dir):
     """The least spanning forest of the graph of the 15 nearest neighbours."""
     return spanning.least_forest(nb.knn(points(spark, sf_dir), 15, "hd").select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("dist").alias("w")))
+
+
+@query("knn_pivot_cells", f"WITH {P}, {HD} SELECT src, rank::INTEGER AS rank, dst, round(dist, 6) + 0.0 AS dist FROM hd WHERE rank BETWEEN 1 AND 12")
+def knn_pivot_cells(spark, sf_dir):
+    """Twelve nearest neighbours by cells around pivots, pruned by the triangle inequality."""
+    return metric_cells.knn(points(spark, sf_dir), 12, "hd")
+
+
+@query("pivot_cells_compared")
+def pivot_cells_compared(spark, sf_dir):
+    """How many distances that took in the picture, whose points lie closer, of all there are."""
+    pts = points(spark, sf_dir)
+    return metric_cells.nearest(pts, pts, 13, "ld")[1]

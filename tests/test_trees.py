@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from nearfield.operators import spanning, treeforces
+from nearfield.operators import metric_cells, spanning, treeforces
+from nearfield.operators import neighbours as nb
 
 
 def _forces(p):
@@ -68,3 +69,17 @@ def test_tree_of_all_pairs_like_kruskal(spark):
     got = spanning.least_tree(df).collect()
     want = _kruskal([(a, b, float(np.sqrt(((p[a] - p[b]) ** 2).sum()))) for a in range(120) for b in range(a + 1, 120)])
     assert {(r["u"], r["v"]) for r in got} == {(u, v) for u, v, _ in want}
+
+
+def test_pivot_cells_like_the_block_join(spark):
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.normal(size=(80, 5)) * 0.1 + 10 * rng.normal(size=5) for _ in range(12)] + [np.zeros((40, 5))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(p)], "id long, v array<double>")
+    rows, compared = metric_cells.nearest(df, df, 9, "v")
+    want = nb.nearest(df, df, 9, "v")
+    key = lambda d: sorted((r["src"], r["rank"], r["dst"], round(r["dist"], 9)) for r in d.collect())
+    assert key(rows) == key(want)
+    assert compared.first()["share"] < 0.25  # clusters are skipped
+    few = df.where("id < 4")
+    assert key(metric_cells.nearest(df.where("id < 30"), few, 9, "v")[0]) == key(nb.nearest(df.where("id < 30"), few, 9, "v"))
+    assert metric_cells.nearest(df, df.limit(0), 3, "v")[0].count() == 0
