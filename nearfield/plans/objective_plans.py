@@ -121,10 +121,13 @@ def neighbor_mixup(spark, sf_dir):
     return out.select("id", "node", F.get("aug", F.lit(0)).alias("a0"), F.get("aug", F.lit(63)).alias("a63"))
 
 
-_HOP = "JOIN kn k{h} ON k{h}.src = {at} AND k{h}.rank = {pick} % 5 + 1"
+#: The five nearest of a point as a list, so that a step of a walk is one join of short tables.
+_NEAR5 = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS hd FROM embeddings), kn AS MATERIALIZED (SELECT a.id AS src, list(b.id ORDER BY list_distance(a.hd, b.hd), b.id)[1:6] AS near FROM p a, p b GROUP BY a.id)"
+_STEP = "s{h} AS MATERIALIZED (SELECT {of}.id AS id, near[{pick} % 5 + 2] AS node FROM {of} JOIN kn ON src = {of}.{at})"
+_STEPS = ", ".join(_STEP.format(h=h, of=of, at=at, pick=_unit(f"{of}.id::VARCHAR", f"':{h}'")) for h, of, at in ((0, "p", "id"), (1, "s0", "node"), (2, "s1", "node")))
 
 
-@query("trace_walk", f"WITH {_KNN5} SELECT p.id, k2.dst AS node FROM p " + " ".join(_HOP.format(h=h, at="p.id" if h == 0 else f"k{h - 1}.dst", pick=_unit("p.id::VARCHAR", f"':{h}'")) for h in range(3)))
+@query("trace_walk", f"WITH {_NEAR5}, {_STEPS} SELECT id, node FROM s2")
 def trace_walk(spark, sf_dir):
     """Where a walk of three steps from each point ends."""
     pts = points(spark, sf_dir)
