@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import neighbours as nb
-from ..operators import metric_cells, spanning, treeforces
+from ..operators import inference, metric_cells, spanning, treeforces
 from ..operators.points import points
 from .neighbour_plans import HD, P
 from .register import registry
@@ -48,3 +49,19 @@ def pivot_cells_compared(spark, sf_dir):
     """How many distances that took in the picture, whose points lie closer, of all there are."""
     pts = points(spark, sf_dir)
     return metric_cells.nearest(pts, pts, 13, "ld")[1]
+
+
+def _rule(rows: int, columns: int, a: int, b: int) -> np.ndarray:
+    """Weights by a rule that SQL can repeat."""
+    return (((np.arange(rows)[:, None] * a + np.arange(columns)[None, :] * b) % 11) - 5) / 10.0
+
+
+_DOT = "list_sum(list_transform(range({n}), lambda i: {v}[i + 1] * (((i * {a} + {j} * {b}) % 11) - 5) / 10.0))"
+
+
+@query("layer_outputs", "WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), a AS (SELECT id, list_transform(range(8), lambda j: " + _DOT.format(n=64, v="v", a=7, j="j", b=3) + " + j / 10.0) AS v FROM e), b AS (SELECT id, list_transform(range(2), lambda j: " + _DOT.format(n=8, v="v", a=5, j="j", b=2) + ") AS v FROM a) SELECT id, 0::INTEGER AS layer, round(v[1], 6) + 0.0 AS first, round(v[-1], 6) + 0.0 AS last FROM a UNION ALL SELECT id, 1::INTEGER, round(v[1], 6) + 0.0, round(v[-1], 6) + 0.0 FROM b")
+def layer_outputs(spark, sf_dir):
+    """Both layers of a linear model over the embeddings: first and last value of each output."""
+    layers = [inference.Layer(_rule(64, 8, 7, 3), np.arange(8) / 10.0), inference.Layer(_rule(8, 2, 5, 2), np.zeros(2))]
+    out = inference.layer_outputs(points(spark, sf_dir), "hd", layers, [0, 1])
+    return out.select("id", "layer", F.get("v", F.lit(0)).alias("first"), F.element_at("v", -1).alias("last"))
