@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import neighbours as nb
 from ..operators import inference, metric_cells, spanning, treeforces
 from ..operators.points import points
+from ..sources import recipes
 from .neighbour_plans import HD, P
 from .register import registry
 
@@ -65,3 +66,16 @@ def layer_outputs(spark, sf_dir):
     layers = [inference.Layer(_rule(64, 8, 7, 3), np.arange(8) / 10.0), inference.Layer(_rule(8, 2, 5, 2), np.zeros(2))]
     out = inference.layer_outputs(points(spark, sf_dir), "hd", layers, [0, 1])
     return out.select("id", "layer", F.get("v", F.lit(0)).alias("first"), F.element_at("v", -1).alias("last"))
+
+
+@query("recipe_knn", f"WITH {P}, {HD} SELECT src, rank::INTEGER AS rank, dst, round(dist, 6) + 0.0 AS dist FROM hd WHERE rank BETWEEN 1 AND 12")
+def recipe_knn(spark, sf_dir):
+    """Twelve nearest neighbours, from configuration."""
+    return recipes.run(spark, sf_dir, "source: {name: points}\nsteps:\n  - {name: finite, args: {features: hd}}\n  - {name: knn, args: {k: 12, column: hd}}")
+
+
+@query("recipe_prepared", f"WITH {P}, c AS (SELECT label FROM p GROUP BY label HAVING count(*) >= 5), k AS (SELECT * FROM p WHERE label IN (SELECT label FROM c)), m AS (SELECT min(hd[1]) AS a, max(hd[1]) AS b, min(hd[64]) AS c, max(hd[64]) AS d FROM k) SELECT id, round((hd[1] - a) / (b - a), 6) + 0.0 AS first, round((hd[64] - c) / (d - c), 6) + 0.0 AS last FROM k, m")
+def recipe_prepared(spark, sf_dir):
+    """Points without rare classes, scaled by feature and padded to an even width, from configuration."""
+    recipe = "source: {name: points}\nsteps:\n  - {name: finite, args: {features: hd}}\n  - {name: drop_rare, args: {label: label, least: 5}}\n  - {name: min_max, args: {features: hd}}\n  - {name: pad_even, args: {features: hd}}"
+    return recipes.run(spark, sf_dir, recipe).select("id", F.get("hd", F.lit(0)).alias("first"), F.get("hd", F.lit(63)).alias("last"))
