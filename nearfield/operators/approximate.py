@@ -61,9 +61,9 @@ def fitted_probes(queries: DataFrame, refs: DataFrame, index: DataFrame, centres
 def nearest(queries: DataFrame, refs: DataFrame, k: int, column: str, probes: int | None = None, centres: int | None = None, seed: int = 42) -> DataFrame:
     """(src, rank, dst, dist): about the k nearest references of each query from rank 0; distances are exact.
 
-    By default there are sqrt(n) centres, and the number of probes is fitted.
+    By default there are sqrt(n) centres, and the number of probes is fitted. Rows without a place neither ask nor answer.
     """
-    q, r = (t.select(F.col("id"), F.col(column).alias("v")) for t in (queries, refs))
+    q, r = (nb.placed(t, column).select(F.col("id"), F.col(column).alias("v")) for t in (queries, refs))
     n = r.count()
     if not n:
         return nb.nearest(queries, refs, k, column)
@@ -94,10 +94,9 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, column: str, probes: in
 
 
 def knn(pts: DataFrame, k: int, column: str, **options) -> DataFrame:
-    """(src, rank, dst, dist) of about the k nearest others, from rank 1; a point itself is left out by its id."""
-    found = nearest(pts, pts, k + 1, column, **options).where("src <> dst")
-    order = Window.partitionBy("src").orderBy("dist", "dst")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
+    """(src, rank, dst, dist) of about the k nearest others, from rank 1; the first of k + 1 is dropped by place, as by the
+    exact join: a point lies in the first cell that it looks into."""
+    return nearest(pts, pts, k + 1, column, **options).where("rank > 0")
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

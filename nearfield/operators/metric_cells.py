@@ -89,8 +89,8 @@ def _search(asked: DataFrame, dealt: DataFrame, parts: DataFrame, k: int) -> Dat
 
 def nearest(queries: DataFrame, refs: DataFrame, k: int, column: str, pivots: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """((src, rank, dst, dist), (n, compared, share)): the k nearest references of each query from rank 0, ties to the lesser
-    id, and how many distances were compared, of all there are. Rows without a vector are left out."""
-    q, r = (t.where(F.col(column).isNotNull()).select("id", F.col(column).cast("array<double>").alias("v")) for t in (queries, refs))
+    id, and how many distances were compared, of all there are. Rows without a place neither ask nor answer."""
+    q, r = (nb.placed(t, column).select("id", F.col(column).cast("array<double>").alias("v")) for t in (queries, refs))
     n = r.count()
     if not n:
         return nb.nearest(q, r, k, "v"), q.sparkSession.createDataFrame([(0, 0, 0.0)], "n long, compared long, share double")

@@ -95,11 +95,19 @@ def _nearest_rows(a: np.ndarray, b: np.ndarray, k: int, other: np.ndarray | None
     return np.take_along_axis(some, order, 1), np.take_along_axis(d, order, 1)
 
 
+def placed(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose vector is there and has finite numbers only: others are near to nothing."""
+    return rows.where(F.col(column).isNotNull() & F.forall(column, lambda z: z.isNotNull() & ~F.isnan(z) & (F.abs(z) < float("inf"))))
+
+
 def nearest(queries: DataFrame, refs: DataFrame, k: int, column: str, label: str | None = None) -> DataFrame:
     """(src, rank, dst, dist): the k nearest references of each query from rank 0, ties to the lesser id.
 
-    With ``label``, references of the query's own label come first, and others only fill up.
+    With ``label``, references of the query's own label come first, and others only fill up. Rows without a place (a null
+    vector, or one with a number that is not finite) neither ask nor answer.
     """
+    same = queries is refs
+    queries, refs = placed(queries, column), placed(refs, column)
     names = [F.col("id"), F.col(column).alias("v")] + ([F.col(label).alias("label")] if label else [])
 
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -117,7 +125,7 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, column: str, label: str
             out.append(pd.DataFrame({"src": np.repeat(q["id"].to_numpy()[at : at + step], m), "dst": ids[order].ravel(), "dist": dist.ravel(), "other": flag.ravel().astype("int32")}))
         return pd.concat(out)
 
-    best = _in_blocks(queries.select(*names), refs.select(*names), run, "src long, dst long, dist double, other int", queries is refs)
+    best = _in_blocks(queries.select(*names), refs.select(*names), run, "src long, dst long, dist double, other int", same)
     order = Window.partitionBy("src").orderBy("other", "dist", "dst")
     return best.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("rank") < k).select("src", "rank", "dst", "dist")
 

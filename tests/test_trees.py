@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from nearfield.operators import metric_cells, spanning, treeforces
+from nearfield.operators import approximate, metric_cells, spanning, treeforces
 from nearfield.operators import neighbours as nb
 
 
@@ -83,3 +83,13 @@ def test_pivot_cells_like_the_block_join(spark):
     few = df.where("id < 4")
     assert key(metric_cells.nearest(df.where("id < 30"), few, 9, "v")[0]) == key(nb.nearest(df.where("id < 30"), few, 9, "v"))
     assert metric_cells.nearest(df, df.limit(0), 3, "v")[0].count() == 0
+
+
+def test_all_neighbour_joins_agree_on_rows_without_a_place_and_equal_points(spark):
+    rows = [(k, [float(k % 5), 1.0]) for k in range(40)] + [(90, [float("nan"), 1.0]), (91, None), (92, [1.0, float("inf")]), (93, [None, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    key = lambda d: sorted((r["src"], r["rank"], r["dst"], round(r["dist"], 9)) for r in d.select("src", "rank", "dst", "dist").collect())
+    want = key(nb.knn(df, 9, "v"))
+    assert {r[0] for r in want} == set(range(40)) and len(want) == 360
+    assert key(metric_cells.knn(df, 9, "v")) == want
+    assert key(approximate.knn(df, 9, "v", probes=50)) == want
