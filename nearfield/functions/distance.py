@@ -37,11 +37,6 @@ def student_t_kernel(d: Column, nu: float) -> Column:
     return F.pow(1.0 + d * d / F.lit(float(nu)), F.lit(-(nu + 1.0) / 2.0))
 
 
-def clamped_student_t(d: Column, nu: float, eps: float = 1e-7) -> Column:
-    """The Student-t kernel within [eps, 1 - eps]."""
-    return F.least(F.greatest(student_t_kernel(d, nu), F.lit(eps)), F.lit(1.0 - eps))
-
-
 def gamma_kernel(d: Column, nu: float) -> Column:
     """The heavy-tailed kernel whose constant is 6.28 times the squared Student-t density at 0."""
     g = math.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2)) / math.sqrt(nu * math.pi)

@@ -75,6 +75,36 @@ def ordinal_percentile(df: DataFrame, value: str, tie: str, name: str) -> DataFr
     return out.join(F.broadcast(total)).withColumn(name, (F.col("before") + F.col("_k")) / F.col("_n")).drop("before", "_k", "_n")
 
 
+def exact_quantile(df: DataFrame, value: str, share: float, name: str, key: str | None = None) -> DataFrame:
+    """One row, or one for each key: the exact quantile of a value, interpolated between the two values it lies between.
+
+    Distinct values are counted and dealt into ranges whose number grows with them; the counts of ranges tell in which ones the two
+    places lie, and only these are ranked. Rows without a value or a key count for nothing; without any there is a null, or no row
+    for a key.
+    """
+    named = df.select((F.col(key) if key else F.lit(0)).alias("_key"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    each = settle(named.groupBy("_key", "_v").agg(F.count("*").alias("_c")), "values")
+    ranges = range_count(each.count())
+    if ranges > 1:
+        cuts = each.groupBy("_key").agg(F.percentile_approx("_v", [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"))
+        each = settle(each.join(cuts, "_key").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts"), "values")
+    else:
+        each = each.withColumn("_range", F.lit(0))
+    own = Window.partitionBy("_key")
+    prior = own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
+    sizes = each.groupBy("_key", "_range").agg(F.sum("_c").alias("_size"))
+    sizes = sizes.select("_key", "_range", "_size", F.coalesce(F.sum("_size").over(prior), F.lit(0)).alias("_before"), (F.lit(share) * (F.sum("_size").over(own) - 1)).alias("_pos"))
+    asked = sizes.where((F.col("_before") <= F.ceil("_pos")) & (F.col("_before") + F.col("_size") > F.floor("_pos"))).drop("_size")
+    order = Window.partitionBy("_key", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    found = each.join(asked, ["_key", "_range"]).withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(order), F.lit(0)))
+    at = lambda place: F.max(F.when((F.col("_at") <= place) & (place < F.col("_at") + F.col("_c")), F.col("_v")))
+    ends = found.groupBy("_key").agg(at(F.floor("_pos")).alias("_a"), at(F.ceil("_pos")).alias("_b"), F.first("_pos").alias("_p"))
+    quantile = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_p") - F.floor("_p")))
+    if key:
+        return ends.select(F.col("_key").alias(key), quantile.alias(name))
+    return ends.select(quantile.alias(name)).agg(F.max(name).alias(name))
+
+
 def pearson(a: str, b: str) -> Column:
     """Pearson's correlation as an aggregate; null where a column does not vary, which ``corr`` takes for an error."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

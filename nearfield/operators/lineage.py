@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tables import settle
-from ..functions.ranks import average_rank_within, pearson
+from ..functions.ranks import average_rank_within, exact_quantile, pearson
 from . import neighbours as nb
 
 
@@ -39,7 +39,7 @@ def node_roles(edges: DataFrame) -> DataFrame:
 
 def medoids(cells: DataFrame, group: str) -> DataFrame:
     """The point of each group nearest to its coordinate-wise median, ties to the lesser id."""
-    mid = cells.groupBy(group).agg(F.percentile("x", 0.5).alias("mx"), F.percentile("y", 0.5).alias("my"))
+    mid = exact_quantile(cells, "x", 0.5, "mx", group).join(exact_quantile(cells, "y", 0.5, "my", group), group)
     d2 = (F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2
     return cells.join(F.broadcast(mid), group).groupBy(group).agg(F.min_by(F.struct("id", "x", "y"), F.struct(d2, "id")).alias("m")).select(group, "m.id", "m.x", "m.y")
 
@@ -52,7 +52,7 @@ def fate_recovery(cells: DataFrame, probs: DataFrame, terminals: DataFrame) -> D
     """
     far = cells.select("id", "x", "y").join(F.broadcast(terminals.select(F.col("node").alias("terminal"), F.col("x").alias("tx"), F.col("y").alias("ty"))))
     far = far.withColumn("d", F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2))
-    scale = far.agg(F.percentile("d", 0.5).alias("scale"))
+    scale = exact_quantile(far, "d", 0.5, "scale")
     weight = far.join(F.broadcast(scale)).withColumn("w", F.exp(-F.col("d") / F.greatest("scale", F.lit(1e-12))))
     share = weight.withColumn("q", F.col("w") / F.sum("w").over(Window.partitionBy("id"))).select("id", "terminal", "q")
     each = share.join(probs, ["id", "terminal"]).groupBy("terminal").agg(pearson("p", "q").alias("r"), F.count("*").alias("n"), F.stddev_pop("p").alias("sp"), F.stddev_pop("q").alias("sq"))
@@ -103,7 +103,7 @@ def hull_areas(cells: DataFrame, group: str, keep: float = 0.95) -> DataFrame:
     """
     mid = cells.groupBy(group).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     far = cells.join(F.broadcast(mid), group).withColumn("d", F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2))
-    edge = far.groupBy(group).agg(F.percentile("d", keep).alias("edge"))
+    edge = exact_quantile(far, "d", keep, "edge", group)
     near = far.join(F.broadcast(edge), group).where(F.col("d") <= F.col("edge")).select(group, "x", "y", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
     # the extreme points in 64 directions of each part are corners; rows inside their ring can be no corner of the whole
     kind = dict(cells.dtypes)[group]

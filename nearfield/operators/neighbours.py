@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranks import exact_quantile
 from ..functions.tables import settle
 
 #: Bytes of a block's vectors, about, and the least and most points of one; distances are worked out in slabs of SLAB values.
@@ -193,7 +194,7 @@ def radius_counts(queries: DataFrame, refs: DataFrame, radius: float, column: st
 def distance_quantile_radius(pts: DataFrame, count: int, column: str) -> float:
     """The median distance to the count-th neighbour, the point itself being the first."""
     far = nearest(pts, pts, count, column).where(F.col("rank") == count - 1)
-    return float(far.agg(F.percentile("dist", 0.5).alias("e")).first()["e"] or 0.0)
+    return float(exact_quantile(far, "dist", 0.5, "e").first()["e"] or 0.0)
 
 
 def symmetric_graph(edges: DataFrame) -> DataFrame:
