@@ -8,16 +8,22 @@ The tree is a table (level, ix, iy, n, cx, cy, leaf), each level summed up from
 (point, cell) that are open at a level are joined with the cells of that level, and end there, at once or with the points of
 a leaf, or go on to the level below as the cell's parts. So a point meets a bounded number of cells at each level, and the work is
 n log n; cells of a level are broadcast only if they were counted to be few, and no cell of the levels with many has many open rows.
+
+With ``theta`` 0 no cell is ever far, and the walk would list all pairs as rows; then pairs of blocks of places answer with
+sums, and no pair is a row.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import BROADCAST_ROWS, settle
+from . import neighbours as nb
 
 #: Points of a cell that is not parted, and the level whose cells never are.
 LEAF, DEEPEST = 8, 24
@@ -61,6 +67,8 @@ def tree_forces(points: DataFrame, theta: float = 0.5) -> DataFrame:
     and no force; with ``theta`` 0 all points are asked, and the result is that of all pairs. Tables without rows give none.
     """
     places, width = _placed(points)
+    if theta <= 0:
+        return _at_points(points, _all_pairs(places))
     levels = tree(places)
     deep = len(levels) - 1
     # places of one cell of the deepest level used; those of leaves above it are found by the same shift
@@ -89,10 +97,41 @@ def tree_forces(points: DataFrame, theta: float = 0.5) -> DataFrame:
         quarters = F.array(*[F.struct((F.col("ix") * 2 + i).alias("ix"), (F.col("iy") * 2 + j).alias("iy")) for i in (0, 1) for j in (0, 1)])
         open_ = met.where("way = 'open'").select("x", "y", "px", "py", F.explode(quarters).alias("to")).select("x", "y", "px", "py", "to.ix", "to.iy")
     total = reduce(DataFrame.unionByName, parts).groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in ("fx", "fy", "z", "asked")])
+    return _at_points(points, total)
+
+
+def _at_points(points: DataFrame, total: DataFrame) -> DataFrame:
+    """The sums of places by the ids of their points."""
     back = points.select("id", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y"))
     return back.join(total, ["x", "y"]).select("id", "fx", "fy", "z", "asked")
 
 
+def _all_pairs(places: DataFrame) -> DataFrame:
+    """(x, y, fx, fy, z, asked) of each place from all places, by pairs of blocks."""
+    schema = "x double, y double, fx double, fy double, z double, asked long"
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((6, 0))]
+        if len(q) and len(r):
+            x, y, mass = (r[c].to_numpy() for c in ("x", "y", "n"))
+            own = q["_q"].iloc[0] == q["_r"].iloc[0]  # both sides are dealt alike: only here a place meets itself
+            step = max(1, nb.SLAB // len(r))
+            for k in range(0, len(q), step):
+                px, py = q["x"].to_numpy()[k : k + step, None], q["y"].to_numpy()[k : k + step, None]
+                dx, dy = px - x, py - y
+                near = 1.0 / (1.0 + dx * dx + dy * dy)
+                m = mass * near
+                z = m.sum(1) if not own else ((mass - ((dx == 0) & (dy == 0))) * near).sum(1)
+                m *= near
+                out.append(np.stack([px[:, 0], py[:, 0], np.einsum("ij,ij->i", m, dx), np.einsum("ij,ij->i", m, dy), z, np.full(len(px), float(len(r)))]))
+        rows = pd.DataFrame(np.concatenate(out, axis=1).T, columns=["x", "y", "fx", "fy", "z", "asked"])
+        return rows.astype({"asked": "int64"})
+
+    side = lambda: places.select(F.xxhash64("x", "y").alias("id"), F.array("x", "y").alias("v"), *[F.col(c).alias(c) for c in ("x", "y", "n")])  # noqa: E731  # columns of each side's own
+    each = nb._in_blocks(side(), side(), run, schema, True)
+    return each.groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in ("fx", "fy", "z", "asked")])
+
+
 def _summed(rows: DataFrame) -> DataFrame:
     """Forces, sums and counts of a level by place."""
     pull = lambda a, b: F.sum(F.col("m") * (F.col(a) - F.col(b)))
