@@ -4,10 +4,10 @@ The target is the documents labelled as good, the background all documents. Both
 and vocabulary: every distinct word, and every distinct pair of neighbours, has counts of its own, however many there are.
 Keys of 62 bits stand for them: of a thousand million distinct pairs, fewer than one pair are expected to share a key.
 
-Documents are dealt into chunks of bounded size by hash. Each chunk answers with its distinct entries and their counts;
-Spark adds these up by entry into a settled table, which also lists the chunks that hold an entry. For the scores, the
-entries of more than one chunk go back to their chunks (what only one chunk holds, it has counted itself). No table of
-counts goes to the driver or to all tasks, and no entry has more rows than there are chunks.
+Documents are dealt into chunks of bounded size by hash. Each chunk sends its distinct entries and their counts, sorted and
+packed, to ranges of entries; a range adds them up, and answers each chunk with the sums in the order in which the chunk named
+its entries. So no entry goes back, and none is a row: the chunk, built again for the scores, has the same entries in the same
+order. No table of counts goes to the driver or to all tasks, and no list of chunks is held by entry.
 A document's score is the mean over its words of target loss minus background loss, in nats: the lower, the nearer to
 the target.
 
@@ -18,6 +18,7 @@ says so; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -25,14 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, documents, settle, table
+from ..functions.tables import settle
+from .common import bounded, documents, table
 
 #: Bits of the key of a word and of a pair.
 WORD_BITS, PAIR_BITS = 62, 62
 #: Weight of the pair model, and the count that each entry has beforehand.
 PAIR_WEIGHT, PRIOR = 0.6, 0.5
-#: Bytes of text in a chunk, about.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text in a chunk, about, and those of a range of pairs; words are fewer, and have one range for this many of pairs.
+CHUNK_BYTES, RANGE_BYTES, WORD_RANGES = 1 << 21, 1 << 24, 8
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -120,62 +122,120 @@ class Chunk:
         return np.bincount(self.doc, -np.log(p), len(self.n)) / np.maximum(self.n, 1)
 
 
-def counts(flagged: DataFrame) -> DataFrame:
-    """entry, target and background counts over all rows, the chunks that hold the entry, and how many there are.
+def _packed(values: np.ndarray, shrink: bool) -> bytes:
+    """Numbers from 0 in as few bytes each as the greatest needs, first bytes first; ``shrink``: these are far from random."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width, shrink]) + (zlib.compress(planes, 1) if shrink else planes)
 
-    Entries of pairs come first, then those of words.
-    """
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[2:]) if data[1] else data[2:], np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<i8")[:, 0]
+
+
+def _edges(size: int) -> np.ndarray:
+    """The first entry of each range, for ``size`` bytes of text: ranges of pairs, then of words."""
+    pairs = max(1, -(-size // RANGE_BYTES))
+    words = -(-pairs // WORD_RANGES)
+    return np.concatenate((np.arange(pairs) * ((1 << PAIR_BITS) // pairs), np.arange(words) * ((1 << WORD_BITS) // words) + (1 << PAIR_BITS)))
+
+
+class Counts(NamedTuple):
+    """By entry: its target and background counts over all rows. By chunk and range: the same as ``answers``, packed in the order
+    of the chunk's entries; a range's first row has the sums of its words, and how many are distinct. And the number of chunks."""
+
+    entries: DataFrame
+    answers: DataFrame
+    n_chunks: int
+
+    def toPandas(self) -> pd.DataFrame:  # noqa: N802  # as a DataFrame's
+        return self.entries.toPandas()
+
+
+def counts(flagged: DataFrame) -> Counts:
+    """The counts of all entries; those of pairs are below those of words."""
     size = flagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // CHUNK_BYTES))
+    edges = _edges(size)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def sent(pdf: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(pdf["text"], pdf["good"])
-        return pd.DataFrame({"entry": c.entries, "chunk": np.full(len(c.entries), pdf["chunk"].iloc[0], np.int32), "target": c.target, "background": c.background})
-
-    rows = in_chunks(flagged, n).groupBy("chunk").applyInPandas(run, "entry long, chunk int, target long, background long")
-    sums = [F.sum("target").alias("target"), F.sum("background").alias("background"), F.collect_list("chunk").alias("chunks")]
-    return rows.repartition("entry").groupBy("entry").agg(*sums).withColumn("n_chunks", F.lit(n))
+        cuts, out = np.concatenate((np.searchsorted(c.entries, edges), [len(c.entries)])), []
+        for k in np.flatnonzero(np.diff(cuts)):
+            s = slice(cuts[k], cuts[k + 1])
+            out.append((pdf["chunk"].iloc[0], k, _packed(np.diff(c.entries[s], prepend=edges[k]), False), _packed(c.target[s], True), _packed(c.background[s], True)))
+        return pd.DataFrame(out, columns=["chunk", "range", "gaps", "target", "background"]).astype({"chunk": "int32", "range": "int32"})
+
+    def summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct entries of a range and their counts, and of each chunk in turn its entries' places and where they begin."""
+        each = [np.cumsum(_unpacked(g)) + edges[k] for g, k in zip(pdf["gaps"], pdf["range"])]
+        names, at = np.unique(np.concatenate(each), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([_unpacked(x) for x in pdf[c]]), len(names)).astype(np.int64) for c in ("target", "background")]
+        return names, *sums, at, np.cumsum([0] + [len(x) for x in each])
+
+    def listed(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, target, background, _, _ = summed(pdf)
+        return pd.DataFrame({"entry": names, "target": target, "background": background})
+
+    def answered(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, target, background, at, starts = summed(pdf)
+        places = [at[a:b] for a, b in zip(starts, starts[1:])]
+        out = pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "target": [_packed(target[x], True) for x in places], "background": [_packed(background[x], True) for x in places]})
+        of_words = [target.sum(), background.sum(), len(names)] if names[0] >= 1 << PAIR_BITS else [0, 0, 0]
+        for name, total in zip(("n_target", "n_background", "vocabulary"), of_words):
+            out[name] = np.where(np.arange(len(out)) == 0, total, 0)
+        return out
+
+    parts = in_chunks(flagged, n).groupBy("chunk").applyInPandas(sent, "chunk int, range int, gaps binary, target binary, background binary").groupBy("range")
+    entries = parts.applyInPandas(listed, "entry long, target long, background long")
+    answers = parts.applyInPandas(answered, "chunk int, range int, target binary, background binary, n_target long, n_background long, vocabulary long")
+    return Counts(entries, answers, n)
 
 
 class Models(NamedTuple):
-    """Settled counts by entry, words of target and background, distinct words, and the number of chunks."""
+    """Counts whose answers are settled, words of target and background, distinct words, and the number of chunks."""
 
-    table: DataFrame
+    table: Counts
     target: int
     background: int
     vocabulary: int
     n_chunks: int
 
 
-def models(summed: DataFrame) -> Models:
-    """Target and background from the summed counts; one row of sums goes to the driver."""
-    summed = settle(summed, "counts")
-    words = summed.where(F.col("entry") >= 1 << PAIR_BITS)
-    row = words.agg(F.sum("target"), F.sum("background"), F.count("*"), F.max("n_chunks")).first()
-    return Models(summed, row[0] or 0, row[1] or 0, row[2], row[3] or 1)
+def models(counted: Counts) -> Models:
+    """Target and background from the counts; one row of sums goes to the driver."""
+    answers = settle(counted.answers, "counts")
+    row = answers.agg(*[F.sum(c) for c in ("n_target", "n_background", "vocabulary")]).first()
+    return Models(counted._replace(answers=answers), row[0] or 0, row[1] or 0, row[2] or 0, counted.n_chunks)
 
 
 def score(flagged: DataFrame, fitted: Models) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss and score (their difference), each a mean over words.
 
-    A text's own counts are taken out of the models that hold them, so that its being counted doesn't draw its score.
+    ``flagged`` are the rows that were counted. A text's own counts are taken out of the models that hold them, so that its
+    being counted doesn't draw its score.
     """
-    _, of_target, of_all, vocabulary, n = fitted
+    counted, of_target, of_all, vocabulary, n = fitted
     # matched: smoothing then weighs as much in both
     scale = of_target / of_all if of_target else 1.0
 
-    def run(docs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(docs["text"], docs["good"])
-        at = np.searchsorted(c.entries, shared["entry"].to_numpy())
-        c.target[at], c.background[at] = shared["target"].to_numpy(), shared["background"].to_numpy()
+        answers = answers.sort_values("range")
+        target, background = (np.concatenate([c.entries[:0], *map(_unpacked, answers[name])]) for name in ("target", "background"))
+        if len(target) != len(c.entries):
+            raise ValueError("the rows are not those that were counted")
         own = c.own()
-        t = c.losses(c.target if of_target else c.background, of_target or of_all, vocabulary, own, c.good.astype(float))
-        b = c.losses(c.background * scale, of_all * scale, vocabulary, own, np.full(len(docs), scale))
+        t = c.losses(target if of_target else background, of_target or of_all, vocabulary, own, c.good.astype(float))
+        b = c.losses(background * scale, of_all * scale, vocabulary, own, np.full(len(docs), scale))
         return pd.DataFrame({"doc_id": docs["doc_id"], "n_words": c.n, "target_loss": t, "background_loss": b, "score": t - b})
 
-    shared = fitted.table.where(F.size("chunks") > 1).select(F.explode("chunks").alias("chunk"), "entry", "target", "background")
     schema = "doc_id long, n_words long, target_loss double, background_loss double, score double"
-    return in_chunks(flagged, n).groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(run, schema)
+    answers = counted.answers.select("chunk", "range", "target", "background")
+    return in_chunks(flagged, n).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, schema)
 
 
 def op4_lm(spark, sf_dir: str) -> DataFrame:

@@ -187,6 +187,24 @@ def test_lm_counts_and_losses_are_exact(spark, monkeypatch):
     assert np.allclose(got, want, rtol=1e-6)
 
 
+def test_lm_sends_no_row_an_entry(spark, monkeypatch):
+    """op4_lm's failed check: a row an entry and chunk, there and back, took more disk than four times the input."""
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 200_000)
+    rows = [(k, " ".join(f"w{(k * 997 + j * j * 31 + j) % 150_000}" for j in range(600))) for k in range(400)]
+    flagged = lm_score.with_target(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    scores = []
+    for size in (1 << 24, 70_000):  # one range of pairs, and many
+        monkeypatch.setattr(lm_score, "RANGE_BYTES", size)
+        fitted = lm_score.models(lm_score.counts(flagged))
+        entries = len(fitted.table.toPandas())
+        sent = fitted.table.answers.agg(F.count("*").alias("n"), F.sum(F.octet_length("target") + F.octet_length("background")).alias("bytes")).first()
+        assert sent["n"] < 0.01 * entries and sent["bytes"] < 3 * entries
+        scores.append(sorted(map(tuple, lm_score.score(flagged, fitted).collect())))
+    assert scores[0] == scores[1] and len(scores[0]) == len(rows)
+    values = np.array([0, 255, 256, (1 << 63) - 1])
+    assert all((lm_score._unpacked(lm_score._packed(v, z)) == v).all() for v in (values, values[:2], values[:0]) for z in (True, False))
+
+
 # ---------------------------------------------------------------- 5
 def test_bpe_like_the_library(spark, docs, texts, sf_dir):
     from tokenizers import Tokenizer
