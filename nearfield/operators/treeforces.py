@@ -41,7 +41,9 @@ def _placed(points: DataFrame) -> tuple[DataFrame, float]:
         return settle(rows.select("x", "y", "n", F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy")), "places"), 1.0
     width = max(ends[1] - ends[0], ends[3] - ends[2]) or 1.0
     cell = lambda c, low: F.least(F.floor((F.col(c) - F.lit(low)) / F.lit(width) * F.lit(float(1 << DEEPEST))), F.lit((1 << DEEPEST) - 1)).cast("long")
-    return settle(rows.select("x", "y", "n", cell("x", ends[0]).alias("ix"), cell("y", ends[2]).alias("iy")), "places"), width
+    # dealt over all cores, however few bytes they are: each level's walk is read from the files of the one before it
+    dealt = rows.select("x", "y", "n", cell("x", ends[0]).alias("ix"), cell("y", ends[2]).alias("iy")).repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "x", "y")
+    return settle(dealt, "places"), width
 
 
 def tree(places: DataFrame) -> list[DataFrame]:
