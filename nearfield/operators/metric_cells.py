@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,13 +43,12 @@ def _cell_of(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, "id long, v array<double>, cell int, far double")
 
 
-def _asked(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int, bounded_: bool) -> DataFrame:
-    """(id, v, limit, cell): the cells a query looks into: the nearest ones with k references, or, if it has a ``limit`` of
-    its own by them, all others within it."""
-    sent = queries.sparkSession.sparkContext.broadcast((pivots, radius, size))
+def _asked(queries: DataFrame, pivots: np.ndarray, size: np.ndarray, k: int) -> DataFrame:
+    """(id, v, cells): the cells a query looks into first: the nearest ones with k references."""
+    sent = queries.sparkSession.sparkContext.broadcast((pivots, size))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, r, n = sent.value
+        p, n = sent.value
         for b in batches:
             for at in range(0, len(b), 1024):
                 part = b.iloc[at : at + 1024]
@@ -57,17 +57,46 @@ def _asked(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, size: np.
                 before = np.cumsum(n[order], axis=1) - n[order]
                 first = np.empty(d.shape, bool)
                 np.put_along_axis(first, order, before < k, axis=1)
-                if bounded_:
-                    limit = part["limit"].to_numpy()[:, None]
-                    first = ~first & (d - r[None, :] <= limit + SLACK * (d + r[None, :]))
-                yield pd.DataFrame({"id": part["id"], "v": part["v"], "limit": part["limit"], "cells": [np.flatnonzero(f & (n > 0)).astype(np.int32) for f in first]})
-
-    found = queries.mapInPandas(run, "id long, v array<double>, limit double, cells array<int>")
-    return found.select("id", "v", "limit", F.explode("cells").alias("cell"))
+                yield pd.DataFrame({"id": part["id"], "v": part["v"], "cells": [np.flatnonzero(f & (n > 0)).astype(np.int32) for f in first]})
+
+    return queries.mapInPandas(run, "id long, v array<double>, cells array<int>")
+
+
+def _rest(queries: DataFrame, index: DataFrame, pivots: np.ndarray, radius: np.ndarray, k: int) -> DataFrame:
+    """(src, dst, dist, compared): the k nearest of all other cells that may hold something within a query's ``limit``; its count is in
+    a row without dst.
+
+    All cells stream past each block of queries, and each query's look is decided there: a row for each query and cell that it
+    looks into would be the square of the points where few cells can be left out.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast((pivots, radius))
+
+    def run(block: pa.Table, rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        (p, r), v, limit = sent.value, nb._plain(block["v"]), block["limit"].to_numpy()
+        sizes, flat = (block["cells"].combine_chunks(), block["cells"].combine_chunks().flatten().to_numpy())
+        sizes = np.diff(sizes.offsets.to_numpy())
+        first = np.full((len(v), sizes.max(initial=1)), -1)
+        first[np.arange(first.shape[1])[None, :] < sizes[:, None]] = flat
+        best, compared = nb._Best(v, k, limit * (1 + SLACK)), np.zeros(len(v), np.int64)
+        for ids, b, cell in rows:
+            ends = [*(np.flatnonzero(np.diff(cell)) + 1), len(cell)]
+            for at, end in zip([0, *ends], ends):
+                c = cell[at]
+                d = nb._distances(v, p[c : c + 1])[:, 0]
+                look = (d - r[c] <= limit + SLACK * (d + r[c])) & (first != c).all(1)
+                if look.any():
+                    best.add(ids[at:end], b[at:end], None if look.all() else np.flatnonzero(look))
+                    compared[look] += end - at
+        src = block["id"].to_numpy()
+        for x in best.rows(src):
+            yield pa.RecordBatch.from_arrays([x.column("src"), x.column("dst"), x.column("dist"), pa.array(np.zeros(len(x), np.int64))], ["src", "dst", "dist", "compared"])
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.nulls(len(src), pa.int64()), pa.nulls(len(src), pa.float64()), pa.array(compared)], ["src", "dst", "dist", "compared"])
+
+    return nb._past(queries, index.select("id", "v", "cell"), run, "src long, dst long, dist double, compared long", most=max(1, min(nb.MOST, nb.BEST // (16 * (2 * k + 32)))), cells=True)[0]
 
 
 def _search(asked: DataFrame, dealt: DataFrame, parts: DataFrame, k: int) -> DataFrame:
-    """(src, dst, dist, compared): the k nearest of each part that a query looks into, within its limit."""
+    """(src, dst, dist, compared): the k nearest of each part that a query looks into."""
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"src": [], "dst": [], "dist": [], "compared": []}).astype({"src": "int64", "dst": "int64", "compared": "int64"})]
@@ -79,11 +108,10 @@ def _search(asked: DataFrame, dealt: DataFrame, parts: DataFrame, k: int) -> Dat
             for at in range(0, len(a), step):
                 order, dist = nb._nearest_rows(a[at : at + step], b, m, None)
                 rows = pd.DataFrame({"src": np.repeat(x["id"].to_numpy()[at : at + step], m), "dst": ids[order].ravel(), "dist": dist.ravel(), "compared": np.tile(np.where(np.arange(m) == 0, len(b), 0), len(order))})
-                limit = np.repeat(x["limit"].to_numpy()[at : at + step], m)
-                out.append(rows[(rows["compared"] > 0) | (rows["dist"] <= limit * (1 + SLACK))])
+                out.append(rows)
         return pd.concat(out)
 
-    dealt_to = asked.join(parts, "cell").select("id", "v", "limit", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt_to = asked.join(parts, "cell").select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return dealt_to.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(run, "src long, dst long, dist double, compared long")
 
 
@@ -106,16 +134,16 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, column: str, pivots: in
     dealt = index.join(parts, "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
 
     order = Window.partitionBy("src").orderBy("dist", "dst")
-    free = q.withColumn("limit", F.lit(float("inf")))
-    near = settle(_search(_asked(free, middle, radius, size, k, False), dealt, parts, k), "near")
+    asked = settle(_asked(q, middle, size, k), "asked")
+    near = settle(_search(asked.select("id", "v", F.explode("cells").alias("cell")), dealt, parts, k), "near")
     best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     limits = best.groupBy("src").agg(F.when(F.count("*") == k, F.max("dist")).otherwise(float("inf")).alias("limit"))
-    tied = settle(q.join(limits, F.col("id") == F.col("src")).select("id", "v", "limit"), "limits")
-    rest = settle(_search(_asked(tied, middle, radius, size, k, True), dealt, parts, k), "rest")
+    tied = settle(asked.join(limits, F.col("id") == F.col("src")).select("id", "v", "limit", "cells"), "limits")
+    rest = settle(_rest(tied, index, middle, radius, k), "rest")
     both = near.unionByName(rest)
     compared = both.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared")).join(q.agg(F.count("*").alias("n")))
     compared = compared.select("n", "compared", (F.col("compared") / (F.col("n") * F.lit(n))).alias("share"))
-    rows = both.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("rank") < k)
+    rows = both.where("dst is not null").withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("rank") < k)
     return rows.select("src", "rank", "dst", "dist"), compared
 
 
